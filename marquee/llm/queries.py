@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from marquee.llm import exact_dedup, mixing, ngram_join
+from marquee.llm import exact_dedup, mixing, ngram_join, warc
 
 QUERIES = {
+    "op1_warc": warc.op1_warc,
     "op2_ngram_join": ngram_join.op2_ngram_join,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op7_mixing": mixing.op7_mixing,
 }
 
 ORACLES = {
+    "op1_warc": warc.ORACLE_SQL,
     "op2_ngram_join": ngram_join.ORACLE_SQL,
     "op3_exact_dedup": exact_dedup.ORACLE_SQL,
     "op7_mixing": mixing.ORACLE_SQL,
