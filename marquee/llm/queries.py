@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from marquee.llm import exact_dedup, mixing, ngram_join, warc
+from marquee.llm import exact_dedup, lm, mixing, ngram_join, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
     "op2_ngram_join": ngram_join.op2_ngram_join,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op7_mixing": mixing.op7_mixing,
+    "op10_lm_scoring": lm.op10_lm_scoring,
 }
 
 ORACLES = {
