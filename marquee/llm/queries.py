@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from marquee.llm import exact_dedup, lm, mixing, ngram_join, warc
+from marquee.llm import exact_dedup, language_id, lm, mixing, ngram_join, quality, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
     "op2_ngram_join": ngram_join.op2_ngram_join,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op7_mixing": mixing.op7_mixing,
+    "op5_quality": quality.op5_quality,
+    "op9_language_id": language_id.op9_language_id,
     "op10_lm_scoring": lm.op10_lm_scoring,
 }
 
