@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from marquee.llm import exact_dedup, language_id, lm, mixing, ngram_join, quality, warc
+from marquee.llm import exact_dedup, language_id, lm, mixing, ngram_join, quality, toxicity, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op7_mixing": mixing.op7_mixing,
     "op5_quality": quality.op5_quality,
+    "op8_toxicity": toxicity.op8_toxicity,
     "op9_language_id": language_id.op9_language_id,
     "op10_lm_scoring": lm.op10_lm_scoring,
 }
