@@ -5,16 +5,19 @@ overlaps that can reach the threshold are formed:
 
 * Texts with equal n-gram sets are one class; classes take part, copies do not.
 * Of each set only the first part in a global order enters the product: two sets with enough
-  overlap share an n-gram there. The order is by hash, with n-grams that crowd many sets last.
+  overlap share an n-gram there. The order is by hash, with n-grams that crowd many sets last,
+  rarest first.
 * A block of the product holds some n-grams; a task multiplies its block, giving partial overlap
   counts of pairs whose sizes allow a link. Counts are summed over the blocks, and a pair whose
   count plus all that the rest of both sets could add stays below the bound is discarded.
 * Pairs that remain are verified on whole sets.
 
 A column of the matrix that stays crowded (a large group of near copies) is not multiplied out.
-Its sets are verified against one centre at a time, and those found in one component need no
-further comparison; pairs between components are then enumerated, except those whose distances
-from a common centre differ by more than the threshold allows (Jaccard distance is a metric).
+It is split by set size, and its sets are verified against one centre, the set with the fewest
+n-grams of its own; those found in one component need no further comparison. The centre, with
+all n-grams that crowd the column besides, is a common stock. A pair between components whose
+overlaps with the stock both reach the pair's bound is verified; any other pair must share an
+n-gram outside the stock, so what the sets hold outside it is multiplied instead.
 So no link between different components is lost, and links within one need not be listed.
 """
 
@@ -35,7 +38,7 @@ from marquee.llm.components import components
 #: order (8 bytes each on the driver; any choice gives the same links).
 CROWDED, LAST = 48, 1 << 19
 #: Rounds of comparing crowded columns with a centre.
-ROUNDS = 3
+ROUNDS = 2
 
 
 def bound(n, num: int, den: int):
@@ -55,9 +58,9 @@ def sketcher(k: int, num: int, den: int, spread: int, last) -> Callable:
                 s = shingles(words(text), k)
                 n = len(s)
                 if late is not None and n:
-                    at = np.searchsorted(late, s)
-                    is_late = late[np.minimum(at, len(late) - 1)] == s
-                    s = np.concatenate([s[~is_late], s[is_late]])
+                    grams, rank = late
+                    at = np.minimum(np.searchsorted(grams, s), len(grams) - 1)
+                    s = s[np.argsort(np.where(grams[at] == s, rank[at], -1), kind="stable")]
                 with np.errstate(over="ignore"):
                     s1 = int(mix(s).sum(dtype=np.uint64).view(np.int64)) if n else 0
                     s2 = int(np.bitwise_xor.reduce(mix(s + np.uint64(1))).view(np.int64)) if n else 0
@@ -97,12 +100,13 @@ def complete(batches: Iterator[pd.DataFrame], rows: int = 200_000) -> Iterator[p
 
 
 def product(num: int, den: int, crowded: int) -> Callable:
-    """Rows (gram, id, n) sorted by gram to partial overlap counts (a, b, na, nb, c) of pairs
-    a < b whose sizes allow a link; rows of crowded columns come back as (gram, a, na), c = 0."""
+    """Rows (gram, id, n) or (gram, id, n, label) sorted by gram to partial overlap counts (a, b, na, nb, c) of pairs
+    a < b whose sizes allow a link, with different labels; rows of crowded columns come back as (gram, a, na), c = 0."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in complete(batches):
             g, i, n = (part[c].to_numpy() for c in ("gram", "id", "n"))
+            lab = part["label"].to_numpy() if "label" in part else i
             starts = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
             lengths = np.diff(np.r_[starts, len(g)])
             each = np.repeat(lengths, lengths)
@@ -110,14 +114,14 @@ def product(num: int, den: int, crowded: int) -> Callable:
             if big.any():
                 yield pd.DataFrame({"gram": g[big], "a": i[big], "b": i[big], "na": n[big], "nb": n[big], "c": 0})
             some = (each > 1) & ~big
-            g, i, n = g[some], i[some], n[some]
+            g, i, n, lab = g[some], i[some], n[some], lab[some]
             found = []
             for d in range(1, int(lengths[(lengths <= crowded)].max(initial=1))):
                 ok = np.flatnonzero(g[d:] == g[:-d])
                 if not len(ok):
                     break
                 x, y = ok, ok + d
-                fit = (np.minimum(n[x], n[y]) * den >= num * np.maximum(n[x], n[y])) & (i[x] != i[y])
+                fit = (np.minimum(n[x], n[y]) * den >= num * np.maximum(n[x], n[y])) & (lab[x] != lab[y])
                 x, y = x[fit], y[fit]
                 swap = i[x] > i[y]
                 x, y = np.where(swap, y, x), np.where(swap, x, y)
@@ -131,20 +135,17 @@ def product(num: int, den: int, crowded: int) -> Callable:
 
 
 def across(num: int, den: int) -> Callable:
-    """Rows (gram, id, n, label, d) of crowded columns sorted by gram to pairs between labels,
-    except those that sizes or distances d from the column's centre (negative: unknown) exclude."""
+    """Rows (gram, id, n, label, o) of crowded columns sorted by gram to pairs between labels whose
+    overlaps o with the column's stock both reach what the pair's sizes ask for."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in complete(batches):
             found = []
             for _, one in part.groupby("gram", sort=False):
-                i, n, lab, d = (one[c].to_numpy() for c in ("id", "n", "label", "d"))
+                i, n, lab, o = (one[c].to_numpy() for c in ("id", "n", "label", "o"))
                 common = pd.Series(lab).mode()[0]
                 for x in np.flatnonzero(lab != common):
-                    fit = (lab != lab[x]) & (np.minimum(n, n[x]) * den >= num * np.maximum(n, n[x]))
-                    if d[x] >= 0:
-                        fit &= (d < 0) | (np.abs(d - d[x]) <= 1 - num / den + 1e-9)
-                    y = i[fit]
+                    y = i[(lab != lab[x]) & (np.minimum(o, o[x]) * (den + num) >= num * (n + n[x]))]
                     found.append(np.stack([np.minimum(i[x], y), np.maximum(i[x], y)]))
             if found:
                 yield pd.DataFrame(np.concatenate(found, axis=1).T, columns=["a", "b"]).drop_duplicates()
@@ -164,6 +165,25 @@ def linked(checked: DataFrame, num: int, den: int) -> DataFrame:
     return checked.filter(F.col("both") * (den + num) >= num * (F.col("na") + F.col("nb"))).select("a", "b")
 
 
+def crowded_grams(grams: DataFrame, crowded: int) -> DataFrame:
+    """The LAST most frequent of the values that grams holds more than crowded times."""
+    counts = grams.groupBy("gram").count().filter(F.col("count") > crowded)
+    return cut(counts.orderBy(F.desc("count"), "gram").limit(LAST), "late")
+
+
+def ranked(late: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Grams, sorted, and their places in the order of counts, rarest first."""
+    late = late.sort_values(["count", "gram"])
+    grams = late["gram"].to_numpy(np.int64).view(np.uint64)
+    by_gram = np.argsort(grams)
+    return grams[by_gram], by_gram
+
+
+def holding(rows: DataFrame, column: str, late: DataFrame) -> DataFrame:
+    """Ids of rows of which column holds one of late, at most 2 * LAST values."""
+    return rows.select("id", F.explode(column).alias("gram")).join(F.broadcast(late), "gram").select("id").distinct()
+
+
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85, crowded: int = CROWDED) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of docs.
 
@@ -182,14 +202,18 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     classes = heads.filter("n > 0 AND id IS NOT NULL").groupBy("s1", "s2", "n").agg(F.min(F.struct("id", "head")).alias("m"))
     classes = cut(classes.select("s1", "s2", "n", F.col("m.id").alias("id"), F.col("m.head").alias("head")), "classes")
 
-    # crowded n-grams go last in the order of the sets that hold them near the front
-    counts = classes.select(F.explode("head").alias("gram")).groupBy("gram").count().filter(F.col("count") > crowded)
-    late = cut(counts.orderBy(F.desc("count"), "gram").limit(LAST), "late")
+    # crowded n-grams go last in the order: those near the front of many sets, and of the sets
+    # that hold such, all that many of them share
+    late = crowded_grams(classes.select(F.explode("head").alias("gram")), crowded)
     entering = F.slice("head", 1, F.expr(f"least(size(head), n - cast(ceil({num} * n / {den}D - 1e-9) as int) + 1)"))
     ready = classes.select("id", "n", entering.alias("head"))
     if not late.isEmpty():
-        order = spark.sparkContext.broadcast(np.sort(late.select("gram").toPandas()["gram"].to_numpy().astype(np.int64).view(np.uint64)))
-        moved = cut(classes.select("id", F.explode("head").alias("gram")).join(F.broadcast(late), "gram").select("id").distinct(), "moved")
+        held = cut(holding(classes, "head", late), "held")
+        whole = attach(texts, held, ["id"], "left_semi").mapInPandas(whole_sets(k), "id long, grams array<long>")
+        late = late.union(crowded_grams(whole.select(F.explode("grams").alias("gram")), crowded))
+        late = cut(late.groupBy("gram").agg(F.max("count").alias("count")), "late")
+        order = spark.sparkContext.broadcast(ranked(late.toPandas()))
+        moved = cut(holding(ready, "head", late), "moved")
         again = attach(texts, moved, ["id"], "left_semi").mapInPandas(sketcher(k, num, den, 1, order), sketch)
         ready = ready.join(moved, "id", "left_anti").unionByName(again.select("id", "n", "head"))
     entries = ready.select("id", "n", F.explode("head").alias("gram")).repartition("gram").sortWithinPartitions("gram")
@@ -214,7 +238,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     columns = cut(columns, "crowded")
     if not columns.isEmpty():
-        names = crowded_links(columns, sets, links, names, num, den)
+        names = crowded_links(columns, sets, links, names, late, num, den, crowded)
 
     of_class = classes.select("s1", "s2", "n", F.col("id").alias("node")).join(names, "node", "left")
     of_class = cut(of_class.select("s1", "s2", "n", F.coalesce("label", "node").alias("label")), "labels")
@@ -231,44 +255,65 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def centred(rows: DataFrame, round_: int) -> DataFrame:
-    """rows (gram, id, ...) with centre, cn and clabel of their column in this round."""
-    best = rows.groupBy("gram").agg(F.min_by(F.struct("id", "n", "label"), F.xxhash64("id", F.lit(round_))).alias("m"))
-    return rows.join(best, "gram").select("gram", "id", "n", "label", F.col("m.id").alias("centre"), F.col("m.n").alias("cn"), F.col("m.label").alias("clabel"))
+    """rows (gram, id, n, own, label) with centre and clabel of their column in this round: the
+    set with the smallest part of its own; in later rounds, outside the column's largest label."""
+    rows = rows.join(rows.groupBy("gram").agg(F.mode("label", deterministic=True).alias("common")), "gram")
+    aside = (F.col("label") == F.col("common")) & F.lit(round_ > 0)
+    best = rows.groupBy("gram").agg(F.min_by(F.struct("id", "label"), F.struct(aside, "own", -F.col("n"), F.xxhash64("id"))).alias("m"))
+    return rows.join(best, "gram").select("gram", "id", "n", "label", F.col("m.id").alias("centre"), F.col("m.label").alias("clabel"))
 
 
-def crowded_links(columns: DataFrame, sets: DataFrame, links: DataFrame, names: DataFrame, num: int, den: int) -> DataFrame:
+def crowded_links(columns: DataFrame, sets: DataFrame, links: DataFrame, names: DataFrame, late: DataFrame, num: int, den: int, crowded: int) -> DataFrame:
     """Components once the crowded columns' links are added to links."""
-    fit = F.least("n", "cn") * den >= num * F.greatest("n", "cn")
-
-    def labelled(names: DataFrame) -> DataFrame:
-        rows = columns.join(names.select(F.col("node").alias("id"), "label"), "id", "left").select("gram", "id", "n", F.coalesce("label", "id").alias("label"))
-        return rows.join(rows.groupBy("gram").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("gram"), "gram", "left_semi")
-
+    # the part of each set that is not crowded anywhere
+    common = sets.select("id", F.explode("grams").alias("gram")).join(F.broadcast(late.select("gram")), "gram").groupBy("id").agg(F.count(F.lit(1)).alias("common"))
+    columns = columns.join(common, "id", "left").withColumn("own", 1 - F.coalesce("common", F.lit(0)) / F.col("n"))
+    # two sets that may link are in the same or in neighbouring classes of size
+    size = F.floor(F.log("n") / float(np.log(den / num * 1.0001)))
+    columns = columns.select("gram", "id", "n", "own", F.explode(F.array(size, size - 1)).alias("size"))
+    columns = cut(columns.select(F.xxhash64("gram", "size").alias("gram"), "id", "n", "own"), "crowded")
+    labelled = named(columns, names)
     first = None
     for r in range(ROUNDS):
-        rows = cut(centred(labelled(names), r), "columns")
+        rows = cut(centred(labelled, r), "columns")
         if rows.isEmpty():
             return names
-        stars = rows.filter(fit & (F.col("id") != F.col("centre")) & (F.lit(r == 0) | (F.col("label") != F.col("clabel"))))
-        stars = stars.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
+        apart = (F.col("id") != F.col("centre")) & (F.lit(r == 0) | (F.col("label") != F.col("clabel")))
+        stars = rows.filter(apart).select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
         checked = cut(verified(stars, sets), "stars")
         if first is None:
             first = rows.select("gram", "centre").distinct(), checked
         links = cut(links.unionByName(linked(checked, num, den)), "links")
         names = components(links)
-    rows = labelled(names)
+        labelled = named(columns, names)
     centres, checked = first
-    gap = F.lit(1.0) - F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))
-    far = checked.select(F.col("a").alias("centre"), F.col("b").alias("id"), gap.alias("d"))
-    far = far.unionByName(checked.select(F.col("b").alias("centre"), F.col("a").alias("id"), gap.alias("d"))).distinct()
-    rows = rows.join(centres, "gram", "left").join(far, ["centre", "id"], "left").select("gram", "id", "n", "label", F.coalesce("d", F.lit(-1.0)).alias("d"))
-    rows = rows.repartition("gram").sortWithinPartitions("gram")
-    left = cut(rows.mapInPandas(across(num, den), "a long, b long").distinct(), "across")
+    overlap = checked.select(F.col("a").alias("centre"), F.col("b").alias("id"), F.col("both").alias("o"))
+    overlap = overlap.unionByName(checked.select(F.col("b").alias("centre"), F.col("a").alias("id"), F.col("both").alias("o"))).distinct()
+    # a centre itself has been compared with all its column
+    rows = cut(labelled.join(centres, "gram").join(overlap, ["centre", "id"]), "measured")
+    members = rows.select("centre", "id", "n", "label").distinct()
+    both = members.join(sets, "id").join(sets.select(F.col("id").alias("centre"), F.col("grams").alias("stock")), "centre")
+    extra = both.select("centre", "id", "n", "label", F.explode(F.array_except("grams", "stock")).alias("gram"))
+    extra = cut(extra.withColumn("gram", F.xxhash64("centre", "gram")), "extra")
+    stock = cut(extra.groupBy("gram").count().filter(F.col("count") > crowded).select("gram"), "stock")
+    more = extra.join(stock, "gram", "left_semi").groupBy("centre", "id").agg(F.count(F.lit(1)).alias("more"))
+    rows = rows.join(more, ["centre", "id"], "left").withColumn("o", F.col("o") + F.coalesce("more", F.lit(0)))
+    near = rows.select("gram", "id", "n", "label", "o").repartition("gram").sortWithinPartitions("gram").mapInPandas(across(num, den), "a long, b long")
+    rest = extra.join(stock, "gram", "left_anti").select("gram", "id", "n", "label").repartition("gram").sortWithinPartitions("gram")
+    beyond = rest.mapInPandas(product(num, den, crowded), "gram long, a long, b long, na int, nb int, c long").select("a", "b")
+    left = cut(near.union(beyond).distinct(), "across")
     if left.isEmpty():
         return names
     return components(links.unionByName(linked(verified(left, sets), num, den)))
 
 
+def named(columns: DataFrame, names: DataFrame) -> DataFrame:
+    """columns (gram, id, n, own) with labels, of those that hold more than one label."""
+    rows = columns.join(names.select(F.col("node").alias("id"), "label"), "id", "left").select("gram", "id", "n", "own", F.coalesce("label", "id").alias("label"))
+    mixed = rows.groupBy("gram").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("gram")
+    return rows.join(mixed, "gram", "left_semi")
+
+
 ORACLE_SQL = """
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
 s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
