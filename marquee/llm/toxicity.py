@@ -189,25 +189,36 @@ class LabelModel:
         return self
 
 
-def sampled_features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def weigh_features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows (text, p, weight) to (place, toxic, clean): weights of texts by features."""
+    toxic, clean = np.zeros(DIMENSIONS), np.zeros(DIMENSIONS)
     for batch in batches:
-        yield pd.DataFrame({"id": batch["id"], "p": batch["p"], "weight": batch["weight"], "f": [features(terms(t)) for t in batch["text"]]})
+        for text, p, weight in zip(batch["text"], batch["p"], batch["weight"], strict=True):
+            f = features(terms(text))
+            toxic[f] += p * weight
+            clean[f] += (1 - p) * weight
+    at = np.flatnonzero(toxic + clean)
+    yield pd.DataFrame({"place": at, "toxic": toxic[at], "clean": clean[at]})
+
+
+def used_features(shared) -> Callable:
+    """Rows (id, text, p, weight) to (id, p, weight, f), f the places in shared.value."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            f = [np.intersect1d(features(terms(t)), shared.value, assume_unique=True) for t in batch["text"]]
+            yield pd.DataFrame({"id": batch["id"], "p": batch["p"], "weight": batch["weight"], "f": f})
+
+    return run
 
 
 def train_linear(f: list[np.ndarray], p: np.ndarray, weight: np.ndarray, epochs: int = 30, rate: float = 0.5, decay: float = 1e-5) -> tuple[np.ndarray, float]:
-    """Weights and intercept of a logistic regression on soft labels p, by AdaGrad in blocks.
-    Only features that speak for toxicity are used: held by LEAST_TOXIC toxic texts or more, and
-    LIFT times as common among toxic texts as among others. All others weigh 0."""
+    """Weights and intercept of a logistic regression on soft labels p, by AdaGrad in blocks;
+    the intercept is then moved so that 0.5 is the score with the best F1 on these rows."""
     w, gw, b, gb = np.zeros(DIMENSIONS), np.full(DIMENSIONS, 1e-8), 0.0, 1e-8
-    toxic, clean = np.zeros(DIMENSIONS), np.zeros(DIMENSIONS)
-    for x, q, v in zip(f, p, weight, strict=True):
-        toxic[x] += q * v
-        clean[x] += (1 - q) * v
-    used = (toxic >= LEAST_TOXIC) & (toxic / max(weight @ p, 1) >= LIFT * (clean + 0.5) / max(weight @ (1 - p), 1))
-    f = [x[used[x]] for x in f]
-    order = np.random.default_rng(7)
+    rng = np.random.default_rng(7)
     for _ in range(epochs):
-        for part in np.array_split(order.permutation(len(f)), max(1, len(f) // 64)):
+        for part in np.array_split(rng.permutation(len(f)), max(1, len(f) // 64)):
             rows = [f[i] for i in part]
             if not rows:
                 continue
@@ -221,13 +232,11 @@ def train_linear(f: list[np.ndarray], p: np.ndarray, weight: np.ndarray, epochs:
             w[places] -= rate * g / np.sqrt(gw[places])
             gb += e.mean() ** 2
             b -= rate * e.mean() / np.sqrt(gb)
-    # the intercept that makes 0.5 the score with the best F1 on the training rows
     z = np.array([w[x].sum() for x in f]) + b
-    ranked = np.argsort(-z, kind="stable")
-    hit, seen = np.cumsum((p * weight)[ranked]), np.cumsum(weight[ranked])
-    f1 = 2 * hit / (seen + weight @ p + 1e-9)
     if len(z) and weight @ p > 0:
-        k = int(f1.argmax())
+        ranked = np.argsort(-z, kind="stable")
+        hit, seen = np.cumsum((p * weight)[ranked]), np.cumsum(weight[ranked])
+        k = int((2 * hit / (seen + weight @ p)).argmax())
         middle = z[ranked[k]] if k + 1 == len(z) else (z[ranked[k]] + z[ranked[k + 1]]) / 2
         b -= float(np.clip(middle, -3, 3))
     return w, float(b)
@@ -276,8 +285,14 @@ def fit(rows: DataFrame, known: DataFrame) -> tuple[np.ndarray, float]:
     s1, s0 = (min(1.0, SAMPLE / 2 / max(1, n)) for n in (n1, n0))
     rate = F.when(F.col("p") >= 0.5, s1).otherwise(s0)
     chosen = judged.withColumn("weight", F.col("trust") * F.pow(F.lit(1.0) / rate, F.lit(0.25))).filter(unit < rate).dropDuplicates(["id"])
-    train = rows.join(F.broadcast(chosen), "id").mapInPandas(sampled_features, "id long, p double, weight double, f array<int>").toPandas().sort_values("id", kind="stable")
-    return train_linear([np.asarray(x, np.int64) for x in train["f"]], train["p"].to_numpy(), train["weight"].to_numpy())
+    train = cut(rows.join(F.broadcast(chosen), "id").repartition(max(8, spark.sparkContext.defaultParallelism)), "train")
+    # features that speak for toxicity: held by enough toxic texts, and commoner there
+    weights = train.mapInPandas(weigh_features, "place int, toxic double, clean double").groupBy("place").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    one, zero = train.agg(F.coalesce(F.sum(F.col("p") * F.col("weight")), F.lit(0.0)), F.coalesce(F.sum((1 - F.col("p")) * F.col("weight")), F.lit(0.0))).first()
+    telling = weights.filter((F.col("toxic") >= LEAST_TOXIC) & (F.col("toxic") / max(one, 1) >= LIFT * (F.col("clean") + 0.5) / max(zero, 1)))
+    places = np.sort(telling.select("place").toPandas()["place"].to_numpy(np.int64))  # DIMENSIONS at most
+    kept = train.mapInPandas(used_features(spark.sparkContext.broadcast(places)), "id long, p double, weight double, f array<int>").toPandas().sort_values("id", kind="stable")
+    return train_linear([np.asarray(x, np.int64) for x in kept["f"]], kept["p"].to_numpy(), kept["weight"].to_numpy())
 
 
 def _held_out(id_column, held_out: tuple[int, int]):
