@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from marquee.llm import exact_dedup, language_id, lm, mixing, ngram_join, quality, toxicity, warc
+from marquee.llm import decontamination, exact_dedup, language_id, lm, mixing, ngram_join, quality, toxicity, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
     "op2_ngram_join": ngram_join.op2_ngram_join,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op6_decontamination": decontamination.op6_decontamination,
     "op7_mixing": mixing.op7_mixing,
     "op5_quality": quality.op5_quality,
     "op8_toxicity": toxicity.op8_toxicity,
