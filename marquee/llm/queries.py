@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from marquee.llm import decontamination, exact_dedup, language_id, lm, mixing, ngram_join, quality, toxicity, warc
+from marquee.llm import decontamination, exact_dedup, language_id, lm, mixing, ngram_join, pii, quality, toxicity, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
     "op2_ngram_join": ngram_join.op2_ngram_join,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op4_pii": pii.op4_pii,
+    "op5_quality": quality.op5_quality,
     "op6_decontamination": decontamination.op6_decontamination,
     "op7_mixing": mixing.op7_mixing,
-    "op5_quality": quality.op5_quality,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_language_id": language_id.op9_language_id,
     "op10_lm_scoring": lm.op10_lm_scoring,
