@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from marquee.plans import importing, quality, searching
 from marquee.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES"]
+__all__ = ["ORACLES", "QUERIES", "importing", "quality", "searching"]
