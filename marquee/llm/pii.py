@@ -371,13 +371,13 @@ def finder(shared) -> Callable:
     return run
 
 
-def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", steps: int = STEPS) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added) for every row.
 
     The counts and base_sha256 are of the patterns' spans, spans lists those and the n_added
     ones that the tagger adds, as kind:start:end by kind and start, in code points, ends
     exclusive. Null and empty texts have no spans. The tagger is trained on about SAMPLE texts,
-    chosen by a hash of the id; the same table gives the same tagger. Repeated rows are treated
+    chosen by a hash of the id, for `steps` steps; the same table gives the same tagger. Repeated rows are treated
     alike; an empty table gives an empty result. Other columns of docs are not read.
     """
     spark = tuned(docs.sparkSession)
@@ -385,7 +385,7 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     share = min(1.0, SAMPLE / max(1, docs.count()))
     picked = rows.filter(F.xxhash64(F.coalesce("id", F.lit(0)), F.lit(1)).bitwiseAND((1 << 53) - 1) / F.lit(float(1 << 53)) < share)
     sample = picked.withColumn("text", F.substring("text", 1, 20_000)).orderBy("id", "text").limit(2 * SAMPLE).toPandas()
-    tagger = Tagger().fit(*training(sample["text"].dropna().tolist()))
+    tagger = Tagger().fit(*training(sample["text"].dropna().tolist()), steps)
     schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
     return rows.mapInPandas(finder(spark.sparkContext.broadcast(tagger.p)), schema)
 
