@@ -77,7 +77,7 @@ def suspect_artist_names(spark, sf_dir):
     return quality.suspects(names.select("source", name.alias("name")), quality.placeholder(F.col("name")))
 
 
-_FIELDS = {c: F.col(c).isNotNull() for c in ("subtitle", "start_time", "price_presale", "price_box_office", "price_note", "genre")}
+_FIELDS = ("subtitle", "start_time", "price_presale", "price_box_office", "price_note", "genre")
 
 
 @query("field_coverage_long", over_model("".join([", c AS (SELECT source, count(*) AS total, ", ", ".join(f"count({f}) AS {f}" for f in _FIELDS), f" FROM flagged GROUP BY source) UNPIVOT c ON {', '.join(_FIELDS)} INTO NAME field VALUE with_value"])).replace("\n, c AS", f"\n{_FLAGGED}, c AS"))
@@ -85,7 +85,7 @@ def field_coverage_long(spark, sf_dir):
     t = Listings(spark, sf_dir)
     names = t.event_source.select(F.col("id").alias("event_source_id"), F.col("slug").alias("x"))
     events = t.event.join(names, "event_source_id", "left").withColumn("source", quality.label(F.col("event_source_id"), F.col("x")))
-    return quality.coverage(events, _FIELDS, "source")
+    return quality.coverage(events, {c: F.col(c).isNotNull() for c in _FIELDS}, "source")
 
 
 _BASE = """, r AS (SELECT *, events_with_value / events_total AS ratio FROM run_stats), b AS (SELECT source, observed_at, events_total, ratio,
