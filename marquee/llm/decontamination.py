@@ -102,6 +102,15 @@ def edits(segment: np.ndarray, region: np.ndarray, most: int) -> int:
     return int(row.min())
 
 
+def whole(segment: np.ndarray, region: np.ndarray) -> bool:
+    """Whether region holds segment unedited."""
+    found, text = segment.tobytes(), region.tobytes()
+    at = text.find(found)
+    while at > 0 and at % segment.itemsize:
+        at = text.find(found, at + 1)
+    return at >= 0
+
+
 def matches(c: np.ndarray, index: Index) -> Iterator[tuple[int, int, int]]:
     """(place in c, segment, edits) of regions of c that hold a segment within its budget."""
     at, seg, place = index.hits(qgrams(c))
@@ -114,7 +123,11 @@ def matches(c: np.ndarray, index: Index) -> Iterator[tuple[int, int, int]]:
         width = 2 * (index.budget[seg] + 1)
         band = (diagonal + shift * (width // 2)) // width
         key = seg.astype(np.int64) * (len(c) + 4 * SEGMENT) + band
-        keys, n = np.unique(key, return_counts=True)
+        # a place of the segment counts once, however often the text repeats its q-gram
+        marks = np.sort(key * 128 + place)
+        key = marks[np.r_[True, marks[1:] != marks[:-1]]] // 128
+        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        keys, n = key[starts], np.diff(np.r_[starts, len(key)])
         s = keys // (len(c) + 4 * SEGMENT)
         for k, one in zip(keys[n >= index.need[s]], s[n >= index.need[s]], strict=True):
             w = 2 * (int(index.budget[one]) + 1)
@@ -126,7 +139,7 @@ def matches(c: np.ndarray, index: Index) -> Iterator[tuple[int, int, int]]:
             continue
         segment, most = index.segments[one], int(index.budget[one])
         lo, hi = max(0, start - most), min(len(c), start + w + len(segment) + most)
-        e = edits(segment, c[lo:hi], most)
+        e = 0 if whole(segment, c[lo:hi]) else edits(segment, c[lo:hi], most)
         if e <= most:
             done.setdefault(one, []).append(start)
             yield max(0, start), one, e
