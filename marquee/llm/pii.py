@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right as bisect
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -168,28 +169,26 @@ class Tagger:
         e = (both @ self.p["out"] + self.p["bias"]).astype(np.float64)
         trans = self.p["trans"].astype(np.float64) + self.allowed
 
-        def lse(a, axis):
-            m = a.max(axis, keepdims=True)
-            return (m + np.log(np.exp(a - m).sum(axis, keepdims=True))).squeeze(axis)
-
-        fwd, bwd = np.empty_like(e), np.zeros_like(e)
-        fwd[0] = self.p["start"] + e[0] + self.allowed[0]
-        for t in range(1, time):
-            fwd[t] = lse(fwd[t - 1][:, :, None] + trans, 1) + e[t]
+        # forward and backward chances, scaled to one at each step
+        step, low = np.exp(trans), e.max(2, keepdims=True)
+        here = np.exp(e - low)
+        fwd, bwd, scale = np.empty_like(e), np.ones_like(e), np.empty((time, rows, 1))
+        for t in range(time):
+            a = (np.exp(self.p["start"] + self.allowed[0]) if t == 0 else fwd[t - 1] @ step) * here[t]
+            scale[t] = a.sum(1, keepdims=True)
+            fwd[t] = a / scale[t]
+        here /= scale
         for t in range(time - 2, -1, -1):
-            bwd[t] = lse(trans + (e[t + 1] + bwd[t + 1])[:, None, :], 2)
-        z = lse(fwd[-1], 1)
-        de = np.exp(fwd + bwd - z[None, :, None])
-        g = {"trans": np.zeros_like(trans), "start": de[0].sum(0)}
-        for t in range(1, time):
-            g["trans"] += np.exp(fwd[t - 1][:, :, None] + trans + (e[t] + bwd[t])[:, None, :] - z[:, None, None]).sum(0)
-        ty = y.T
+            bwd[t] = (here[t + 1] * bwd[t + 1]) @ step.T
+        z = (np.log(scale) + low).sum((0, 2))
+        de = fwd * bwd
+        g = {"trans": step * (fwd[:-1].reshape(-1, self.TAGS).T @ (here[1:] * bwd[1:]).reshape(-1, self.TAGS)), "start": de[0].sum(0)}
+        ty = y.T.astype(np.int64)
         at = np.arange(rows)
-        gold = self.p["start"][ty[0]] + e[0, at, ty[0]]
-        for t in range(1, time):
-            gold = gold + trans[ty[t - 1], ty[t]] + e[t, at, ty[t]]
-            np.subtract.at(g["trans"], (ty[t - 1], ty[t]), 1)
-        np.subtract.at(g["start"], ty[0], 1)
+        gold = self.p["start"][ty[0]] + np.take_along_axis(e, ty[:, :, None], 2)[:, :, 0].sum(0) + trans[ty[:-1], ty[1:]].sum(0)
+        taken = np.bincount((ty[:-1] * self.TAGS + ty[1:]).ravel(), minlength=self.TAGS**2)
+        g["trans"] -= taken.reshape(trans.shape)
+        g["start"] -= np.bincount(ty[0], minlength=self.TAGS)
         de[np.arange(time)[:, None], at[None, :], ty] -= 1
         de /= rows
         g["trans"] /= rows
@@ -200,17 +199,17 @@ class Tagger:
         for d, kept, part in (("f", kf, dh[:, :, :HIDDEN]), ("b", kb, dh[::-1, :, HIDDEN:])):
             wh = self.p[f"h{d}"].astype(np.float64)
             xs = x if d == "f" else x[:, ::-1]
-            gx, gh = np.zeros_like(self.p[f"x{d}"], np.float64), np.zeros_like(wh)
+            dzs = np.empty((time, rows, 4 * HIDDEN))
             nh, nc = np.zeros((rows, HIDDEN)), np.zeros((rows, HIDDEN))
             for t in range(time - 1, -1, -1):
-                i, f, o, gg, before, tc, h = kept[t]
+                i, f, o, gg, before, tc, _ = kept[t]
                 dht = part[t] + nh
                 dc = nc + dht * o * (1 - tc * tc)
-                dz = np.concatenate([dc * gg * i * (1 - i), dc * before * f * (1 - f), dht * tc * o * (1 - o), dc * i * (1 - gg * gg)], 1)
-                np.add.at(gx, xs[:, t], dz)
-                gh += h.T @ dz
+                dz = np.concatenate([dc * gg * i * (1 - i), dc * before * f * (1 - f), dht * tc * o * (1 - o), dc * i * (1 - gg * gg)], 1, out=dzs[t])
                 nh, nc = dz @ wh.T, dc * f
-            g[f"x{d}"], g[f"h{d}"] = gx, gh
+            flat = dzs.reshape(-1, 4 * HIDDEN)
+            g[f"x{d}"] = (xs.T.reshape(-1, 1) == np.arange(len(self.p[f"x{d}"]))).T.astype(np.float64) @ flat
+            g[f"h{d}"] = np.concatenate([k[6] for k in kept]).T.astype(np.float64) @ flat
         return float((z - gold).mean()), g
 
     def fit(self, x: np.ndarray, y: np.ndarray, steps: int = STEPS, rate: float = RATE, seed: int = 9) -> Tagger:
@@ -317,13 +316,21 @@ def spans_of(tags: np.ndarray) -> Iterator[Span]:
 
 def reconciled(found: list[tuple[int, int, int, int]]) -> list[Span]:
     """Of spans (context, kind, start, end) that overlap, those with most context."""
-    out: list[Span] = []
+    out: list[Span] = []  # by start; none overlaps another, so only neighbours can be met
     for _, kind, a, b in sorted(found, key=lambda s: (-s[0], s[2], s[3], s[1])):
-        if not any(a < d and c < b for _, c, d in out):
-            out.append((kind, a, b))
+        at = bisect(out, a, key=lambda s: s[1])
+        if (not at or out[at - 1][2] <= a) and (at == len(out) or b <= out[at][1]):
+            out.insert(at, (kind, a, b))
     return out
 
 
+def apart(found: list[Span], base: list[Span]) -> list[Span]:
+    """The spans of found that overlap none of base."""
+    starts, ends = (np.sort(np.array([s[i] for s in base], np.int64)) for i in (1, 2))
+    # spans that begin before this one's end, less those that end before its start
+    return [s for s in found if np.searchsorted(starts, s[2], "left") == np.searchsorted(ends, s[1], "right")]
+
+
 def find_all(texts: list[str], tagger: Tagger) -> Iterator[tuple[list[Span], list[Span]]]:
     """For each text the patterns' spans and those that the tagger adds."""
     where = [(i, s) for i, t in enumerate(texts) for s in windows(t)]
@@ -345,7 +352,7 @@ def find_all(texts: list[str], tagger: Tagger) -> Iterator[tuple[list[Span], lis
                     found.setdefault(i, []).append((min(left, right), kind, s + a, s + b))
     for i, t in enumerate(texts):
         base = patterns(t)
-        more = [s for s in reconciled(found.get(i, [])) if plausible(s[0], t[s[1] : s[2]]) and not any(s[1] < d and c < s[2] for _, c, d in base)]
+        more = apart([s for s in reconciled(found.get(i, [])) if plausible(s[0], t[s[1] : s[2]])], base)
         yield base, more
 
 
