@@ -54,7 +54,16 @@ class EliasFano:
             left = np.where(go, left - c, left)
             bits = np.where(go, bits >> np.uint64(s), bits)
             place += go * s
-        out = (w * 64 + place - i) << self.width
+        return self._joined(w * 64 + place - i, i)
+
+    def all(self) -> np.ndarray:
+        """All values."""
+        places = np.flatnonzero(np.unpackbits(self.high.view(np.uint8), bitorder="little"))
+        i = np.arange(self.n)
+        return self._joined(places - i, i)
+
+    def _joined(self, high: np.ndarray, i: np.ndarray) -> np.ndarray:
+        out = high << self.width
         if self.width:
             at = i * self.width
             shift = (at & 63).astype(np.uint64)
@@ -95,115 +104,58 @@ def quantised(x: np.ndarray, bits: int = 8) -> tuple[np.ndarray, np.ndarray]:
     return code, np.bincount(code, x, minlength=1 << bits) / np.maximum(n, 1)
 
 
-class Trie:
-    """Words, bigrams and trigrams with log10 probabilities and back-off weights.
+class Level:
+    """One shard of a level of the trie: a range of contexts and the words that follow each.
 
-    Level 1 lists words by hash. Level 2 lists, below each word, the words that follow it;
-    level 3, below each bigram (u, v), the words that follow it, each named by its place among
-    those that follow v. Pointers to the next level and the lists themselves (each list's
-    numbers follow on from the last of the list before, so that a level is monotone) are
-    Elias-Fano sequences; probabilities and weights are 8-bit codes.
+    Pointers from contexts to their lists and the lists themselves (each list's numbers follow
+    on from the last of the list before, so that they are monotone together) are Elias-Fano
+    sequences; log10 probabilities of n-grams and back-off weights of contexts are 8-bit codes.
     """
 
     def __init__(self, parts: dict[str, np.ndarray]):
-        self.words, self.counts = parts["words"], parts["counts"]
-        self.code = {k: (parts[f"{k}.code"], parts[f"{k}.book"]) for k in ("p1", "b1", "p2", "b2", "p3")}
-        self.to2, self.to3, self.level2, self.level3 = (EliasFano(parts, k) for k in ("to2", "to3", "level2", "level3"))
+        self.to, self.list = EliasFano(parts, "to"), EliasFano(parts, "list")
+        self.code = {k: (parts[f"{k}.code"], parts[f"{k}.book"]) for k in ("p", "b")}
+        self.counts = parts["n"]
 
     @staticmethod
-    def build(words: np.ndarray, counts: np.ndarray, total: int, distinct: int, two: np.ndarray, three: np.ndarray, discount: float = 0.75) -> dict[str, np.ndarray]:
-        """words: sorted hashes, with counts. two: rows (v, w, count), three: rows (u, v, w,
-        count), of places in words, sorted; every trigram's two bigrams are among two."""
-        size = len(words)
-        p1 = (counts + 0.1) / (total + 0.1 * (distinct + 1))
-        v, w, c2 = two.T if len(two) else np.zeros((3, 0), np.int64)
-        p2 = (c2 - discount) / counts[v] if len(two) else np.zeros(0)
-        b1 = (1 - np.bincount(v, p2, size)) / (1 - np.bincount(v, p1[w], size))
-        begin2 = np.searchsorted(v, np.arange(size + 1))
-        key2 = v * size + w
-        if len(three):
-            up = np.searchsorted(key2, three[:, 0] * size + three[:, 1])
-            down = np.searchsorted(key2, three[:, 1] * size + three[:, 2])
-            p3 = (three[:, 3] - discount) / c2[up]
-            rank = down - begin2[three[:, 1]]
-        else:
-            up, down, rank, p3 = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-        b2 = (1 - np.bincount(up, p3, len(two))) / (1 - np.bincount(up, p2[down], len(two))) if len(two) else np.zeros(0)
-        begin3 = np.searchsorted(up, np.arange(len(two) + 1))
-
-        def onward(numbers: np.ndarray, begin: np.ndarray) -> np.ndarray:
-            begins, ends = begin[:-1], begin[1:]
-            filled = ends > begins
-            step = np.zeros(len(numbers) + 1, np.int64)
-            lasts = numbers[ends[filled] - 1] if len(numbers) else numbers
-            np.add.at(step, ends[filled], lasts)
-            return numbers + np.cumsum(step)[: len(numbers)]
-
-        out = {"words": words.astype(np.uint64), "counts": counts.astype(np.int64)}
-        for k, x in (("p1", p1), ("b1", b1), ("p2", p2), ("b2", b2), ("p3", p3)):
+    def build(context: np.ndarray, word: np.ndarray, n: np.ndarray, p: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
+        """context, word: sorted; context counts from 0 to the length of weight. n, p: counts and
+        probabilities of n-grams; weight: of contexts."""
+        begin = np.searchsorted(context, np.arange(len(weight) + 1))
+        filled = begin[1:] > begin[:-1]
+        step = np.zeros(len(word) + 1, np.int64)
+        np.add.at(step, begin[1:][filled], word[begin[1:][filled] - 1])
+        out = {"n": n.astype(np.int64)}
+        for k, x in (("p", p), ("b", weight)):
             out[f"{k}.code"], out[f"{k}.book"] = quantised(np.log10(np.maximum(x, 1e-12)))
-        out |= EliasFano.build(begin2, "to2") | EliasFano.build(begin3, "to3") | EliasFano.build(onward(w, begin2), "level2") | EliasFano.build(onward(rank, begin3), "level3")
-        return out
+        return out | EliasFano.build(begin, "to") | EliasFano.build(word + np.cumsum(step)[:-1], "list")
 
     def value(self, kind: str, at: np.ndarray) -> np.ndarray:
         code, book = self.code[kind]
         return book[code[at]]
 
-    def word(self, hashes: np.ndarray) -> np.ndarray:
-        """Places of words by hash, -1 where absent."""
-        if not len(self.words):
-            return np.full(len(hashes), -1, np.int64)
-        at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
-        return np.where(self.words[at] == hashes, at, -1)
-
-    @staticmethod
-    def _below(pointers: EliasFano, level: EliasFano, node: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        start, end = pointers.at(node), pointers.at(node + 1)
-        base = np.zeros(len(node), np.int64)
+    def keys(self, width: int) -> np.ndarray:
+        """context * width + word of all n-grams."""
+        begin, numbers = self.to.all(), self.list.all()
+        later = np.flatnonzero((begin[:-1] > 0) & (begin[1:] > begin[:-1]))
+        base = np.zeros(len(begin) - 1, np.int64)
+        base[later] = numbers[begin[later] - 1]
+        context = np.repeat(np.arange(len(base)), np.diff(begin))
+        return context * width + numbers - base[context]
+
+    def find(self, keys: np.ndarray, width: int) -> np.ndarray:
+        """Positions of sorted keys, -1 where absent. Many keys are searched in the level read
+        from end to end, few by the pointers."""
+        if 8 * len(keys) >= self.list.n:
+            mine = self.keys(width)
+            at = np.minimum(np.searchsorted(mine, keys), len(mine) - 1)
+            return np.where(mine[at] == keys, at, -1)
+        context, word = keys // width, keys % width
+        start, end = self.to.at(context), self.to.at(context + 1)
+        base = np.zeros(len(keys), np.int64)
         later = np.flatnonzero((start > 0) & (start < end))
-        base[later] = level.at(start[later] - 1)
-        return level.find(start, end, base + number), start
-
-    def bigram(self, v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions of (v, w) in level 2, -1 where absent, and their places below v."""
-        at, start = self._below(self.to2, self.level2, v, w)
-        return at, at - start
-
-    def trigram(self, uv: np.ndarray, place: np.ndarray) -> np.ndarray:
-        """Positions in level 3 of the word at place below v, after the bigram at uv."""
-        return self._below(self.to3, self.level3, uv, place)[0]
-
-    def log10(self, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """log10 probability of every token of a sequence of word places (-1: not a word of the
-        trie, whose own unigram part is left out), given the two before it. first marks tokens
-        that only begin a document; they are context, and get 0."""
-        n = len(ids)
-        out, at2, place = np.zeros(n), np.full(n, -1, np.int64), np.full(n, -1, np.int64)
-        prev = np.r_[-1, ids[:-1]]
-        prev[first] = -1
-        both = np.flatnonzero((prev >= 0) & (ids >= 0))
-        size = max(len(self.words), 1)
-        keys, inverse = np.unique(prev[both] * size + ids[both], return_inverse=True)
-        found, below = self.bigram(keys // size, keys % size)
-        at2[both], place[both] = found[inverse], below[inverse]
-        uv = np.r_[-1, at2[:-1]]
-        uv[first] = -1
-        three = np.flatnonzero((uv >= 0) & (at2 >= 0))
-        at3 = np.full(n, -1, np.int64)
-        width = int(place.max(initial=0)) + 1
-        keys, inverse = np.unique(uv[three] * width + place[three], return_inverse=True)
-        at3[three] = self.trigram(keys // width, keys % width)[inverse]
-
-        known, followed, longer = ids >= 0, prev >= 0, uv >= 0
-        out[known] = self.value("p1", ids[known])
-        out[followed] += self.value("b1", prev[followed])
-        hit = at2 >= 0
-        out[hit] = self.value("p2", at2[hit])
-        out[longer] += self.value("b2", uv[longer])
-        hit = at3 >= 0
-        out[hit] = self.value("p3", at3[hit])
-        out[first] = 0
-        return out
+        base[later] = self.list.at(start[later] - 1)
+        return self.list.find(start, end, base + word)
 
 
 def save(parts: dict[str, np.ndarray], uri: str) -> None:

@@ -1,19 +1,24 @@
 """Language-model scoring with an Elias-Fano trie.
 
-Counts cover all training tokens and are exact. A word whose share of the tokens is at least
-WORD_SHARE belongs to the trie's vocabulary, so there are 1 / WORD_SHARE words at most at any
-size of the corpus; every other word is rare, and its count is joined by shuffle, where no key
-can be hot. An n-gram enters the trie if its share is at least GRAM_SHARE and it occurs twice;
-its words, and a trigram's bigrams, are then at least as frequent, so each order is counted
-among what the order below left. The trie goes to the shared folder, and tasks map it.
+Counts cover all training tokens and are exact. The trie lists every word, and every bigram and
+trigram that occurs at least LISTED times, at any size of the corpus. It lies in the shared folder
+as shards, whose number grows with the tokens: words by ranges of their hashes, n-grams by ranges
+of their contexts. Each shard is built and written by one task and memory-mapped by those that
+need it; the driver knows the shards' paths and sizes only.
+
+A word is named by its place among all words, an n-gram by its place in its level. Tasks count
+n-grams of about BUFFER tokens at a time and hand them on as packed arrays, dealt by a hash of
+the n-gram, so that no context is hot; what is listed then goes to the shard of its context. A
+trigram's two bigrams are at least as frequent, so only trigrams of listed bigrams are counted.
 
 Probabilities: an n-gram has its discounted relative frequency; others back off, with weights
 that make probabilities sum to one before they are quantised. Single words are smoothed by
-adding 0.1 to every count, with one word more for all unknown ones.
+adding 0.1 to every count, with one word more for all unknown ones, and are not quantised.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -21,11 +26,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marquee.llm.common import cut, shared_dir, tuned, word_hashes, words
-from marquee.llm.elias_fano import Trie, load, save
+from marquee.llm.common import cut, mix, shared_dir, tuned, word_hashes, words
+from marquee.llm.elias_fano import Level, load, save
 
-#: Shares of all tokens from which a word and an n-gram are listed in the trie.
-WORD_SHARE, GRAM_SHARE = 1e-6, 4e-6
+#: Occurrences from which an n-gram is listed, and the part of each count that is set aside.
+LISTED, DISCOUNT = 2, 0.75
+#: Tokens of training for each shard of a level, and the fewest shards.
+SHARD_TOKENS, SHARDS = 4_000_000, 16
 #: Tokens that a task counts before it hands counts on.
 BUFFER = 2_000_000
 #: The token that ends a document, and stands before its first word.
@@ -61,101 +68,233 @@ def count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"key": key.view(np.int64), "n": n})
 
 
-def places(vocabulary: np.ndarray, h: np.ndarray) -> np.ndarray:
-    at = np.minimum(np.searchsorted(vocabulary, h), max(len(vocabulary) - 1, 0))
-    return np.where(vocabulary[at] == h, at, -1) if len(vocabulary) else np.full(len(h), -1)
-
-
-def count_grams(shared, order: int) -> Callable:
-    """Counts of bigrams whose words are in shared.value[0]; of trigrams whose bigrams are in
-    shared.value[1] too. Keys are (place of the first bigram or word) * width + place of the last."""
+class Words:
+    """The words' shards (path, size): sorted hashes with counts."""
+
+    def __init__(self, files: list[tuple[str | None, int]]):
+        self.files, self.begins = files, np.cumsum([0] + [n for _, n in files])
+        self.size = int(self.begins[-1])
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places and counts of sorted hashes; -1 and 0 where absent."""
+        ids, counts = np.full(len(hashes), -1, np.int64), np.zeros(len(hashes), np.int64)
+        shard = (hashes >> np.uint64(33)).astype(np.int64) * len(self.files) >> 31
+        for i, part in runs(shard, len(self.files)):
+            if self.files[i][1]:
+                data = load(self.files[i][0])
+                at = np.minimum(np.searchsorted(data["words"], hashes[part]), self.files[i][1] - 1)
+                hit = data["words"][at] == hashes[part]
+                ids[part] = np.where(hit, self.begins[i] + at, -1)
+                counts[part] = np.where(hit, data["counts"][at], 0)
+        return ids, counts
+
+    def counts(self, ids: np.ndarray) -> np.ndarray:
+        """Counts of words by place, in any order."""
+        ids, inverse = np.unique(ids, return_inverse=True)
+        out = np.zeros(len(ids), np.int64)
+        for i, part in runs(np.searchsorted(self.begins, ids, "right") - 1, len(self.files)):
+            out[part] = load(self.files[i][0])["counts"][ids[part] - self.begins[i]]
+        return out[inverse]
+
+
+class Grams:
+    """A level's shards (path, size). contexts: how many there are; width: that of words."""
+
+    def __init__(self, files: list[tuple[str | None, int]], contexts: int, width: int):
+        self.files, self.begins = files, np.cumsum([0] + [n for _, n in files])
+        self.size, self.contexts, self.width = int(self.begins[-1]), max(contexts, 1), max(width, 1)
+
+    def low(self, shard: int) -> int:
+        """The first context of a shard."""
+        return -(-shard * self.contexts // len(self.files))
+
+    def shard(self, context: np.ndarray) -> np.ndarray:
+        return context * len(self.files) // self.contexts
+
+    def find(self, keys: np.ndarray, kind: str = "p") -> tuple[np.ndarray, np.ndarray]:
+        """Places of sorted keys (context * width + word), -1 where absent; their log10
+        probabilities (or for kind n counts), 0 where absent."""
+        places, values = np.full(len(keys), -1, np.int64), np.zeros(len(keys))
+        for i, part in runs(self.shard(keys // self.width), len(self.files)):
+            if self.files[i][1]:
+                level = Level(load(self.files[i][0]))
+                at = level.find(keys[part] - self.low(i) * self.width, self.width)
+                places[part] = np.where(at >= 0, self.begins[i] + at, -1)
+                values[part] = np.where(at >= 0, level.counts[at] if kind == "n" else level.value("p", at), 0)
+        return places, values
+
+    def weights(self, contexts: np.ndarray) -> np.ndarray:
+        """log10 weights of sorted contexts."""
+        out = np.zeros(len(contexts))
+        for i, part in runs(self.shard(contexts), len(self.files)):
+            if self.files[i][1]:
+                out[part] = Level(load(self.files[i][0])).value("b", contexts[part] - self.low(i))
+        return out
+
+    def grams(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Last words and counts of the n-grams at sorted places."""
+        last, n = np.zeros(len(places), np.int64), np.zeros(len(places), np.int64)
+        for i, part in runs(np.searchsorted(self.begins, places, "right") - 1, len(self.files)):
+            level = Level(load(self.files[i][0]))
+            at = places[part] - self.begins[i]
+            last[part], n[part] = level.keys(self.width)[at] % self.width, level.counts[at]
+        return last, n
+
+
+def runs(shard: np.ndarray, shards: int) -> Iterator[tuple[int, slice]]:
+    """Shards that occur among sorted ones, and where."""
+    ends = np.searchsorted(shard, np.arange(shards + 1))
+    for i in np.flatnonzero(ends[1:] > ends[:-1]):
+        yield int(i), slice(int(ends[i]), int(ends[i + 1]))
+
+
+def pack(shard: np.ndarray, keys: np.ndarray, n: np.ndarray, shards: int) -> pd.DataFrame:
+    """A row for each shard: its sorted keys by their differences, and their counts. shard is sorted."""
+    rows = [(i, np.diff(keys[x], prepend=0).tobytes(), n[x].tobytes()) for i, x in runs(shard, shards)]
+    return pd.DataFrame(rows, columns=["shard", "keys", "n"])
+
+
+def unpacked(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Different keys of the rows, sorted, and the sums of their counts."""
+    keys = np.concatenate([np.cumsum(np.frombuffer(x, np.int64)) for x in rows["keys"]])
+    n = np.concatenate([np.frombuffer(x, np.int64) for x in rows["n"]])
+    order = np.argsort(keys, kind="stable")
+    keys, n = keys[order], n[order]
+    starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    return keys[starts], np.add.reduceat(n, starts)
+
+
+def after(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The value before each token; -1 where a text begins."""
+    out = np.r_[-1, values[:-1]]
+    out[first] = -1
+    return out
+
+
+def looked_up(valid: np.ndarray, keys: np.ndarray, find: Callable, *empty) -> list[np.ndarray]:
+    """find(sorted keys) for the tokens that are valid, empty for others."""
+    unique, inverse = np.unique(keys[valid], return_inverse=True)
+    out = [np.full(len(keys), x) for x in empty]
+    found = find(unique)
+    for x, y in zip(out, found if isinstance(found, tuple) else (found,), strict=True):
+        x[valid] = y[inverse]
+    return out
+
+
+def count_grams(words: Words, two: Grams | None, shards: int) -> Callable:
+    """Packed counts of bigrams, or with two of trigrams whose bigrams it lists."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        vocabulary, bigrams = shared.value
-        size = max(len(vocabulary), 1)
         for _, h, begins in sequences(batches, BUFFER):
-            ids = places(vocabulary, h)
+            ids, _ = looked_up(np.ones(len(h), bool), h, words.find, -1, 0)
             first = np.zeros(len(ids), bool)
             first[begins] = True
-            prev = np.r_[-1, ids[:-1]]
-            prev[first] = -1
-            key = np.where((prev >= 0) & (ids >= 0), prev * size + ids, -1)
-            if order == 3:
-                at = places(bigrams, key)
-                before = np.r_[-1, at[:-1]]
-                before[first] = -1
-                key = np.where((before >= 0) & (at >= 0), before * size + ids, -1)
-            key, n = np.unique(key[key >= 0], return_counts=True)
-            yield pd.DataFrame({"key": key.astype(np.int64), "n": n})
+            context = after(ids, first)
+            listed = (context >= 0) & (ids >= 0)
+            if two:
+                at, _ = looked_up(listed, context * words.size + ids, two.find, -1, 0.0)
+                context = after(at, first)
+                listed = (context >= 0) & (at >= 0)
+            keys, n = np.unique(context[listed] * words.size + ids[listed], return_counts=True)
+            shard = (mix(keys.astype(np.uint64)) % np.uint64(shards)).astype(np.int64)
+            order = np.argsort(shard, kind="stable")
+            yield pack(shard[order], keys[order], n[order].astype(np.int64), shards)
 
     return run
 
 
-def scorer(uri: str, constants) -> Callable:
-    """Rows (id, text) to the parts of their scores; words outside the trie are listed."""
-    total, distinct = constants
+def train(docs: DataFrame) -> tuple[Words, Grams, Grams, int, int]:
+    """Trains on the rows of docs (text): the trie's levels, the number of tokens and that of
+    different ones."""
+    spark = docs.sparkSession
+    texts = docs.select("text")
+    unigrams = cut(texts.mapInPandas(count_words, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "unigrams")
+    total, distinct = unigrams.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("n")).first()
+    shards = max(SHARDS, total // SHARD_TOKENS)
+    folder, built, packed = shared_dir(spark, "trie"), "shard int, size long, uri string", "shard int, keys binary, n binary"
+
+    def files(df: DataFrame) -> list[tuple[str | None, int]]:
+        found = {r["shard"]: (r["uri"], r["size"]) for r in df.collect()}  # a row for each shard
+        return [found.get(i, (None, 0)) for i in range(shards)]
+
+    def written(shard: int, size: int, parts: dict[str, np.ndarray]) -> pd.DataFrame:
+        uri = f"{folder}/{uuid.uuid4().hex}"  # of this attempt
+        save(parts, uri)
+        return pd.DataFrame({"shard": [shard], "size": [size], "uri": [uri]})
+
+    def write_words(shard: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        h = rows["key"].to_numpy(np.int64).view(np.uint64)
+        order = np.argsort(h)
+        return written(shard[0], len(h), {"words": h[order], "counts": rows["n"].to_numpy(np.int64)[order]})
+
+    shard = F.shiftright(F.shiftrightunsigned("key", 33) * F.lit(shards), 31).cast("int")
+    words = Words(files(unigrams.groupBy(shard.alias("shard")).applyInPandas(write_words, built)))
+
+    def level(two: Grams | None) -> Grams:
+        plan = Grams([(None, 0)] * shards, two.size if two else words.size, words.size)
+
+        def listed(rows: pd.DataFrame) -> pd.DataFrame:
+            keys, n = unpacked(rows)
+            keys, n = keys[n >= LISTED], n[n >= LISTED]
+            return pack(plan.shard(keys // plan.width), keys, n, shards)
+
+        def write(shard: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+            keys, n = unpacked(rows)
+            context, word = keys // plan.width, keys % plan.width
+            one, inverse = np.unique(context, return_inverse=True)
+            if two:
+                middle, total_n = two.grams(one)
+                middle = middle[inverse]
+                lower, at = np.unique(middle * plan.width + word, return_inverse=True)
+                below = (two.find(lower, "n")[1][at] - DISCOUNT) / words.counts(middle)
+            else:
+                total_n = words.counts(one)
+                below = (words.counts(word) + 0.1) / (total + 0.1 * (distinct + 1))
+            p = (n - DISCOUNT) / total_n[inverse]
+            low = plan.low(shard[0])
+            size = plan.low(shard[0] + 1) - low
+            weight = (1 - np.bincount(context - low, p, size)) / (1 - np.bincount(context - low, below, size))
+            return written(shard[0], len(keys), Level.build(context - low, word, n, p, weight))
+
+        counted = texts.mapInPandas(count_grams(words, two, shards), packed).groupBy("shard").applyInPandas(listed, packed)
+        return Grams(files(counted.groupBy("shard").applyInPandas(write, built)), plan.contexts, plan.width)
+
+    two = level(None)
+    return words, two, level(two), total, distinct
+
+
+def scorer(words: Words, two: Grams, three: Grams, total: int, distinct: int) -> Callable:
+    """Rows (id, text) to their scores."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        trie = Trie(load(uri))
         floor = np.log10(total + 0.1 * (distinct + 1))
-        base = np.log10(trie.counts + 0.1) - floor
-        for keys, h, begins in sequences(batches, BUFFER // 4):
-            ids = trie.word(h)
+        for keys, h, begins in sequences(batches, BUFFER // 2):
+            ids, n = looked_up(np.ones(len(h), bool), h, words.find, -1, 0)
             first = np.zeros(len(ids), bool)
             first[begins] = True
-            logs = trie.log10(ids, first)
             known = (ids >= 0) & ~first
-            plain = np.where(known, base[np.maximum(ids, 0)] if len(base) else 0.0, 0.0)
+            base = np.where(first, 0.0, np.log10(n + 0.1) - floor)
+            logs = base.copy()
+            for grams in (two, three):
+                # words after the first level, places of bigrams after the second
+                context = after(ids if grams is two else at, first)
+                logs += looked_up(context >= 0, context, grams.weights, 0.0)[0]
+                listed = (context >= 0) & ((ids if grams is two else at) >= 0)
+                at, p = looked_up(listed, context * grams.width + ids, grams.find, -1, 0.0)
+                logs = np.where(at >= 0, p, logs)
+            logs[first] = 0
             ends = np.r_[begins[1:], len(h)]
-            rare = (ids < 0) & ~first
             yield pd.DataFrame({
                 "id": pd.array([None if pd.isna(k) else k for k in keys], "Int64"),
                 "n_tokens": ends - begins - 1,
                 "n_known": np.add.reduceat(known.astype(np.int64), begins),
-                "plain": np.add.reduceat(plain, begins),
-                "trie": np.add.reduceat(logs, begins),
-                "rare": [h[b:e][rare[b:e]].view(np.int64) for b, e in zip(begins, ends, strict=True)],
+                "base": np.add.reduceat(base, begins),
+                "score": np.add.reduceat(logs, begins),
             })
 
     return run
 
 
-def train(docs: DataFrame) -> tuple[str, DataFrame, int, int]:
-    """Trains on the rows of docs (text): the trie's path, word counts (key, n), the number of
-    tokens and that of different ones."""
-    spark = docs.sparkSession
-    texts = docs.select("text")
-    counts = "key long, n long"
-    unigrams = cut(texts.mapInPandas(count_words, counts).groupBy("key").agg(F.sum("n").alias("n")), "unigrams")
-    total, distinct = unigrams.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("n")).first()
-
-    def listed(df: DataFrame, share: float) -> tuple[np.ndarray, np.ndarray]:
-        # at most 1 / share rows
-        rows = df.filter(F.col("n") >= max(1, share * total)).toPandas().sort_values("key")
-        return rows["key"].to_numpy(np.int64), rows["n"].to_numpy(np.int64)
-
-    key, n = listed(unigrams, WORD_SHARE)
-    by_hash = np.argsort(key.view(np.uint64), kind="stable")
-    vocabulary, n = key.view(np.uint64)[by_hash], n[by_hash]
-    often = np.flatnonzero(n >= max(2, GRAM_SHARE * total))
-    narrow = vocabulary[often]
-    size = max(len(narrow), 1)
-
-    def grams(order: int, bigrams: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-        shared = spark.sparkContext.broadcast((narrow, bigrams))
-        found = texts.mapInPandas(count_grams(shared, order), counts).groupBy("key").agg(F.sum("n").alias("n"))
-        return listed(found.filter("n > 1"), GRAM_SHARE)
-
-    two, c2 = grams(2, None)
-    three, c3 = grams(3, two) if len(two) else (two, c2)
-    rows2 = np.stack([often[two // size], often[two % size], c2], 1) if len(two) else np.zeros((0, 3), np.int64)
-    uv, w = three // size, three % size
-    rows3 = np.stack([rows2[uv, 0], rows2[uv, 1], often[w], c3], 1) if len(three) else np.zeros((0, 4), np.int64)
-    uri = f"{shared_dir(spark, 'trie')}/trie"
-    save(Trie.build(vocabulary, n, total, distinct, rows2, rows3), uri)
-    return uri, unigrams, total, distinct
-
-
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out_mod: int = 10) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row.
 
@@ -168,23 +307,16 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
     tuned(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     held_out = F.crc32(F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary")) % held_out_mod == 0
-    uri, unigrams, total, distinct = train(rows.filter(~held_out))
-    schema = "id long, n_tokens long, n_known long, plain double, trie double, rare array<long>"
-    parts = cut(rows.mapInPandas(scorer(uri, (total, distinct)), schema).withColumn("row", F.monotonically_increasing_id()), "scores")
-    # rare words known in training: each below WORD_SHARE of all tokens, so no key is hot
-    rare = parts.select("row", F.explode("rare").alias("key")).join(unigrams, "key")
-    rare = rare.groupBy("row").agg(F.count(F.lit(1)).alias("known"), F.sum(F.log10(F.col("n") + 0.1)).alias("logs"))
-    floor = F.log10(F.lit(total + 0.1 * (distinct + 1)))
-    known, unknown = F.coalesce("known", F.lit(0)), F.size("rare") - F.coalesce("known", F.lit(0))
-    rest = F.coalesce("logs", F.lit(0.0)) + unknown * F.log10(F.lit(0.1)) - F.size("rare") * floor
-    return parts.join(rare, "row", "left").select(
+    model = train(rows.filter(~held_out))
+    schema = "id long, n_tokens long, n_known long, base double, score double"
+    return rows.mapInPandas(scorer(*model), schema).select(
         F.col("id").alias("doc_id"),
-        (F.crc32(F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary")) % held_out_mod == 0).alias("held_out"),
+        held_out.alias("held_out"),
         "n_tokens",
-        (F.col("n_known") + known).alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("plain") + rest).alias("base_score"),
-        (F.col("trie") + rest).alias("score"),
+        "n_known",
+        F.lit(model[3]).cast("long").alias("train_tokens"),
+        F.col("base").alias("base_score"),
+        "score",
     )
 
 

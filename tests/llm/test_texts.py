@@ -144,3 +144,57 @@ def test_archives_round_trip(spark, rows):
 def test_neighbouring_ranges_are_read_together():
     assert list(warc.spans([0, 10, 500, 900], [10, 10, 10, 10], gap=100, most=1000)) == [(0, 2), (2, 3), (3, 4)]
     assert list(warc.spans([0, 10, 20], [10, 10, 10], gap=100, most=25)) == [(0, 2), (2, 3)]
+
+
+def test_every_repeated_ngram_is_listed(spark, monkeypatch):
+    """Also where the corpus is so large that a fixed share of it would be many occurrences; scores
+    against brute force."""
+    monkeypatch.setattr(lm, "SHARD_TOKENS", 20_000)
+    rng = np.random.default_rng(6)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 300, 60)) for _ in range(500)] * 2 + ["a b c " * 200_000, None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    tokens = [["", *(t or "").split(), ""] for t in texts]
+    trained = [t for i, t in enumerate(tokens) if zlib.crc32(str(i).encode()) % 10]
+    one = Counter(w for t in trained for w in t[1:])
+    two = {k: n for k, n in Counter(x for t in trained for x in itertools.pairwise(t)).items() if n > 1}
+    three = {k: n for k, n in Counter(x for t in trained for x in zip(t, t[1:], t[2:], strict=False)).items() if n > 1}
+    words, grams, triples, total, distinct = lm.train(docs.filter("crc32(cast(cast(doc_id as string) as binary)) % 10 != 0").select("text"))
+    assert (words.size, grams.size, triples.size, total, distinct) == (len(one), len(two), len(three), one.total(), len(one))
+    assert len(words.files) > lm.SHARDS
+
+    p1 = lambda w: (one[w] + 0.1) / (total + 0.1 * (distinct + 1))
+    p2 = {(v, w): (n - 0.75) / one[v] for (v, w), n in two.items()}
+    p3 = {(u, v, w): (n - 0.75) / two[u, v] for (u, v, w), n in three.items()}
+    left1, below1, left2, below2 = (Counter() for _ in range(4))
+    for (v, w), p in p2.items():
+        left1[v] += p
+        below1[v] += p1(w)
+    for (u, v, w), p in p3.items():
+        left2[u, v] += p
+        below2[u, v] += p2[v, w]
+
+    def score(t):
+        out = 0
+        for i in range(1, len(t)):
+            v, w = t[i - 1], t[i]
+            p = p2.get((v, w)) or p1(w) * (1 - left1[v]) / (1 - below1[v])
+            if i > 1:
+                uv = t[i - 2], v
+                p = p3.get((*uv, w)) or (p * (1 - left2[uv]) / (1 - below2[uv]) if uv in two else p)
+            out += math.log10(p)
+        return out
+
+    for r in lm.lm_scores(docs).collect():
+        t = tokens[r.doc_id]
+        if len(t) < 1000:
+            assert abs(r.score - score(t)) < 0.02 * len(t)
+
+
+@pytest.mark.parametrize("count", [3, 400])
+def test_level_finds_few_and_many(count):
+    rng = np.random.default_rng(7)
+    keys = np.unique(rng.integers(0, 50 * 1000, 500))
+    level = elias_fano.Level(elias_fano.Level.build(keys // 1000, keys % 1000, keys, keys / 1e5, np.ones(50)))
+    asked = np.unique(np.r_[rng.choice(keys, count), rng.integers(0, 50 * 1000, count)])
+    at = np.searchsorted(keys, asked)
+    assert (level.find(asked, 1000) == np.where(keys[np.minimum(at, len(keys) - 1)] == asked, at, -1)).all()
