@@ -27,7 +27,8 @@ Q, SEGMENT, STEP, EDITS = 8, 100, 50, 0.1
 LEAST = 20
 #: Characters of the benchmark that one pass over the texts looks for (24 bytes each in tasks).
 BLOCK = 2_000_000
-_GAP = 0xE000  # between texts; a private code point that normalised text keeps apart
+#: Between texts: so many of a private code point, that no q-gram of a text is that of two.
+GAP, _GAP = Q, 0xE000
 
 
 def normalised(text: str | None) -> str:
@@ -111,38 +112,45 @@ def whole(segment: np.ndarray, region: np.ndarray) -> bool:
     return at >= 0
 
 
-def matches(c: np.ndarray, index: Index) -> Iterator[tuple[int, int, int]]:
-    """(place in c, segment, edits) of regions of c that hold a segment within its budget."""
+def matches(c: np.ndarray, index: Index, begins: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """(text, place in c, segment, edits) of regions of texts that hold a segment within its
+    budget. Texts begin in c at begins, each with GAP code points behind it."""
     at, seg, place = index.hits(qgrams(c))
     if not len(at):
         return
+    ends = np.r_[begins[1:], len(c)] - GAP
+    text = np.searchsorted(begins, at, "right") - 1
     diagonal = at - place + SEGMENT
     found = set()
+    size = len(c) + 4 * SEGMENT
     for shift in (0, 1):
         # bands twice as wide as the budget's diagonals, shifted by half: one holds any k + 1 of them
         width = 2 * (index.budget[seg] + 1)
         band = (diagonal + shift * (width // 2)) // width
-        key = seg.astype(np.int64) * (len(c) + 4 * SEGMENT) + band
-        # a place of the segment counts once, however often the text repeats its q-gram
-        marks = np.sort(key * 128 + place)
-        key = marks[np.r_[True, marks[1:] != marks[:-1]]] // 128
-        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        keys, n = key[starts], np.diff(np.r_[starts, len(key)])
-        s = keys // (len(c) + 4 * SEGMENT)
-        for k, one in zip(keys[n >= index.need[s]], s[n >= index.need[s]], strict=True):
+        # shared q-grams count for the text they lie in; a place of the segment counts once,
+        # however often the text repeats its q-gram
+        key = seg.astype(np.int64) * size + band
+        order = np.lexsort((place, text, key))
+        new = np.r_[True, (np.diff(key[order]) != 0) | (np.diff(text[order]) != 0) | (np.diff(place[order]) != 0)]
+        key, own = key[order][new], text[order][new]
+        starts = np.flatnonzero(np.r_[True, (np.diff(key) != 0) | (np.diff(own) != 0)])
+        n = np.diff(np.r_[starts, len(key)])
+        enough = starts[n >= index.need[key[starts] // size]]
+        for k, t in zip(key[enough].tolist(), own[enough].tolist(), strict=True):
+            one = k // size
             w = 2 * (int(index.budget[one]) + 1)
-            start = int(k % (len(c) + 4 * SEGMENT)) * w - shift * (w // 2) - SEGMENT
-            found.add((int(one), start, w))
+            found.add((one, t, k % size * w - shift * (w // 2) - SEGMENT, w))
     done = {}
-    for one, start, w in sorted(found):
-        if any(abs(start - x) <= w for x in done.get(one, ())):
+    for one, t, start, w in sorted(found):
+        if any(abs(start - x) <= w for x in done.get((one, t), ())):
             continue
         segment, most = index.segments[one], int(index.budget[one])
-        lo, hi = max(0, start - most), min(len(c), start + w + len(segment) + most)
+        # the region ends where its text does
+        lo, hi = max(int(begins[t]), start - most), min(int(ends[t]), start + w + len(segment) + most)
         e = 0 if whole(segment, c[lo:hi]) else edits(segment, c[lo:hi], most)
         if e <= most:
-            done.setdefault(one, []).append(start)
-            yield max(0, start), one, e
+            done.setdefault((one, t), []).append(start)
+            yield t, max(int(begins[t]), start), one, e
 
 
 def finder(shared) -> Callable:
@@ -151,7 +159,7 @@ def finder(shared) -> Callable:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         index = shared.value
-        gap = np.full(Q, _GAP, np.uint32)
+        gap = np.full(GAP, _GAP, np.uint32)
         for batch in batches:
             out = []
             ids, texts = batch["id"].tolist(), batch["text"].tolist()
@@ -161,10 +169,9 @@ def finder(shared) -> Callable:
                     c = codes(normalised(t))
                     begins.append(size)
                     parts += [c, gap]
-                    size += len(c) + Q
-                for place, seg, e in matches(np.concatenate(parts), index):
-                    k = int(np.searchsorted(begins, min(place + SEGMENT // 2, size - 1), "right")) - 1
-                    out.append((ids[at + k], index.items[seg], max(0, place - begins[k]), e))
+                    size += len(c) + GAP
+                for text, place, seg, e in matches(np.concatenate(parts), index, np.array(begins)):
+                    out.append((ids[at + text], index.items[seg], place - begins[text], e))
             yield pd.DataFrame(out, columns=["id", "item_id", "start", "edits"]).astype({"id": "Int64", "item_id": "Int64"})
 
     return run

@@ -198,3 +198,31 @@ def test_level_finds_few_and_many(count):
     asked = np.unique(np.r_[rng.choice(keys, count), rng.integers(0, 50 * 1000, count)])
     at = np.searchsorted(keys, asked)
     assert (level.find(asked, 1000) == np.where(keys[np.minimum(at, len(keys) - 1)] == asked, at, -1)).all()
+
+
+def test_short_items_at_the_end_of_a_text_belong_to_it(spark):
+    docs, items, want, rng = [], [], set(), np.random.default_rng(8)
+    for size in range(20, 41):
+        item = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxy"), size))
+        items.append((size, item))
+        for pad in range(9):
+            for t in (item, "z" * pad + " " + item, item + " " + "z" * pad):
+                want.add((len(docs), size))
+                docs += [(len(docs), t), (len(docs) + 1, "quite another text without any passage"), (len(docs) + 2, "")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    found = decontamination.leaks(frame, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in found if r.fewest_edits == 0} == want
+    assert {r.doc_id for r in found} == {d for d, _ in want}
+
+
+def test_segments_split_between_rows_are_no_match(spark):
+    docs = [(3 * i + k, t) for i, cut in enumerate(range(2, 99)) for k, t in enumerate((PASSAGE[:cut], PASSAGE[cut:100], ""))]
+    index = decontamination.Index([(1, PASSAGE[:100])])
+    c = decontamination.codes(decontamination.normalised(PASSAGE[:100]))
+
+    def holds(t):
+        return decontamination.edits(c, decontamination.codes(decontamination.normalised(t)), 10) <= 10
+
+    frame = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    found = decontamination.leaks(frame, spark.createDataFrame([(1, PASSAGE[:100])], "item_id long, text string")).collect()
+    assert len(index.segments) == 1 and {r.doc_id for r in found} == {i for i, t in docs if holds(t)}
