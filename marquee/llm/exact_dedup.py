@@ -122,9 +122,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the copies that exact_dedup drops, with the columns of docs."""
-    kept = fresh(docs, "kept")
-    assert kept == "kept", "a column named kept would be lost"
-    return exact_dedup(docs, id_col, text_col).filter("kept").select(*docs.columns)
+    # numbered names, so that none clashes with exact_dedup's
+    names = {c.lower(): f"c{i}" for i, c in enumerate(docs.columns)}
+    found = exact_dedup(docs.toDF(*names.values()), names[id_col.lower()], names[text_col.lower()])
+    return found.filter("kept").select(*names.values()).toDF(*docs.columns)
 
 
 ORACLE_SQL = """

@@ -103,3 +103,11 @@ def test_empty_tables(none):
     assert exact_dedup.exact_dedup(none).count() == 0
     assert ngram_join.ngram_components(none).count() == 0
     assert mixing.mixed(none).count() == 0
+
+
+def test_dropping_copies_keeps_clashing_columns(odd, odd_rows):
+    want = {r[1] or "": max((x[0] for x in odd_rows if (x[1] or "") == (r[1] or "") and x[0] is not None), default=None) for r in odd_rows}
+    left = Counter(r for r in odd_rows if r[0] == want[r[1] or ""])
+    clashing = odd.withColumnsRenamed({"size": "keep_id", "n": "group_size", "KEY": "text_sha256"})
+    found = exact_dedup.drop_copies(clashing)
+    assert found.columns == clashing.columns and Counter(map(tuple, found.collect())) == left
