@@ -107,7 +107,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     merged = members.groupBy(F.col(key).alias("key"), F.col(sha).alias("sha"), F.col(text).alias("text"), (F.spark_partition_id() % SALTS).alias("salt")).agg(F.max(id_col).cast("long").alias("top"), F.count(F.lit(1)).alias("n"))
     slot_head = F.shiftrightunsigned("key", 64 - depth).cast("int") if depth else F.lit(0)
     owned = merged.withColumn("slot_head", slot_head).join(F.broadcast(directory), "slot_head").select("bucket", "key", "sha", "text", "top", "n")
-    index = owned.repartition(len(numbers), "bucket", "key").sortWithinPartitions("bucket", "key").mapInPandas(chains, "bucket int, key long, place int, sha string, top long, n long")
+    index = owned.repartition(len(numbers), "bucket").sortWithinPartitions("bucket", "key").mapInPandas(chains, "bucket int, key long, place int, sha string, top long, n long")
     path = shared_dir(spark, "buckets")
     index.write.partitionBy("bucket").parquet(path)
     found = spark.read.schema("key long, place int, sha string, top long, n long, bucket int").parquet(path)

@@ -111,3 +111,11 @@ def test_dropping_copies_keeps_clashing_columns(odd, odd_rows):
     clashing = odd.withColumnsRenamed({"size": "keep_id", "n": "group_size", "KEY": "text_sha256"})
     found = exact_dedup.drop_copies(clashing)
     assert found.columns == clashing.columns and Counter(map(tuple, found.collect())) == left
+
+
+def test_a_bucket_has_one_owner(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "shared_dir", lambda spark, name: f"file://{tmp_path}/{name}")
+    docs = spark.createDataFrame([(i, f"text {i % 400}") for i in range(800)], "doc_id long, text string")
+    assert exact_dedup.exact_dedup(docs, capacity=100).filter("kept").count() == 400
+    files = [len(list(x.glob("*.parquet"))) for x in (tmp_path / "buckets").glob("bucket=*")]
+    assert len(files) > 3 and set(files) == {1}
