@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import ast
 import os
 import tempfile
+from functools import lru_cache
 from urllib.parse import urlparse
 
 import numpy as np
 from pyarrow import fs
 
 _ONE = np.uint64(1)
+#: Shards that a worker keeps mapped.
+OPEN = 128
 
 
 class EliasFano:
@@ -44,17 +48,8 @@ class EliasFano:
     def at(self, i: np.ndarray) -> np.ndarray:
         """Values at the positions i."""
         i = np.asarray(i, np.int64)
-        w = np.searchsorted(self.before, i, "right") - 1
-        left = i - self.before[w]
-        bits = self.high[w]
-        place = np.zeros(len(i), np.int64)
-        for s in (32, 16, 8, 4, 2, 1):
-            c = np.bitwise_count(bits & np.uint64((1 << s) - 1)).astype(np.int64)
-            go = left >= c
-            left = np.where(go, left - c, left)
-            bits = np.where(go, bits >> np.uint64(s), bits)
-            place += go * s
-        return self._joined(w * 64 + place - i, i)
+        w = np.searchsorted(self.before, i.astype(self.before.dtype), "right") - 1
+        return self._joined(w * 64 + placed(self.high[w], i - self.before[w]) - i, i)
 
     def all(self) -> np.ndarray:
         """All values."""
@@ -63,32 +58,59 @@ class EliasFano:
         return self._joined(places - i, i)
 
     def _joined(self, high: np.ndarray, i: np.ndarray) -> np.ndarray:
-        out = high << self.width
-        if self.width:
-            at = i * self.width
-            shift = (at & 63).astype(np.uint64)
-            x = self.low[at >> 6] >> shift
-            x |= np.where(shift > 0, self.low[(at >> 6) + 1] << ((np.uint64(64) - shift) & np.uint64(63)), np.uint64(0))
-            out |= (x & np.uint64((1 << self.width) - 1)).astype(np.int64)
-        return out
+        return high << self.width | self._lows(i)
+
+    def _lows(self, i: np.ndarray) -> np.ndarray:
+        """The low bits at the positions i."""
+        if not self.width:
+            return np.zeros(len(i), np.int64)
+        at = i * self.width
+        shift = (at & 63).astype(np.uint64)
+        x = self.low[at >> 6] >> shift
+        x |= np.where(shift > 0, self.low[(at >> 6) + 1] << ((np.uint64(64) - shift) & np.uint64(63)), np.uint64(0))
+        return (x & np.uint64((1 << self.width) - 1)).astype(np.int64)
 
     def find(self, start: np.ndarray, end: np.ndarray, value: np.ndarray) -> np.ndarray:
-        """The position in [start, end) that holds value, or -1: the first not below it."""
-        lo, hi = start.copy(), end.copy()
+        """The position in [start, end) that holds value, or -1. Values rise within a range, and
+        value is at least that before start: its high bits name the zero behind which to look."""
+        high, low = value >> self.width, value & ((1 << self.width) - 1)
+        lo, hi = np.maximum(start, self._upto(high - 1)), np.minimum(end, self._upto(high))
         todo = np.flatnonzero(lo < hi)
-        while len(todo):
-            mid = (lo[todo] + hi[todo]) >> 1
-            below = self.at(mid) < value[todo]
-            lo[todo] = np.where(below, mid + 1, lo[todo])
-            hi[todo] = np.where(below, hi[todo], mid)
-            todo = todo[lo[todo] < hi[todo]]
-        out = np.full(len(lo), -1, np.int64)
-        inside = np.flatnonzero(lo < end)
-        hit = self.at(lo[inside]) == value[inside]
-        out[inside[hit]] = lo[inside[hit]]
+        at, to, want = lo[todo], hi[todo], low[todo]
+        for _ in range(int((to - at).max(initial=1)).bit_length()):
+            mid = (at + to) >> 1
+            below = (self._lows(mid) < want) & (at < to)
+            at, to = np.where(below, mid + 1, at), np.where(below, to, mid)
+        out = np.full(len(value), -1, np.int64)
+        hit = np.flatnonzero(at < hi[todo])
+        hit = hit[self._lows(at[hit]) == want[hit]]
+        out[todo[hit]] = at[hit]
+        return out
+
+    def _upto(self, high: np.ndarray) -> np.ndarray:
+        """How many values have high bits up to these."""
+        zeros = np.arange(len(self.before), dtype=np.int64) * 64 - self.before
+        out = np.where(high < 0, 0, self.n)
+        inside = np.flatnonzero((high >= 0) & (high < zeros[-1]))
+        zero = high[inside]
+        w = np.searchsorted(zeros, zero, "right") - 1
+        out[inside] = w * 64 + placed(~self.high[w], zero - zeros[w]) - zero
         return out
 
 
+def placed(bits: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Where in each word of bits the one lies that has left ones below it."""
+    place = np.zeros(len(bits), np.int64)
+    left = np.asarray(left, np.int64)
+    for s in (32, 16, 8, 4, 2, 1):
+        c = np.bitwise_count(bits & np.uint64((1 << s) - 1)).astype(np.int64)
+        go = left >= c
+        left = np.where(go, left - c, left)
+        bits = np.where(go, bits >> np.uint64(s), bits)
+        place += go * s
+    return place
+
+
 def quantised(x: np.ndarray, bits: int = 8) -> tuple[np.ndarray, np.ndarray]:
     """Codes and code book: values in bins of equal counts, each bin at its mean."""
     x = np.asarray(x, np.float64)
@@ -146,15 +168,17 @@ class Level:
     def find(self, keys: np.ndarray, width: int) -> np.ndarray:
         """Positions of sorted keys, -1 where absent. Many keys are searched in the level read
         from end to end, few by the pointers."""
-        if 8 * len(keys) >= self.list.n:
+        if 4 * len(keys) >= self.list.n:
             mine = self.keys(width)
             at = np.minimum(np.searchsorted(mine, keys), len(mine) - 1)
             return np.where(mine[at] == keys, at, -1)
         context, word = keys // width, keys % width
-        start, end = self.to.at(context), self.to.at(context + 1)
-        base = np.zeros(len(keys), np.int64)
+        run = np.flatnonzero(np.r_[True, context[1:] != context[:-1]])
+        start, end = self.to.at(context[run]), self.to.at(context[run] + 1)
+        base = np.zeros(len(run), np.int64)
         later = np.flatnonzero((start > 0) & (start < end))
         base[later] = self.list.at(start[later] - 1)
+        start, end, base = (np.repeat(x, np.diff(np.r_[run, len(keys)])) for x in (start, end, base))
         return self.list.find(start, end, base + word)
 
 
@@ -175,11 +199,11 @@ def save(parts: dict[str, np.ndarray], uri: str) -> None:
         f.write(len(head).to_bytes(8, "little") + head + b"".join(body))
 
 
+@lru_cache(maxsize=OPEN)
 def load(uri: str) -> dict[str, np.ndarray]:
-    """The arrays, memory-mapped. A file of a store that cannot be mapped is first copied to an
-    unnamed local one, which lives as long as its mapping."""
-    import ast
-
+    """The arrays, memory-mapped; a worker keeps the last OPEN files mapped. A file of a store
+    that cannot be mapped is first copied to an unnamed local one, which lives as long as its
+    mapping: a cache of the worker's own, which nothing else reads."""
     if urlparse(uri).scheme in ("", "file"):
         data = np.memmap(urlparse(uri).path, np.uint8, "r")
     else:

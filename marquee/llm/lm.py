@@ -158,26 +158,41 @@ def unpacked(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Different keys of the rows, sorted, and the sums of their counts."""
     keys = np.concatenate([np.cumsum(np.frombuffer(x, np.int64)) for x in rows["keys"]])
     n = np.concatenate([np.frombuffer(x, np.int64) for x in rows["n"]])
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys, n = keys[order], n[order]
     starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
     return keys[starts], np.add.reduceat(n, starts)
 
 
-def after(values: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """The value before each token; -1 where a text begins."""
-    out = np.r_[-1, values[:-1]]
-    out[first] = -1
+def after(values: np.ndarray, first: np.ndarray, empty=-1) -> np.ndarray:
+    """The value before each token; empty where a text begins."""
+    out = np.empty_like(values)
+    out[1:] = values[:-1]
+    out[first] = empty
     return out
 
 
-def looked_up(valid: np.ndarray, keys: np.ndarray, find: Callable, *empty) -> list[np.ndarray]:
-    """find(sorted keys) for the tokens that are valid, empty for others."""
-    unique, inverse = np.unique(keys[valid], return_inverse=True)
-    out = [np.full(len(keys), x) for x in empty]
-    found = find(unique)
-    for x, y in zip(out, found if isinstance(found, tuple) else (found,), strict=True):
-        x[valid] = y[inverse]
+def ranked(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different keys, sorted, and each key's place among them."""
+    codes, unique = pd.factorize(keys)
+    order = np.argsort(unique)
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return unique[order], rank[codes]
+
+
+def spread(valid: np.ndarray, inverse: np.ndarray, *found: tuple[np.ndarray, float]) -> list[np.ndarray]:
+    """Of (values of distinct keys, what stands elsewhere): the values of the tokens that are valid."""
+    out = [np.full(len(valid), empty) for _, empty in found]
+    for x, (values, _) in zip(out, found, strict=True):
+        x[valid] = values[inverse]
+    return out
+
+
+def weighed(grams: Grams, places: np.ndarray) -> np.ndarray:
+    """grams.weights of sorted places, 0 where they are -1."""
+    out = np.zeros(len(places))
+    out[places >= 0] = grams.weights(places[places >= 0])
     return out
 
 
@@ -186,13 +201,15 @@ def count_grams(words: Words, two: Grams | None, shards: int) -> Callable:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for _, h, begins in sequences(batches, BUFFER):
-            ids, _ = looked_up(np.ones(len(h), bool), h, words.find, -1, 0)
+            unique, inverse = ranked(h)
+            ids = words.find(unique)[0][inverse]
             first = np.zeros(len(ids), bool)
             first[begins] = True
             context = after(ids, first)
             listed = (context >= 0) & (ids >= 0)
             if two:
-                at, _ = looked_up(listed, context * words.size + ids, two.find, -1, 0.0)
+                unique, inverse = ranked(context[listed] * words.size + ids[listed])
+                (at,) = spread(listed, inverse, (two.find(unique)[0], -1))
                 context = after(at, first)
                 listed = (context >= 0) & (at >= 0)
             keys, n = np.unique(context[listed] * words.size + ids[listed], return_counts=True)
@@ -269,18 +286,24 @@ def scorer(words: Words, two: Grams, three: Grams, total: int, distinct: int) ->
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         floor = np.log10(total + 0.1 * (distinct + 1))
         for keys, h, begins in sequences(batches, BUFFER // 2):
-            ids, n = looked_up(np.ones(len(h), bool), h, words.find, -1, 0)
+            unique, inverse = ranked(h)
+            ids, n = words.find(unique)
+            weight = weighed(two, ids)[inverse]
+            ids, n = ids[inverse], n[inverse]
             first = np.zeros(len(ids), bool)
             first[begins] = True
             known = (ids >= 0) & ~first
             base = np.where(first, 0.0, np.log10(n + 0.1) - floor)
-            logs = base.copy()
+            logs, at = base, ids
             for grams in (two, three):
                 # words after the first level, places of bigrams after the second
-                context = after(ids if grams is two else at, first)
-                logs += looked_up(context >= 0, context, grams.weights, 0.0)[0]
-                listed = (context >= 0) & ((ids if grams is two else at) >= 0)
-                at, p = looked_up(listed, context * grams.width + ids, grams.find, -1, 0.0)
+                logs = logs + after(weight, first, 0.0)
+                context = after(at, first)
+                listed = (context >= 0) & (ids >= 0 if grams is two else at >= 0)
+                unique, inverse = ranked(context[listed] * grams.width + ids[listed])
+                places, p = grams.find(unique)
+                more = weighed(three, places) if grams is two else np.zeros(len(places))
+                at, p, weight = spread(listed, inverse, (places, -1), (p, 0.0), (more, 0.0))
                 logs = np.where(at >= 0, p, logs)
             logs[first] = 0
             ends = np.r_[begins[1:], len(h)]
