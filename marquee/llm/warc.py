@@ -27,6 +27,8 @@ from marquee.llm.common import attach, cut, shared_dir, tuned
 LEAST_BYTES = 100
 #: Ranges of one file at most so many bytes apart are read together, up to so many bytes.
 GAP_BYTES, READ_BYTES = 64 << 10, 8 << 20
+#: Bytes of archives that a task reads.
+TASK_BYTES = 64 << 20
 #: Compression of the members.
 LEVEL = 3
 
@@ -34,20 +36,22 @@ INDEX = "page_id long, url string, digest string, record_type string, refers_to
 
 
 def record(page_id, url: str | None, payload: bytes, size: int, digest: str, kind: str, refers_to) -> bytes:
-    """One WARC/1.1 record. A revisit has no payload; its headers keep the payload's digest and
-    length and the page it refers to. Line breaks in a URL are percent-encoded."""
+    """One WARC/1.1 record, with an id of its own, and the page's id in a header. A revisit has no
+    payload; its headers keep the payload's digest and length and the page it refers to. Line
+    breaks in a URL are percent-encoded."""
     name = "null" if page_id is None else str(page_id)
     lines = [
         "WARC/1.1",
         f"WARC-Type: {kind}",
-        f"WARC-Record-ID: <urn:page:{name}>",
+        f"WARC-Record-ID: <urn:uuid:{uuid.uuid4()}>",
+        f"X-Page-ID: {name}",
         f"WARC-Target-URI: {(url or '').replace(chr(13), '%0D').replace(chr(10), '%0A')}",
         "WARC-Date: 1970-01-01T00:00:00Z",
         f"WARC-Payload-Digest: sha256:{digest}",
         f"WARC-Payload-Length: {size}",
     ]
     if kind == "revisit":
-        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>"]
+        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Page-ID: {refers_to}"]
         payload = b""
     head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
     block = head + payload
@@ -122,9 +126,9 @@ def reader(folder: str, with_html: bool) -> Callable:
                             digest = headers["WARC-Payload-Digest"].removeprefix("sha256:")
                             if kind == "response" and hashlib.sha256(payload).hexdigest() != digest:
                                 raise ValueError(f"{name} at {offsets[k]}: the payload doesn't match its digest")
-                            ids = [x.removeprefix("<urn:page:").removesuffix(">") for x in (headers["WARC-Record-ID"], headers.get("WARC-Refers-To", ""))]
+                            ids = headers["X-Page-ID"], headers.get("X-Refers-To-Page-ID", "")
                             size = len(payload) if kind == "response" else int(headers["WARC-Payload-Length"])
-                            rows.append((None if ids[0] == "null" else int(ids[0]), headers["WARC-Target-URI"], size, digest, kind, int(ids[1]) if ids[1] not in ("", "None") else None, payload.decode("utf-8", "surrogatepass") if with_html and kind == "response" else None))
+                            rows.append((None if ids[0] == "null" else int(ids[0]), headers["WARC-Target-URI"], size, digest, kind, int(ids[1]) if ids[1] else None, payload.decode("utf-8", "surrogatepass") if with_html and kind == "response" else None))
                         frame = pd.DataFrame(rows, columns=["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "html"])
                         yield frame.astype({"page_id": "Int64", "refers_to": "Int64"})
 
@@ -156,11 +160,29 @@ def write_archives(pages: DataFrame) -> tuple[str, DataFrame]:
 
 def read_archives(folder: str, index: DataFrame, with_html: bool = False) -> DataFrame:
     """The records that the rows of index name, read from folder: page_id, url, payload_bytes,
-    payload_digest, record_type, refers_to, and html with with_html."""
-    ordered = index.select("file", "offset", "length").repartition("file", F.expr("offset div 67108864")).sortWithinPartitions("file", "offset")
+    payload_digest, record_type, refers_to, and html with with_html (null for revisits).
+
+    Ranges of neighbouring records go to one task each, as many as the archives' bytes ask for.
+    """
+    spark = index.sparkSession
+    size = index.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    tasks = max(spark.sparkContext.defaultParallelism, -(-size // TASK_BYTES))
+    ordered = index.select("file", "offset", "length").repartitionByRange(tasks, "file", "offset").sortWithinPartitions("file", "offset")
     return ordered.mapInPandas(reader(folder, with_html), "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, html string")
 
 
+def read_pages(folder: str, index: DataFrame) -> DataFrame:
+    """read_archives with html of revisits too, which is that of the response they refer to."""
+    records = read_archives(folder, index, with_html=True)
+    asked = index.filter("record_type = 'revisit'").select(F.col("refers_to").alias("page_id"), "digest").distinct()
+    of = attach(index.filter("record_type = 'response'"), asked, ["page_id", "digest"], "left_semi").dropDuplicates(["page_id", "digest"])
+    payloads = cut(read_archives(folder, of, with_html=True).select(F.col("payload_digest").alias("digest"), F.col("html").alias("payload")), "payloads")
+    again = F.col("record_type") == "revisit"
+    # responses keep a digest of their own, so that they do not meet the payloads
+    keyed = records.withColumn("digest", F.when(again, F.col("payload_digest")).otherwise(F.concat(F.lit("-"), "payload_digest")))
+    return keyed.join(payloads, "digest", "left").withColumn("html", F.coalesce("html", "payload")).drop("digest", "payload")
+
+
 ORACLE_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
 d AS (SELECT page_id, strlen(body)::BIGINT AS payload_bytes, sha256(body) AS payload_digest FROM p),

@@ -1,10 +1,12 @@
 """Decontamination, personal data, language models and archives against brute force."""
 
+import gzip
 import itertools
 import math
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -139,6 +141,22 @@ def test_archives_round_trip(spark, rows):
             assert (r.record_type, r.refers_to, r.html) == ("revisit", 1, None) and r.payload_bytes == 403
         if r.page_id == 1:
             assert r.html == long and r.record_type == "response"
+    whole = warc.read_pages(folder, index).collect()
+    assert Counter((r.page_id, r.html or None) for r in whole) == Counter((p[0], p[2] or None) for p in pages)
+
+
+def test_archives_of_odd_pages(spark):
+    """Very long payloads, clashing columns, many small records: ids of records are unique, and
+    reading is dealt by bytes."""
+    pages = [(i, "u", f"page {i % 50} " * (200_000 if i == 7 else 12), "x", i) for i in range(300)]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string, DIGEST string, first int").repartition(5)
+    folder, index = warc.write_archives(frame)
+    found = warc.read_pages(folder, index)
+    assert Counter((r.page_id, r.html) for r in found.collect()) == Counter((p[0], p[2]) for p in pages)
+    files = Path(folder.removeprefix("file://"))
+    ids = [m for f in files.glob("*.gz") for m in re.findall(rb"WARC-Record-ID: (\S+)", gzip.decompress(f.read_bytes()))]
+    assert len(ids) == len(set(ids)) == 300
+    assert warc.read_archives(folder, index).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
 
 
 def test_neighbouring_ranges_are_read_together():
