@@ -15,6 +15,7 @@ reach its owner), so a text that fills a third of the table costs its owner a fe
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -22,19 +23,20 @@ from pyspark.sql import functions as F
 
 from marquee.llm.common import attach, cut, fresh, shared_dir, tuned, with_columns
 
-#: Slots that a bucket may hold before it splits, the most bits of the directory (2**12 entries
-#: on the driver), and the rows of one text that may reach its owner.
-CAPACITY, MAX_DEPTH, SALTS = 20_000, 12, 8
+#: Slots that a bucket may hold before it splits, the fewest bits by which slots are counted, and
+#: the rows of one text that may reach its owner.
+CAPACITY, BITS, SALTS = 20_000, 12, 8
 
 
-def build_directory(loads: dict[int, int], capacity: int = CAPACITY, max_depth: int = MAX_DEPTH) -> tuple[int, list[tuple[int, int]]]:
+def build_directory(loads: dict[int, int], capacity: int = CAPACITY, max_depth: int = BITS) -> tuple[int, list[tuple[int, int]]]:
     """Depth and entries of the directory for loads, the number of slots by their leading
     max_depth bits. Entry i names the bucket of slots that start with the bits of i: its prefix
     and its own depth, at most the directory's. A bucket as deep as max_depth stays overfull."""
+    below = list(accumulate((loads.get(x, 0) for x in range(1 << max_depth)), initial=0))
 
     def load(prefix: int, depth: int) -> int:
         width = max_depth - depth
-        return sum(loads.get(x, 0) for x in range(prefix << width, (prefix + 1) << width))
+        return below[(prefix + 1) << width] - below[prefix << width]
 
     depth, entries = 0, [(0, 0)]
     todo = [(0, 0)]
@@ -95,18 +97,21 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keyed = docs.withColumn(text, F.coalesce(F.col(text_col), F.lit(""))).withColumn(key, slot).withColumn(sha, F.sha2(text, 256))
 
     slots = cut(keyed.groupBy(F.col(key).alias("key")).agg(F.count(F.lit(1)).alias("n")), "slots")
-    head = F.shiftrightunsigned("key", 64 - MAX_DEPTH).cast("int")
-    loads = {r[0]: r[1] for r in slots.groupBy(head.alias("head")).count().collect()}  # 2**MAX_DEPTH rows at most
-    depth, entries = build_directory(loads, capacity)
-    # buckets numbered in key order; at most 2**MAX_DEPTH of them
+    # so many bits that an even share of the slots would split four times over; 16 numbers or so
+    # for each bucket reach the driver
+    bits = max(BITS, (slots.count() // capacity).bit_length() + 3)
+    head = F.shiftrightunsigned("key", 64 - bits)
+    loads = {r[0]: r[1] for r in slots.groupBy(head.alias("head")).count().collect()}
+    depth, entries = build_directory(loads, capacity, bits)
+    # buckets numbered in key order
     numbers = {e: i for i, e in enumerate(dict.fromkeys(entries))}
-    directory = spark.createDataFrame([(i, numbers[e]) for i, e in enumerate(entries)], "slot_head int, bucket int")
+    directory = spark.createDataFrame([(i, numbers[e]) for i, e in enumerate(entries)], "slot_head long, bucket int")
 
     shared = slots.filter("n > 1").select(F.col("key").alias(key))
     members = attach(keyed, shared, [key], "left_semi")
     merged = members.groupBy(F.col(key).alias("key"), F.col(sha).alias("sha"), F.col(text).alias("text"), (F.spark_partition_id() % SALTS).alias("salt")).agg(F.max(id_col).cast("long").alias("top"), F.count(F.lit(1)).alias("n"))
-    slot_head = F.shiftrightunsigned("key", 64 - depth).cast("int") if depth else F.lit(0)
-    owned = merged.withColumn("slot_head", slot_head).join(F.broadcast(directory), "slot_head").select("bucket", "key", "sha", "text", "top", "n")
+    slot_head = F.shiftrightunsigned("key", 64 - depth) if depth else F.lit(0).cast("long")
+    owned = attach(merged.withColumn("slot_head", slot_head), directory, ["slot_head"], "inner", len(entries)).select("bucket", "key", "sha", "text", "top", "n")
     index = owned.repartition(len(numbers), "bucket").sortWithinPartitions("bucket", "key").mapInPandas(chains, "bucket int, key long, place int, sha string, top long, n long")
     path = shared_dir(spark, "buckets")
     index.write.partitionBy("bucket").parquet(path)
