@@ -34,11 +34,14 @@ def tuned(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new path below spark.checkpoint.dir, which driver and executors share.
 
-    Where the setting is absent (a local session, as in tests) a folder under the system's
-    temporary folder serves, which is right for one machine only.
+    Where the setting is absent, a session in one process (as in tests) takes a folder under the
+    system's temporary folder; on a cluster no such folder is shared, and this raises ValueError.
     """
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = f"file://{tempfile.gettempdir()}/checkpoints/{spark.sparkContext.applicationId}"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
