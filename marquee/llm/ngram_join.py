@@ -37,8 +37,8 @@ from marquee.llm.components import components
 #: Columns with more sets than this are crowded; so many of the most crowded go last in the
 #: order (8 bytes each on the driver; any choice gives the same links).
 CROWDED, LAST = 48, 1 << 19
-#: Rounds of comparing crowded columns with a centre.
-ROUNDS = 2
+#: Rounds of comparing crowded columns with a centre; rows of a column that a task compares at once.
+ROUNDS, BLOCK = 2, 1_000
 
 
 def bound(n, num: int, den: int):
@@ -135,20 +135,18 @@ def product(num: int, den: int, crowded: int) -> Callable:
 
 
 def across(num: int, den: int) -> Callable:
-    """Rows (gram, id, n, label, o) of crowded columns sorted by gram to pairs between labels whose
-    overlaps o with the column's stock both reach what the pair's sizes ask for."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in complete(batches):
-            found = []
-            for _, one in part.groupby("gram", sort=False):
-                i, n, lab, o = (one[c].to_numpy() for c in ("id", "n", "label", "o"))
-                common = pd.Series(lab).mode()[0]
-                for x in np.flatnonzero(lab != common):
-                    y = i[(lab != lab[x]) & (np.minimum(o, o[x]) * (den + num) >= num * (n + n[x]))]
-                    found.append(np.stack([np.minimum(i[x], y), np.maximum(i[x], y)]))
-            if found:
-                yield pd.DataFrame(np.concatenate(found, axis=1).T, columns=["a", "b"]).drop_duplicates()
+    """Rows (gram, i, j, stray, id, n, label, o), a block of a crowded column's strays and one of
+    its rows for each (gram, i, j), to pairs (a, b) between labels whose overlaps o with the
+    column's stock both reach what the pair's sizes ask for."""
+
+    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        one, other = (part[part["stray"] == x] for x in (True, False))
+        i, n, lab, o = (other[c].to_numpy() for c in ("id", "n", "label", "o"))
+        found = [np.empty((2, 0), np.int64)]
+        for xi, xn, xl, xo in zip(*(one[c].tolist() for c in ("id", "n", "label", "o")), strict=True):
+            y = i[(lab != xl) & (np.minimum(o, xo) * (den + num) >= num * (n + xn))]
+            found.append(np.stack([np.minimum(xi, y), np.maximum(xi, y)]))
+        return pd.DataFrame(np.concatenate(found, axis=1).T, columns=["a", "b"])
 
     return run
 
@@ -216,12 +214,21 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         moved = cut(holding(ready, "head", late), "moved")
         again = attach(texts, moved, ["id"], "left_semi").mapInPandas(sketcher(k, num, den, 1, order), sketch)
         ready = ready.join(moved, "id", "left_anti").unionByName(again.select("id", "n", "head"))
-    entries = ready.select("id", "n", F.explode("head").alias("gram")).repartition("gram").sortWithinPartitions("gram")
+    entries = ready.select(F.explode("head").alias("gram"), "id", "n")
+    columns = None
+    if not late.isEmpty():
+        # columns known to be crowded stay where they are read; no task gathers one
+        known = entries.join(F.broadcast(late.select("gram")), "gram").groupBy("gram").count().filter(F.col("count") > crowded)
+        known = cut(known.select("gram"), "known")  # 2 * LAST rows of 8 bytes at most
+        columns = cut(entries.join(F.broadcast(known), "gram", "left_semi"), "columns")
+        entries = entries.join(F.broadcast(known), "gram", "left_anti")
     schema = "gram long, a long, b long, na int, nb int, c long"
-    parts = cut(entries.select("gram", "id", "n").mapInPandas(product(num, den, crowded), schema), "overlaps")
+    entries = entries.repartition("gram").sortWithinPartitions("gram").select("gram", "id", "n")
+    parts = cut(entries.mapInPandas(product(num, den, crowded), schema), "overlaps")
 
     pairs = parts.filter("c > 0").groupBy("a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.sum("c").alias("c"))
-    columns = parts.filter("c = 0").select("gram", F.col("a").alias("id"), F.col("na").alias("n")).distinct()
+    more = parts.filter("c = 0").select("gram", F.col("a").alias("id"), F.col("na").alias("n"))
+    columns = more if columns is None else columns.select("gram", "id", "n").unionByName(more)
     crowd = columns.groupBy("id").count()
     for x in "ab":
         pairs = pairs.join(crowd.select(F.col("id").alias(x), F.col("count").alias(f"k{x}")), x, "left")
@@ -254,13 +261,21 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return attach(docs, gone, [id_col], "left_anti").select(*docs.columns)
 
 
+def commonest(rows: DataFrame) -> DataFrame:
+    """(gram, common): the label that most rows (gram, label) of each gram bear. Counts of labels
+    are added up before they move; no task gathers a column."""
+    return rows.groupBy("gram", "label").count().groupBy("gram").agg(F.max_by("label", F.struct("count", -F.col("label"))).alias("common"))
+
+
 def centred(rows: DataFrame, round_: int) -> DataFrame:
     """rows (gram, id, n, own, label) with centre and clabel of their column in this round: the
     set with the smallest part of its own; in later rounds, outside the column's largest label."""
-    rows = rows.join(rows.groupBy("gram").agg(F.mode("label", deterministic=True).alias("common")), "gram")
-    aside = (F.col("label") == F.col("common")) & F.lit(round_ > 0)
+    aside = F.lit(0)
+    if round_:
+        rows = attach(rows, cut(commonest(rows), "common"), ["gram"], "inner")
+        aside = (F.col("label") == F.col("common")).cast("int")
     best = rows.groupBy("gram").agg(F.min_by(F.struct("id", "label"), F.struct(aside, "own", -F.col("n"), F.xxhash64("id"))).alias("m"))
-    return rows.join(best, "gram").select("gram", "id", "n", "label", F.col("m.id").alias("centre"), F.col("m.label").alias("clabel"))
+    return attach(rows, cut(best, "centres"), ["gram"], "inner").select("gram", "id", "n", "label", F.col("m.id").alias("centre"), F.col("m.label").alias("clabel"))
 
 
 def crowded_links(columns: DataFrame, sets: DataFrame, links: DataFrame, names: DataFrame, late: DataFrame, num: int, den: int, crowded: int) -> DataFrame:
@@ -290,7 +305,7 @@ def crowded_links(columns: DataFrame, sets: DataFrame, links: DataFrame, names:
     overlap = checked.select(F.col("a").alias("centre"), F.col("b").alias("id"), F.col("both").alias("o"))
     overlap = overlap.unionByName(checked.select(F.col("b").alias("centre"), F.col("a").alias("id"), F.col("both").alias("o"))).distinct()
     # a centre itself has been compared with all its column
-    rows = cut(labelled.join(centres, "gram").join(overlap, ["centre", "id"]), "measured")
+    rows = cut(attach(labelled, cut(centres, "centres"), ["gram"], "inner").join(overlap, ["centre", "id"]), "measured")
     members = rows.select("centre", "id", "n", "label").distinct()
     both = members.join(sets, "id").join(sets.select(F.col("id").alias("centre"), F.col("grams").alias("stock")), "centre")
     extra = both.select("centre", "id", "n", "label", F.explode(F.array_except("grams", "stock")).alias("gram"))
@@ -298,7 +313,7 @@ def crowded_links(columns: DataFrame, sets: DataFrame, links: DataFrame, names:
     stock = cut(extra.groupBy("gram").count().filter(F.col("count") > crowded).select("gram"), "stock")
     more = extra.join(stock, "gram", "left_semi").groupBy("centre", "id").agg(F.count(F.lit(1)).alias("more"))
     rows = rows.join(more, ["centre", "id"], "left").withColumn("o", F.col("o") + F.coalesce("more", F.lit(0)))
-    near = rows.select("gram", "id", "n", "label", "o").repartition("gram").sortWithinPartitions("gram").mapInPandas(across(num, den), "a long, b long")
+    near = blocks(rows.select("gram", "id", "n", "label", "o"), num, den).groupBy("gram", "i", "j").applyInPandas(across(num, den), "a long, b long")
     rest = extra.join(stock, "gram", "left_anti").select("gram", "id", "n", "label").repartition("gram").sortWithinPartitions("gram")
     beyond = rest.mapInPandas(product(num, den, crowded), "gram long, a long, b long, na int, nb int, c long").select("a", "b")
     left = cut(near.union(beyond).distinct(), "across")
@@ -307,11 +322,34 @@ def crowded_links(columns: DataFrame, sets: DataFrame, links: DataFrame, names:
     return components(links.unionByName(linked(verified(left, sets), num, den)))
 
 
+def blocks(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """Rows (gram, id, n, label, o) dealt for across, so that each row outside its column's
+    commonest label, a stray, meets each row of the column in one block. A pair asks for an
+    overlap of num / den of either set at least, so rows with less are left out."""
+    rows = cut(rows.filter(F.col("o") * den >= num * F.col("n")), "near")
+    common = cut(commonest(rows), "common")
+    rows = attach(rows, common, ["gram"], "inner").withColumn("stray", F.col("label") != F.col("common"))
+    sizes = rows.groupBy("gram").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("all"), F.ceil(F.sum(F.col("stray").cast("int")) / BLOCK).cast("int").alias("strays"))
+    rows = attach(rows, cut(sizes.filter("strays > 0"), "sizes"), ["gram"], "inner")
+
+    def dealt(n: str, seed: int):
+        return F.pmod(F.xxhash64("id", F.lit(seed)), F.col(n)).cast("int")
+
+    def each(n: str):
+        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+    columns = ("gram", "i", "j", "stray", "id", "n", "label", "o")
+    one = rows.filter("stray").withColumn("i", dealt("strays", 1)).withColumn("j", each("all")).select(*columns)
+    other = rows.withColumn("stray", F.lit(False)).withColumn("j", dealt("all", 2)).withColumn("i", each("strays")).select(*columns)
+    return one.unionByName(other)
+
+
 def named(columns: DataFrame, names: DataFrame) -> DataFrame:
     """columns (gram, id, n, own) with labels, of those that hold more than one label."""
     rows = columns.join(names.select(F.col("node").alias("id"), "label"), "id", "left").select("gram", "id", "n", "own", F.coalesce("label", "id").alias("label"))
+    rows = cut(rows, "named")
     mixed = rows.groupBy("gram").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("gram")
-    return rows.join(mixed, "gram", "left_semi")
+    return attach(rows, cut(mixed, "mixed"), ["gram"], "left_semi")
 
 
 ORACLE_SQL = """

@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -72,6 +73,28 @@ def test_join_is_brute_force(odd, odd_rows, k, percent, crowded):
     assert Counter((r.doc_id, r.n_shingles) for r in found) == Counter((r[0], len(sets(r[1], k))) for r in odd_rows)
 
 
+@pytest.mark.parametrize(("percent", "rounds"), [(70, 2), (60, 0), (60, 1)])
+def test_crowded_columns_of_several_labels(spark, monkeypatch, percent, rounds):
+    """Families that share a stock of words, with sizes and overlaps around the threshold: columns
+    that stay crowded hold several components, dealt in small blocks."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 3)
+    monkeypatch.setattr(ngram_join, "ROUNDS", max(rounds, 1))
+    rng = random.Random(percent + rounds)
+    stock = [f"s{i}" for i in range(30)]
+    rows = []
+    for family in range(6):
+        own = [f"f{family}x{i}" for i in range(rng.choice((6, 10, 14)))]
+        for _ in range(14):
+            w = stock + own
+            for _ in range(rng.randrange(6)):
+                w[rng.randrange(len(w))] = f"e{rng.randrange(40)}"
+            rows.append((len(rows), " ".join(w)))
+    rng.shuffle(rows)
+    label = brute_components(rows, 3, percent)
+    found = ngram_join.ngram_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), k=3, percent=percent, crowded=5).collect()
+    assert {r.doc_id: r.component_id for r in found} == label
+
+
 def test_one_of_each_group_stays(odd, odd_rows):
     label = brute_components(odd_rows, 5, 80)
     kept = ngram_join.one_of_each(odd)
