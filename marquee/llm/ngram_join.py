@@ -38,7 +38,9 @@ from marquee.llm.components import components
 #: order (8 bytes each on the driver; any choice gives the same links).
 CROWDED, LAST = 48, 1 << 19
 #: Rounds of comparing crowded columns with a centre; rows of a column that a task compares at once.
-ROUNDS, BLOCK = 2, 1_000
+ROUNDS, BLOCK = 2, 250
+#: N-grams that a task counts before it hands counts on, and for each task that adds counts up.
+BUFFER, SHARD_GRAMS = 2_000_000, 4_000_000
 
 
 def bound(n, num: int, den: int):
@@ -81,6 +83,46 @@ def whole_sets(k: int) -> Callable:
     return run
 
 
+def count_grams(k: int, shards: int) -> Callable:
+    """Rows (text) to packed counts of the sets that hold each n-gram, in ranges of n-grams."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size = [], 0
+
+        def out() -> pd.DataFrame:
+            keys, n = np.unique(np.concatenate(held), return_counts=True)
+            ends = np.searchsorted((keys >> np.uint64(33)).astype(np.int64) * shards >> 31, np.arange(shards + 1))
+            rows = [(i, keys[a:b].tobytes(), n[a:b].astype(np.int64).tobytes()) for i, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)) if a < b]
+            return pd.DataFrame(rows, columns=["shard", "keys", "n"])
+
+        for batch in batches:
+            for text in batch["text"]:
+                held.append(shingles(words(text), k))
+                size += len(held[-1])
+                if size >= BUFFER:
+                    yield out()
+                    held, size = [], 0
+        if size:
+            yield out()
+
+    return run
+
+
+def add_counts(crowded: int) -> Callable:
+    """Packed counts of one range to (gram, count) of n-grams counted more than crowded times."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        keys = np.concatenate([np.frombuffer(x, np.int64) for x in rows["keys"]])
+        n = np.concatenate([np.frombuffer(x, np.int64) for x in rows["n"]])
+        order = np.argsort(keys)
+        keys = keys[order]
+        starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        n = np.add.reduceat(n[order], starts)
+        return pd.DataFrame({"gram": keys[starts][n > crowded], "count": n[n > crowded]})
+
+    return run
+
+
 def complete(batches: Iterator[pd.DataFrame], rows: int = 200_000) -> Iterator[pd.DataFrame]:
     """Regroups sorted batches so that no gram is split between two of them."""
     held, size = [], 0
@@ -163,9 +205,8 @@ def linked(checked: DataFrame, num: int, den: int) -> DataFrame:
     return checked.filter(F.col("both") * (den + num) >= num * (F.col("na") + F.col("nb"))).select("a", "b")
 
 
-def crowded_grams(grams: DataFrame, crowded: int) -> DataFrame:
-    """The LAST most frequent of the values that grams holds more than crowded times."""
-    counts = grams.groupBy("gram").count().filter(F.col("count") > crowded)
+def most_crowded(counts: DataFrame) -> DataFrame:
+    """The LAST most frequent of counts (gram, count)."""
     return cut(counts.orderBy(F.desc("count"), "gram").limit(LAST), "late")
 
 
@@ -202,18 +243,19 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     # crowded n-grams go last in the order: those near the front of many sets, and of the sets
     # that hold such, all that many of them share
-    late = crowded_grams(classes.select(F.explode("head").alias("gram")), crowded)
+    late = most_crowded(classes.select(F.explode("head").alias("gram")).groupBy("gram").count().filter(F.col("count") > crowded))
     entering = F.slice("head", 1, F.expr(f"least(size(head), n - cast(ceil({num} * n / {den}D - 1e-9) as int) + 1)"))
     ready = classes.select("id", "n", entering.alias("head"))
     if not late.isEmpty():
         held = cut(holding(classes, "head", late), "held")
-        whole = attach(texts, held, ["id"], "left_semi").mapInPandas(whole_sets(k), "id long, grams array<long>")
-        late = late.union(crowded_grams(whole.select(F.explode("grams").alias("gram")), crowded))
+        shards = max(16, classes.agg(F.sum("n")).first()[0] // SHARD_GRAMS)
+        counts = attach(texts, held, ["id"], "left_semi").select("text").mapInPandas(count_grams(k, shards), "shard int, keys binary, n binary")
+        late = late.union(most_crowded(counts.groupBy("shard").applyInPandas(add_counts(crowded), "gram long, count long")))
         late = cut(late.groupBy("gram").agg(F.max("count").alias("count")), "late")
         order = spark.sparkContext.broadcast(ranked(late.toPandas()))
         moved = cut(holding(ready, "head", late), "moved")
         again = attach(texts, moved, ["id"], "left_semi").mapInPandas(sketcher(k, num, den, 1, order), sketch)
-        ready = ready.join(moved, "id", "left_anti").unionByName(again.select("id", "n", "head"))
+        ready = attach(ready, moved, ["id"], "left_anti").unionByName(cut(again.select("id", "n", "head"), "again"))
     entries = ready.select(F.explode("head").alias("gram"), "id", "n")
     columns = None
     if not late.isEmpty():
