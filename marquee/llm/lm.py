@@ -26,8 +26,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marquee.llm.arrays import load, save
 from marquee.llm.common import cut, mix, shared_dir, tuned, word_hashes, words
-from marquee.llm.elias_fano import Level, load, save
+from marquee.llm.elias_fano import Level
 
 #: Occurrences from which an n-gram is listed, and the part of each count that is set aside.
 LISTED, DISCOUNT = 2, 0.75

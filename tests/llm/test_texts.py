@@ -18,13 +18,17 @@ PASSAGE = "The quick brown fox jumps over the lazy dog near the river bank while
 
 def test_contamination_finds_edited_passages_only(spark):
     edited = PASSAGE.replace("quick", "quik").replace("seven", "sevven")
-    docs = [(1, "Intro text. " + PASSAGE + " And more."), (2, "x " * 500 + edited + " y" * 3000), (3, "Nothing of the kind is in this clean text about owls and a winter night."), (4, None), (5, ""), (6, PASSAGE.upper().replace(" ", "\n ")), (6, PASSAGE), (None, PASSAGE)]
-    frame = spark.createDataFrame(docs, "doc_id long, text string").withColumnRenamed("text", "text")
-    items = spark.createDataFrame([(10, PASSAGE), (11, None), (12, "tiny"), (13, PASSAGE)], "item_id long, text string")
-    found = {r.doc_id: r for r in decontamination.contamination(frame, items).collect() if r.doc_id is not None}
-    assert {k for k, r in found.items() if r.contaminated} == {1, 2, 6}
-    assert found[1].n_items == 2 and found[1].first_item == 10 and found[1].fewest_edits == 0
-    assert Counter(r.doc_id for r in decontamination.decontaminated(frame, items).collect()) == Counter([3, 4, 5, None])
+    docs = [(1, "Intro text. " + PASSAGE + " And more."), (2, "x " * 500 + edited + " y" * 3000), (3, "Nothing of the kind is in this clean text about owls and a winter night."), (4, None), (5, ""), (6, PASSAGE.upper().replace(" ", "\n ")), (6, PASSAGE), (None, PASSAGE), (None, "a clean text"), (1, "clean, with the id of another"), (7, " Tiny\n"), (8, "a tiny one"), (9, "who wrote it? And more"), (10, "awho wrote it?")]
+    frame = spark.createDataFrame([(*d, "x", 1) for d in docs], "doc_id long, text string, FOUND string, item_id int")
+    items = spark.createDataFrame([(10, PASSAGE), (11, None), (12, "tiny"), (13, PASSAGE), (14, "Who wrote it?"), (15, ""), (None, "who wrote")], "item_id long, text string")
+    found = decontamination.contamination(frame, items).collect()
+    assert Counter(r.doc_id for r in found) == Counter(d[0] for d in docs)
+    assert Counter(r.doc_id for r in found if r.contaminated) == Counter([1, 2, 6, 6, None, 7, 9])
+    one = next(r for r in found if r.doc_id == 1 and r.contaminated)
+    assert one.n_items == 2 and one.first_item == 10 and one.fewest_edits == 0
+    assert next(r for r in found if r.doc_id == 9).n_items == 2
+    left = decontamination.decontaminated(frame, items)
+    assert left.columns == frame.columns and Counter(r.doc_id for r in left.collect()) == Counter([1, 3, 4, 5, 8, 10, None])
     assert decontamination.contamination(frame, items.limit(0)).filter("contaminated").count() == 0
     assert decontamination.contamination(frame.limit(0), items).count() == 0
 
@@ -44,6 +48,48 @@ def test_alignment_is_brute_force():
         assert decontamination.edits(a, b, 50) == best
 
 
+def test_contamination_is_brute_force(spark, monkeypatch):
+    """The query's rows against the alignment of every segment with every whole text; also where
+    stretches are halved and the index is in many files."""
+    monkeypatch.setattr(decontamination, "HITS", 500)
+    monkeypatch.setattr(decontamination, "BLOCK", 700)
+    rng = np.random.default_rng(11)
+    word = lambda: "".join(rng.choice(list("abcde"), rng.integers(1, 7)))
+    items = [(i, " ".join(word() for _ in range(rng.integers(3, 90)))) for i in range(12)] + [(50, "aaaa " * 60)]
+    docs = []
+    for i in range(70):
+        t = [word() for _ in range(rng.integers(0, 120))]
+        if i % 2:
+            c = list(items[rng.integers(len(items))][1])
+            for _ in range(rng.integers(0, 3 + len(c) // 8)):
+                c[rng.integers(len(c))] = str(rng.choice(list("abcde f")))
+            a = int(rng.integers(0, max(1, len(c) - 90)))
+            at = int(rng.integers(0, len(t) + 1))
+            t[at:at] = ["".join(c[a : a + int(rng.integers(80, 400))])]
+        docs.append((i, " ".join(t)))
+    docs += [(70, "aaaa " * 400), (71, items[3][1]), (72, "")]
+    clean = {i: decontamination.codes(decontamination.normalised(t)) for i, t in items if len(decontamination.normalised(t)) >= decontamination.LEAST}
+
+    def fewest(text, c):
+        d, best = decontamination.codes(decontamination.normalised(text)), 99
+        for s in [0] if len(c) <= 100 else [*range(0, len(c) - 100, 50), len(c) - 100]:
+            part = c[s : s + 100]
+            budget = len(part) // 10 if len(part) >= 32 else 0
+            e = decontamination.edits(part, d, budget)
+            best = min(best, e if e <= budget else 99)
+        return best
+
+    want = {}
+    for i, t in docs:
+        e = {k: fewest(t, c) for k, c in clean.items()}
+        hit = {k: x for k, x in e.items() if x < 99}
+        want[i] = (bool(hit), len(hit), min(hit, default=None), min(hit.values(), default=None))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    found = decontamination.contamination(frame, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {r.doc_id: (r.contaminated, r.n_items, r.first_item) for r in found} == {k: v[:3] for k, v in want.items()}
+    assert 10 < sum(v[0] for v in want.values()) < 60
+
+
 def brute_spans(text):
     out = [(0, m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
     out += [(1, m.start(), m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) <= 255 for p in m[0].split("."))]
@@ -235,7 +281,6 @@ def test_short_items_at_the_end_of_a_text_belong_to_it(spark):
 
 def test_segments_split_between_rows_are_no_match(spark):
     docs = [(3 * i + k, t) for i, cut in enumerate(range(2, 99)) for k, t in enumerate((PASSAGE[:cut], PASSAGE[cut:100], ""))]
-    index = decontamination.Index([(1, PASSAGE[:100])])
     c = decontamination.codes(decontamination.normalised(PASSAGE[:100]))
 
     def holds(t):
@@ -243,4 +288,4 @@ def test_segments_split_between_rows_are_no_match(spark):
 
     frame = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
     found = decontamination.leaks(frame, spark.createDataFrame([(1, PASSAGE[:100])], "item_id long, text string")).collect()
-    assert len(index.segments) == 1 and {r.doc_id for r in found} == {i for i, t in docs if holds(t)}
+    assert {r.doc_id for r in found} == {i for i, t in docs if holds(t)}
