@@ -39,7 +39,7 @@ BLOCK = 2_000_000
 GAP, _GAP = Q, 0xE000
 #: Characters of texts that are looked up at once, and shared q-grams above which a longer stretch
 #: is halved.
-STRETCH, HITS = 1 << 20, 4_000_000
+STRETCH, HITS = 1 << 18, 4_000_000
 
 
 def normalised(text: str | None) -> str:
@@ -67,7 +67,7 @@ class Index:
 
     def __init__(self, parts: dict[str, np.ndarray]):
         self.parts = parts
-        self.keys, self.segs, self.places, self.items, self.begins, self.codes = (parts[x] for x in ("keys", "segs", "places", "items", "begins", "codes"))
+        self.keys, self.runs, self.segs, self.places, self.items, self.begins, self.codes = (parts[x] for x in ("keys", "runs", "segs", "places", "items", "begins", "codes"))
         length = np.diff(self.begins)
         self.budget = np.where(length >= 4 * Q, (length * EDITS).astype(np.int64), 0)
         self.need = length - Q + 1 - self.budget * Q
@@ -92,10 +92,12 @@ class Index:
         none = [np.empty(0, np.int32)]
         keys = np.concatenate(keys) if keys else np.empty(0, np.uint64)
         order = np.argsort(keys, kind="stable")
+        different, runs = np.unique(keys, return_counts=True)
         seen = np.zeros(1 << max(16, (8 * len(keys)).bit_length()), bool)
         seen[(keys & np.uint64(len(seen) - 1)).astype(np.int64)] = True
         return {
-            "keys": keys[order],
+            "keys": different,
+            "runs": np.r_[0, np.cumsum(runs)],
             "segs": np.concatenate(segs or none)[order],
             "places": np.concatenate(places or none)[order],
             "items": np.array(of, np.int64),
@@ -108,11 +110,14 @@ class Index:
         return self.codes[self.begins[i] : self.begins[i + 1]]
 
     def shared(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of hashes h that occur: their places, and where and how often they stand in keys."""
+        """Of hashes h that occur: their places, and where their rows begin and how many they are."""
         at = np.flatnonzero(self.seen[(h & self.mask).astype(np.int64)])
-        lo, hi = np.searchsorted(self.keys, h[at], "left"), np.searchsorted(self.keys, h[at], "right")
-        some = hi > lo
-        return at[some], lo[some], (hi - lo)[some]
+        if not len(at):
+            return at, at, at
+        place = np.minimum(np.searchsorted(self.keys, h[at]), len(self.keys) - 1)
+        some = self.keys[place] == h[at]
+        at, place = at[some], place[some]
+        return at, self.runs[place], self.runs[place + 1] - self.runs[place]
 
     def hits(self, at: np.ndarray, lo: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Text places, segments and segment places of all shared q-grams."""
@@ -176,9 +181,14 @@ def regions(c: np.ndarray, index: Index, begins: np.ndarray, at: np.ndarray, seg
         # shared q-grams count for the text they lie in; a place of the segment counts once,
         # however often the text repeats its q-gram
         key = seg * size + band
-        order = np.lexsort((place, text, key))
-        new = np.r_[True, (np.diff(key[order]) != 0) | (np.diff(text[order]) != 0) | (np.diff(place[order]) != 0)]
-        key, own = key[order][new], text[order][new]
+        if len(index.items) * size * len(begins) * SEGMENT < 1 << 63:
+            packed = np.sort((key * len(begins) + text) * SEGMENT + place)
+            packed = packed[np.r_[True, packed[1:] != packed[:-1]]] // SEGMENT
+            key, own = packed // len(begins), packed % len(begins)
+        else:
+            order = np.lexsort((place, text, key))
+            new = np.r_[True, (np.diff(key[order]) != 0) | (np.diff(text[order]) != 0) | (np.diff(place[order]) != 0)]
+            key, own = key[order][new], text[order][new]
         starts = np.flatnonzero(np.r_[True, (np.diff(key) != 0) | (np.diff(own) != 0)])
         n = np.diff(np.r_[starts, len(key)])
         enough = starts[n >= index.need[key[starts] // size]]
