@@ -1,12 +1,13 @@
 """Personal data: patterns, and a character-level bidirectional LSTM with CRF transitions.
 
 The tagger is trained in numpy on labelled spans: windows of sampled texts into which written
-forms of e-mail addresses, IP addresses, card and phone numbers are set, with look-alikes (dates,
-amounts, versions, tokens) left unlabelled. It reads overlapping windows. Every kind of span
-holds a digit, an @ or a bracketed "at", so windows without one have no span by definition and
-are not read. Spans of all windows of a text are reconciled at once: of overlapping ones that
-with most context on both sides stands. A span that repeats or overlaps a pattern's is dropped,
-and so is one that its kind rules out (a card number failing Luhn's test, say).
+forms of e-mail addresses, IP addresses, card and phone numbers and secrets (access tokens, keys,
+passwords behind their names) are set, with look-alikes (dates, amounts, versions, hashes without
+a name) left unlabelled. It reads overlapping windows. Every span that can stand holds a digit, an
+@ or an "at" with a "dot" behind it, so windows without those are not read. Spans of all windows
+of a text are reconciled at once: of overlapping ones that with most context on both sides
+stands. A span that repeats or overlaps a pattern's is dropped, and so is one that its kind rules
+out (a card number failing Luhn's test, say).
 """
 
 from __future__ import annotations
@@ -23,15 +24,22 @@ from pyspark.sql import functions as F
 
 from marquee.llm.common import tuned
 
-KINDS = ("email", "ip", "card", "phone")
+#: The kinds that have patterns; of the last, spans are the tagger's alone.
+BASE = ("email", "ip", "card", "phone")
+KINDS = (*BASE, "secret")
 #: Characters of a window and between windows; hidden units of each direction.
 WINDOW, STRIDE, HIDDEN = 128, 64, 12
 #: Texts sampled for training windows; windows of a training step, steps, learning rate.
-SAMPLE, BATCH, STEPS, RATE = 400, 64, 350, 0.02
+SAMPLE, BATCH, STEPS, RATE = 400, 64, 900, 0.02
 #: Windows that a task reads at once.
 AT_ONCE = 512
-#: Spans without a digit, an @ or a bracketed "at" do not exist.
-TRIGGER = re.compile(r"[0-9@]|[\[(] ?at ?[\])]", re.IGNORECASE)
+#: Characters of a text from which its training windows come, taken anywhere in it.
+PART = 20_000
+#: What every span holds.
+TRIGGER = re.compile(r"[0-9@]|[\[(] ?at ?[\])]|(?<= )at [^ ]{1,40} dot ", re.IGNORECASE)
+#: Names before a secret, and a secret: 12 to 128 characters, a digit among them.
+_NAMED = re.compile(r"(?:token|secret|passw(?:or)?d|api[_-]?key|access[_-]?key|auth)", re.IGNORECASE)
+_SECRET = re.compile(r"(?=[^0-9]*[0-9])[A-Za-z0-9+/=_.~-]{12,128}")
 
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -77,16 +85,18 @@ def patterns(text: str) -> list[Span]:
     return sorted(out)
 
 
-def plausible(kind: int, s: str) -> bool:
-    """Whether a span that the tagger found can be of its kind at all."""
+def plausible(kind: int, s: str, before: str = "") -> bool:
+    """Whether a span that the tagger found, behind the characters before, can be of its kind at all."""
     digits = re.sub("[^0-9]", "", s)
     if kind == 0:
-        return bool(re.search(r"[A-Za-z0-9].*(?:@|[\[(] ?at ?[\])]).*[A-Za-z0-9].*(?:\.|[\[(] ?dot ?[\])]).*[A-Za-z]", s, re.IGNORECASE))
+        return bool(re.search(r"[A-Za-z0-9].*(?:(?:@|[\[(] ?at ?[\])]).*[A-Za-z0-9].*(?:\.|[\[(] ?dot ?[\])])| at [^ ]{1,40} dot ).*[A-Za-z]", s, re.IGNORECASE))
     if kind == 1:
         parts = re.split(r"[^0-9]+", s)
         return len(parts) == 4 and all(p and len(p) <= 3 and int(p) <= 255 for p in parts)
     if kind == 2:
         return 13 <= len(digits) <= 19 and luhn(digits)
+    if kind == 4:
+        return bool(_SECRET.fullmatch(s)) and bool(_NAMED.search(before))
     return 9 <= len(digits) <= 15 and not re.search("[A-Za-z]", s)
 
 
@@ -241,11 +251,11 @@ def written(rng: np.random.Generator) -> tuple[int, str]:
     def pick(*options: str) -> str:
         return options[rng.integers(len(options))]
 
-    kind = int(rng.integers(-2, 4))
+    kind = int(rng.integers(-2, len(KINDS)))
     if kind == 0:
         user = word(2, 9) + pick("", ".", "_", "-") + pick(word(2, 8), digits(2), "")
         host = word(3, 9) + pick("", str(rng.integers(10)))
-        at, dot = pick("@", "@", "@", " @ ", " (at) ", " [at] "), pick(".", ".", ".", " [dot] ", " (dot) ")
+        at, dot = (("@", "."), ("@", "."), (" @ ", "."), (" (at) ", "."), (" [at] ", " [dot] "), ("(at)", "(dot)"), (" at ", " dot "), (" at ", " dot "))[rng.integers(8)]
         return 0, user.strip(".-_") + at + host + pick("", ".example") + dot + pick("com", "net", "org", "de", "fr")
     if kind == 1:
         parts = [str(x) for x in rng.integers(0, 256, 4)]
@@ -259,11 +269,30 @@ def written(rng: np.random.Generator) -> tuple[int, str]:
     if kind == 3:
         a, b, c = digits(3), digits(3), digits(4)
         return 3, pick(f"+{digits(1)} ({a}) {b}-{c}", f"+{digits(2)} {a} {b}{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"00{digits(2)} {a} {b}{c}", f"0{digits(2)}/{b}{c}")
+    if kind == 4:
+        return 4, secret(rng)
     y, mo, d = rng.integers(1950, 2030), rng.integers(1, 13), rng.integers(1, 29)
-    return -1, pick(f"{y}-{mo:02}-{d:02}", f"{d}.{mo}.{y}", f"{rng.integers(1, 999)}.{digits(2)}", f"v{rng.integers(9)}.{rng.integers(20)}.{rng.integers(9)}", digits(int(rng.integers(1, 9))), f"{mo:02}:{d:02}", f'token = "{rng.bytes(20).hex()}"', f"{y}-{y + 3}", f"{digits(2)} @ {digits(2)}")
+    return -1, pick(f"{y}-{mo:02}-{d:02}", f"{d}.{mo}.{y}", f"{rng.integers(1, 999)}.{digits(2)}", f"v{rng.integers(9)}.{rng.integers(20)}.{rng.integers(9)}", digits(int(rng.integers(1, 9))), f"{mo:02}:{d:02}", rng.bytes(20).hex(), f"{pick('sha', 'id', 'commit', 'file')} = \"{rng.bytes(20).hex()}\"", f"{y}-{y + 3}", f"{digits(2)} @ {digits(2)}")
 
 
-def training(texts: list[str], rows: int = 4000, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
+#: What stands before a secret in its written forms, and behind it.
+FRAMES = (('token = "', '"'), ("token: ", ""), ('api_key = "', '"'), ("api-key: ", ""), ("secret=", ""), ("password: ", ""), ('passwd="', '"'), ("access_key ", ""), ("Authorization token ", ""))
+
+
+#: Marks that stick to the end of a span.
+NOISE = (".", ",", ";", ")", "!", "?", "###", "&&&", "$$$", "%%%", "***", "!!!")
+
+
+def secret(rng: np.random.Generator) -> str:
+    """A made-up secret: hexadecimal, or letters of both cases with digits and marks."""
+    n = int(rng.integers(12, 65))
+    if rng.random() < 0.5:
+        return rng.bytes(32).hex()[:n]
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789" + "_-"
+    return "".join(letters[i] for i in rng.integers(0, len(letters), n - 1)) + str(rng.integers(10))
+
+
+def training(texts: list[str], rows: int = 8000, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
     """Windows of texts with written forms set into them, and their tags."""
     rng = np.random.default_rng(seed)
     x, y = np.full((rows, WINDOW), 98, np.int16), np.zeros((rows, WINDOW), np.int8)
@@ -274,12 +303,16 @@ def training(texts: list[str], rows: int = 4000, seed: int = 3) -> tuple[np.ndar
         body, marks = t[at : at + WINDOW], []
         for _ in range(int(rng.integers(0, 3))):
             kind, s = written(rng)
+            front, behind = FRAMES[rng.integers(len(FRAMES))] if kind == 4 else ("", "")
             gaps = [i for i, c in enumerate(body) if c == " " and not any(a <= i < b for _, a, b in marks)] or [len(body)]
             where = int(gaps[rng.integers(len(gaps))])
             glue = " " if rng.random() < 0.9 else ""
-            lead = glue if where == len(body) else " "
-            marks = [(k, a + len(lead) + len(s), b + len(lead) + len(s)) if a >= where else (k, a, b) for k, a, b in marks]
-            body = body[:where] + lead + s + body[where:]
+            lead = (glue if where == len(body) else " ") + front
+            if rng.random() < 0.25:
+                behind += NOISE[rng.integers(len(NOISE))]
+            more = len(lead) + len(s) + len(behind)
+            marks = [(k, a + more, b + more) if a >= where else (k, a, b) for k, a, b in marks]
+            body = body[:where] + lead + s + behind + body[where:]
             marks.append((kind, where + len(lead), where + len(lead) + len(s)))
         marks += [s for s in patterns(body) if not any(a < s[2] and s[1] < b for _, a, b in marks)]
         body = body[:WINDOW]
@@ -352,7 +385,7 @@ def find_all(texts: list[str], tagger: Tagger) -> Iterator[tuple[list[Span], lis
                     found.setdefault(i, []).append((min(left, right), kind, s + a, s + b))
     for i, t in enumerate(texts):
         base = patterns(t)
-        more = apart([s for s in reconciled(found.get(i, [])) if plausible(s[0], t[s[1] : s[2]])], base)
+        more = apart([s for s in reconciled(found.get(i, [])) if plausible(s[0], t[s[1] : s[2]], t[max(0, s[1] - 24) : s[1]])], base)
         yield base, more
 
 
@@ -369,9 +402,9 @@ def finder(shared) -> Callable:
             texts = [t or "" for t in batch["text"]]
             for at in range(0, len(texts), 256):
                 for base, more in find_all(texts[at : at + 256], tagger):
-                    counts = [sum(k == kind for k, _, _ in base) for kind in range(len(KINDS))]
-                    rows.append((*counts, hashlib.sha256(joined(base).encode()).hexdigest(), joined(base + more), len(more)))
-            out = pd.DataFrame(rows, columns=["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added"])
+                    counts = [sum(k == kind for k, _, _ in base) for kind in range(len(BASE))]
+                    rows.append((*counts, hashlib.sha256(joined(base).encode()).hexdigest(), joined(base + more), len(base) + len(more), len(more)))
+            out = pd.DataFrame(rows, columns=["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_spans", "n_added"])
             out.insert(0, "doc_id", batch["id"].astype("Int64").array)
             yield out
 
@@ -379,21 +412,23 @@ def finder(shared) -> Callable:
 
 
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", steps: int = STEPS) -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added) for every row.
+    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans, n_added) for every row.
 
     The counts and base_sha256 are of the patterns' spans, spans lists those and the n_added
-    ones that the tagger adds, as kind:start:end by kind and start, in code points, ends
-    exclusive. Null and empty texts have no spans. The tagger is trained on about SAMPLE texts,
-    chosen by a hash of the id, for `steps` steps; the same table gives the same tagger. Repeated rows are treated
-    alike; an empty table gives an empty result. Other columns of docs are not read.
+    ones that the tagger adds, n_spans in all, as kind:start:end by kind and start, in code
+    points, ends exclusive. Null and empty texts have no spans. The tagger is trained on about
+    SAMPLE texts, chosen by a hash of the id, PART characters from anywhere in each, for `steps`
+    steps; the same table gives the same tagger. Repeated rows are treated alike; an empty table
+    gives an empty result. Other columns of docs are not read.
     """
     spark = tuned(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     share = min(1.0, SAMPLE / max(1, docs.count()))
     picked = rows.filter(F.xxhash64(F.coalesce("id", F.lit(0)), F.lit(1)).bitwiseAND((1 << 53) - 1) / F.lit(float(1 << 53)) < share)
-    sample = picked.withColumn("text", F.substring("text", 1, 20_000)).orderBy("id", "text").limit(2 * SAMPLE).toPandas()
+    begin = 1 + F.pmod(F.xxhash64(F.coalesce("id", F.lit(0)), F.lit(2)), F.greatest(F.length("text") - PART, F.lit(0)) + 1)
+    sample = picked.withColumn("text", F.substring("text", begin.cast("int"), F.lit(PART))).orderBy("id", "text").limit(2 * SAMPLE).toPandas()
     tagger = Tagger().fit(*training(sample["text"].dropna().tolist()), steps)
-    schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
+    schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long, n_added long"
     return rows.mapInPandas(finder(spark.sparkContext.broadcast(tagger.p)), schema)
 
 
