@@ -4,9 +4,11 @@ Many voters look at each text: word lists of several languages, patterns, and te
 labelled rows (words and word beginnings that occur almost only in toxic texts). A generative
 model explains all votes of the corpus by a hidden class: it estimates how often each voter
 votes in either class, and from what the classes leave unexplained, which voters copy one
-another, whose say is then shared among them. Rows with a known label have a fixed class. The
-posterior of the hidden class labels a bounded sample of texts, on which a linear classifier
-over hashed words and word beginnings is trained; it scores all texts.
+another; those share their say. (Estimating rates anew under these shares cost held-out recall,
+0.98 to 0.94 on 4,061 rows, so rates stay.) A known label is an observed class: rows that have
+one anchor the two classes. (As one voter more of high accuracy they cost recall where labels are
+few.) The posterior of the class labels a bounded sample of texts, labelled or not, on which a
+linear classifier over hashed words and word beginnings is trained; it scores all texts.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ LEXICONS = {
     "insults_en": "idiot idiots moron morons stupid dumb dumbass fool imbecile retard loser losers clown clowns pathetic worthless scum trash garbage filth vermin pig",
     "slights_en": "disgusting disgrace ugly useless failure coward liar freak creep jerk nobody ignorant brainless spineless repulsive vile",
     "profanity_en": "fuck fucking fucker shit shitty bullshit bitch bastard asshole ass crap damn piss slut whore dick prick cunt twat",
-    "threats_en": "kill die hang burn shoot stab destroy exterminate deport",
+    "threats_en": "kill hang burn shoot stab destroy exterminate deport",
     "insults_de": "idiot idioten dumm dummkopf trottel vollidiot arschloch abschaum versager schwein drecksau wertlos ekelhaft hurensohn scheiße schlampe",
     "insults_fr": "idiot idiote crétin imbécile abruti con connard connasse salaud salope ordure déchet minable dégueulasse merde putain",
     "insults_es": "idiota imbécil estúpido estúpida tonto basura escoria inútil asqueroso mierda puta cabrón gilipollas pendejo perdedor patético",
@@ -157,26 +159,39 @@ class LabelModel:
             total += F.when(F.getbit(votes, F.lit(i)) == 1, F.lit(float(w))).otherwise(0.0)
         return total
 
+    def posterior(self, votes, label):
+        """Chance of class 1; a known label is the class itself."""
+        return F.coalesce(label.cast("double"), 1 / (1 + F.exp(-self.logit(votes))))
+
     def fit(self, patterns: DataFrame, rounds: int = ROUNDS) -> LabelModel:
         """patterns: rows (votes, label or null, n). Every round is one aggregation over all."""
-        m = self.rates.shape[1]
         rows = patterns.agg(F.sum("n")).first()[0] or 0
         if not rows:
             return self
-        share = F.col("n") * F.coalesce(F.col("label").cast("double"), 1 / (1 + F.exp(-F.col("z"))))
         for _ in range(rounds):
-            sums = [F.sum(F.when(F.getbit("votes", F.lit(i)) == 1, F.col(c)).otherwise(0.0)) for c in ("s", "n") for i in range(m)]
-            got = patterns.withColumn("z", self.logit(F.col("votes"))).withColumn("s", share).agg(F.sum("s"), *sums).first()
-            one, by_one, by_all = got[0], np.array(got[1 : m + 1]), np.array(got[m + 1 :])
-            self.prior = float(np.clip(one / rows, 1e-4, 0.5))
             old = self.rates
-            # a vote never speaks against toxicity: class 1 votes at least as often
-            r1 = (by_one + 0.1) / (one + 1)
-            r0 = (by_all - by_one + 0.01) / (rows - one + 1)
-            self.rates = np.stack([np.minimum(r0, r1), r1])
+            self._estimate(patterns, rows)
             if np.abs(self.rates - old).max() < 1e-4:
                 break
-        # what the classes leave unexplained of joint votes makes voters share their say
+        self._share_say(patterns, rows)
+        return self
+
+    def _estimate(self, patterns: DataFrame, rows: int) -> None:
+        """The toxic share and the voters' rates, from the posterior that they now give."""
+        m = self.rates.shape[1]
+        share = F.col("n") * self.posterior(F.col("votes"), F.col("label"))
+        sums = [F.sum(F.when(F.getbit("votes", F.lit(i)) == 1, F.col(c)).otherwise(0.0)) for c in ("s", "n") for i in range(m)]
+        got = patterns.withColumn("s", share).agg(F.sum("s"), *sums).first()
+        one, by_one, by_all = got[0], np.array(got[1 : m + 1]), np.array(got[m + 1 :])
+        self.prior = float(np.clip(one / rows, 1e-4, 0.5))
+        # a vote never speaks against toxicity: class 1 votes at least as often
+        r1 = (by_one + 0.1) / (one + 1)
+        r0 = (by_all - by_one + 0.01) / (rows - one + 1)
+        self.rates = np.stack([np.minimum(r0, r1), r1])
+
+    def _share_say(self, patterns: DataFrame, rows: int) -> None:
+        """What the classes leave unexplained of joint votes makes voters share their say."""
+        m = self.rates.shape[1]
         pairs = patterns.mapInPandas(co_votes(m), "i int, j int, n double").groupBy("i", "j").agg(F.sum("n").alias("n")).toPandas()
         joint = np.zeros((m, m))
         joint[pairs["i"], pairs["j"]] = pairs["n"] / rows
@@ -185,8 +200,8 @@ class LabelModel:
         spread = np.einsum("k,ki->i", weights, self.rates * (1 - self.rates)) + 1e-9
         copied = np.clip((joint - expected) / np.sqrt(np.outer(spread, spread)), 0, 1)
         np.fill_diagonal(copied, 0)
-        self.say = 1 / (1 + copied.sum(1))
-        return self
+        say = 1 / (1 + copied.sum(1))
+        self.say = say / say.mean()  # only shares change: what all voters say together does not
 
 
 def weigh_features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -278,9 +293,8 @@ def fit(rows: DataFrame, known: DataFrame) -> tuple[np.ndarray, float]:
     model = LabelModel(m, prior).fit(patterns)
 
     # posterior labels train the classifier: a bounded sample, half of it likely toxic
-    p = F.coalesce(F.col("label").cast("double"), 1 / (1 + F.exp(-model.logit(F.col("votes")))))
     trust = F.when(F.col("label").isNotNull(), 1.0).otherwise(UNLABELLED)
-    judged = cast.select("id", p.alias("p"), trust.alias("trust")).dropna()
+    judged = cast.select("id", model.posterior(F.col("votes"), F.col("label")).alias("p"), trust.alias("trust")).dropna()
     n1, n0 = judged.agg(F.coalesce(F.sum((F.col("p") >= 0.5).cast("long")), F.lit(0)), F.coalesce(F.sum((F.col("p") < 0.5).cast("long")), F.lit(0))).first()
     s1, s0 = (min(1.0, SAMPLE / 2 / max(1, n)) for n in (n1, n0))
     rate = F.when(F.col("p") >= 0.5, s1).otherwise(s0)

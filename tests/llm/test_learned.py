@@ -1,7 +1,10 @@
 """Classifiers by held-out accuracy, and the pipeline by what its stages must keep and drop."""
 
+from collections import Counter
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from marquee.llm import language_id, quality, queries, toxicity
@@ -19,13 +22,32 @@ def held_out(spark, name, label):
 
 def test_toxicity(spark):
     rows = held_out(spark, "op8_toxicity", "toxic")
-    assert (rows["predicted"] == rows["toxic"]).mean() > 0.9
+    assert (rows["predicted"] == rows["toxic"]).mean() > 0.95  # the commoner class: 0.91
     assert rows.loc[rows["toxic"] == 1, "predicted"].mean() > 0.7
 
 
+def test_label_model_tells_classes_and_copies(spark):
+    """Votes drawn from known rates, one voter copied: rates, the toxic share and posteriors return,
+    and the copies have less say."""
+    rng = np.random.default_rng(12)
+    rates = np.array([[0.02, 0.05, 0.01, 0.03], [0.6, 0.5, 0.4, 0.7]])
+    y = (rng.random(20_000) < 0.15).astype(int)
+    x = rng.random((len(y), 4)) < rates[y]
+    x = np.c_[x, x[:, 3]]
+    votes = (x << np.arange(5)).sum(1)
+    known = [int(v) if i % 20 == 0 else None for i, v in enumerate(y)]
+    rows = Counter(zip(votes.tolist(), known, strict=True))
+    frame = spark.createDataFrame([(*k, n) for k, n in rows.items()], "votes long, label int, n long")
+    model = toxicity.LabelModel(5, 0.1).fit(frame)
+    assert abs(model.prior - 0.15) < 0.03 and np.abs(model.rates[:, :3] - rates[:, :3]).max() < 0.08
+    assert model.say[3:].max() < 0.8 * model.say[:3].min()
+    p = frame.select("votes", model.posterior(frame["votes"], F.lit(None).cast("int")).alias("p")).toPandas().set_index("votes")["p"].to_dict()
+    assert np.mean([(p[v] > 0.5) == t for v, t in zip(votes.tolist(), y.tolist(), strict=True)]) > 0.94
+
+
 def test_quality(spark):
     rows = held_out(spark, "op5_quality", "quality")
-    assert (rows["predicted"] == rows["quality"]).mean() > 0.75
+    assert (rows["predicted"] == rows["quality"]).mean() > 0.95  # the commoner class: 0.88
 
 
 def test_languages(spark):
