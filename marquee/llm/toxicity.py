@@ -57,6 +57,8 @@ ROUNDS = 15
 _STRIP = ".,;:!?\"'()[]{}*#$%&|<>«»“”…-"
 _SETS = {k: frozenset(v.split()) for k, v in LEXICONS.items()}
 _PATTERNS = {k: re.compile(v) for k, v in PATTERNS.items()}
+#: What a text must hold for a pattern to match at all: one of these, found faster than the pattern.
+_HINTS = {"address_en": ("you",), "imperative_en": ("shut up", "go to hell", "get lost", "drop dead", "go die"), "hate_en": ("hate ",), "masked": tuple(a + b for a in "*@#$" for b in "*@#$")}
 BASE_VOTERS = (*_SETS, *_PATTERNS)
 
 
@@ -107,11 +109,12 @@ def votes(text: str | None, mined: np.ndarray) -> tuple[int, np.ndarray]:
         if not words.isdisjoint(found):
             bits |= 1 << i
     low = (text or "").lower()
-    for i, p in enumerate(_PATTERNS.values(), len(_SETS)):
-        if p.search(low):
+    for i, (k, p) in enumerate(_PATTERNS.items(), len(_SETS)):
+        if any(x in low for x in _HINTS[k]) and p.search(low):
             bits |= 1 << i
     f = features(found)
-    for i in np.flatnonzero(np.isin(mined, f, assume_unique=True)):
+    at = np.searchsorted(f, mined)
+    for i in np.flatnonzero(f[np.minimum(at, len(f) - 1)] == mined) if len(f) else ():
         bits |= 1 << (len(BASE_VOTERS) + int(i))
     return bits, f
 

@@ -27,22 +27,34 @@ def test_toxicity(spark):
 
 
 def test_label_model_tells_classes_and_copies(spark):
-    """Votes drawn from known rates, one voter copied: rates, the toxic share and posteriors return,
-    and the copies have less say."""
+    """Votes drawn from known rates: rates, the toxic share and posteriors return; and of five
+    voters, one a copy of another, those two have less say."""
     rng = np.random.default_rng(12)
     rates = np.array([[0.02, 0.05, 0.01, 0.03], [0.6, 0.5, 0.4, 0.7]])
     y = (rng.random(20_000) < 0.15).astype(int)
     x = rng.random((len(y), 4)) < rates[y]
-    x = np.c_[x, x[:, 3]]
-    votes = (x << np.arange(5)).sum(1)
-    known = [int(v) if i % 20 == 0 else None for i, v in enumerate(y)]
-    rows = Counter(zip(votes.tolist(), known, strict=True))
-    frame = spark.createDataFrame([(*k, n) for k, n in rows.items()], "votes long, label int, n long")
-    model = toxicity.LabelModel(5, 0.1).fit(frame)
-    assert abs(model.prior - 0.15) < 0.03 and np.abs(model.rates[:, :3] - rates[:, :3]).max() < 0.08
+
+    def fitted(x):
+        votes = (x << np.arange(x.shape[1])).sum(1).tolist()
+        known = [int(v) if i % 20 == 0 else None for i, v in enumerate(y)]
+        rows = Counter(zip(votes, known, strict=True))
+        frame = spark.createDataFrame([(*k, n) for k, n in rows.items()], "votes long, label int, n long")
+        return votes, frame, toxicity.LabelModel(x.shape[1], 0.1).fit(frame)
+
+    votes, frame, model = fitted(x)
+    assert abs(model.prior - 0.15) < 0.02 and np.abs(model.rates - rates).max() < 0.05
+    p = frame.filter("label IS NULL").select("votes", model.posterior(F.col("votes"), F.col("label")).alias("p")).toPandas().set_index("votes")["p"].to_dict()
+    best = {v: max((y[np.array(votes) == v] == c).mean() for c in (0, 1)) for v in set(votes)}
+    right = np.mean([(p[v] > 0.5) == t for v, t in zip(votes, y.tolist(), strict=True)])
+    assert right > np.mean([best[v] for v in votes]) - 0.005
+    _, _, model = fitted(np.c_[x, x[:, 3]])
     assert model.say[3:].max() < 0.8 * model.say[:3].min()
-    p = frame.select("votes", model.posterior(frame["votes"], F.lit(None).cast("int")).alias("p")).toPandas().set_index("votes")["p"].to_dict()
-    assert np.mean([(p[v] > 0.5) == t for v, t in zip(votes.tolist(), y.tolist(), strict=True)]) > 0.94
+
+
+def test_hints_lose_no_match():
+    for text in ("you are an idiot", "oh shut up now", "i hate you", "we hate them all", "f**k", "a sh@#t b", "you're such a clown", "drop dead"):
+        for k, p in toxicity._PATTERNS.items():
+            assert not p.search(text) or any(x in text for x in toxicity._HINTS[k])
 
 
 def test_quality(spark):
