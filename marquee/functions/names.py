@@ -1,4 +1,4 @@
-"""Names of artists, promoters and genres: text scanners without a built-in equivalent.
+"""Names of artists and promoters: text scanners without a built-in equivalent.
 
 Each is a small Python function and a pandas UDF over Arrow batches. Names repeat, so a batch
 computes each distinct one once.
@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DataType, StringType
+from pyspark.sql.types import DataType, StringType
 
 # Words kept in capitals, words that promoters' names end with, corrected names,
 # letters without a decomposition.
@@ -27,7 +27,6 @@ PROMOTER_CORRECTIONS = {
     "tipberlin": "tip Berlin", "kkt": "KKT", "kktgmbhkikiskleinertourneeservice": "KKT",
 }
 LETTERS = str.maketrans({"ø": "o", "Ø": "O", "æ": "ae", "Æ": "Ae", "ð": "d", "Ð": "D", "þ": "th", "Þ": "Th", "ł": "l", "Ł": "L", "đ": "d", "Đ": "D", "ı": "i", "ß": "ss", "ẞ": "Ss", "œ": "oe", "Œ": "Oe"})
-GENRE_NOISE = frozenset({"more", "mehr"})
 
 
 def shouted(word: str) -> bool:
@@ -80,33 +79,6 @@ def slug(text: str) -> str:
     return re.sub("[^a-z0-9]+", "-", plain).strip("-")
 
 
-def genres(text: str) -> list[str]:
-    """The genres that a text lists, as written, first wins; parts under two characters and
-    etc. is none."""
-    out: dict[str, str] = {}
-    for part in re.split(r"\s*[,/]\s*|\s+(?:&|or|oder|vs\.?)\s+", re.sub(r"(?i)\bund\b", ",", re.sub(r"(?i)\betc\b\.?", "", text))):
-        part = part.strip(" .")
-        if len(part) >= 2 and part.lower() not in GENRE_NOISE:
-            part = part if any(c.isupper() for c in part) else part.title()
-            out.setdefault(part.lower(), part)
-    return list(out.values())
-
-
-def acts(text: str) -> list[str]:
-    """Support acts of a line: commas, plus signs and slashes outside brackets part them."""
-    out, depth, start = [], 0, 0
-    for i, c in enumerate(text + ","):
-        if c in "([":
-            depth += 1
-        elif c in ")]":
-            depth = max(0, depth - 1)
-        elif c in ",+/" and (depth == 0 or i == len(text)):
-            if part := text[start:i].strip():
-                out.append(part)
-            start = i + 1
-    return out
-
-
 def _udf(f: Callable[[str], object], kind: DataType):
     @F.pandas_udf(kind)
     def run(names: pd.Series) -> pd.Series:
@@ -117,4 +89,3 @@ def _udf(f: Callable[[str], object], kind: DataType):
 
 
 artist_udf, promoter_udf, slug_udf = (_udf(f, StringType()) for f in (artist, promoter, slug))
-genres_udf, acts_udf = (_udf(f, ArrayType(StringType())) for f in (genres, acts))

@@ -1,7 +1,7 @@
 """Assembled results: events with their venue, line-up, promoters and genres.
 
-Associations are restricted to the events at hand before they are gathered into lists, so a page
-of events gathers a page of lists.
+Associations are restricted to the events at hand by semi joins, which Catalyst moves below the
+aggregation of raw links, so a page of events reads and gathers a page of links.
 """
 
 from __future__ import annotations
@@ -20,23 +20,25 @@ def lineup(tables, events: DataFrame) -> DataFrame:
     """(id, names): the artists of events by place on the bill. Unknown artists drop out."""
     keys = events.select(F.col("id").alias("event_id"))
     artists = tables.artist.select(F.col("id").alias("artist_id"), "name")
-    return _names(tables.event_artist.join(keys, "event_id").join(artists, "artist_id"), "billing_order")
+    return _names(tables.event_artist.join(keys, "event_id", "left_semi").join(artists, "artist_id"), "billing_order")
 
 
 def summaries(tables, events: DataFrame) -> DataFrame:
-    """events with venue_name, district, artists and genres (arrays, empty if none)."""
+    """events with venue_name, district, artists and genres (arrays, empty if none). An event whose
+    venue does not exist is an error."""
     venues = tables.venue.select(F.col("id").alias("venue_id"), F.col("name").alias("venue_name"), "district")
     keys = events.select(F.col("id").alias("event_id"))
     tags = tables.genre_tag.select(F.col("slug").alias("genre_slug"), "name")
-    genres = _names(tables.event_genre_tag.join(keys, "event_id").join(tags, "genre_slug"), "genre_slug")
+    genres = _names(tables.event_genre_tag.join(keys, "event_id", "left_semi").join(tags, "genre_slug"), "genre_slug")
     empty = F.array().cast("array<string>")
-    out = events.join(venues, "venue_id").join(lineup(tables, events).withColumnRenamed("names", "artists"), "id", "left").join(genres.withColumnRenamed("names", "genres"), "id", "left")
+    known = F.coalesce("venue_name", F.raise_error(F.concat(F.lit("no venue of event "), F.col("id").cast("string"))).cast("string"))
+    out = events.join(venues, "venue_id", "left").withColumn("venue_name", known).join(lineup(tables, events).withColumnRenamed("names", "artists"), "id", "left").join(genres.withColumnRenamed("names", "genres"), "id", "left")
     return out.withColumn("artists", F.coalesce("artists", empty)).withColumn("genres", F.coalesce("genres", empty))
 
 
 def details(tables, events: DataFrame) -> DataFrame:
     """Summaries with promoters (by name) added."""
     keys = events.select(F.col("id").alias("event_id"))
-    links = tables.event_promoter.join(keys, "event_id").join(tables.promoter.select(F.col("id").alias("promoter_id"), "name"), "promoter_id")
+    links = tables.event_promoter.join(keys, "event_id", "left_semi").join(tables.promoter.select(F.col("id").alias("promoter_id"), "name"), "promoter_id")
     promoters = _names(links.withColumn("by", F.col("name")), "by").withColumnRenamed("names", "promoters")
     return summaries(tables, events).join(promoters, "id", "left").withColumn("promoters", F.coalesce("promoters", F.array().cast("array<string>")))

@@ -92,7 +92,7 @@ def merged_snapshots(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.join(new.select(*key), key, "left_anti").unionByName(new)
 
 
-#: Values of a name that stand for no artist, without dots and in lower case.
+#: Values that stand for no title, without dots and in lower case.
 PLACEHOLDERS = ("tba", "tbd", "tbc", "nn", "na", "null", "-", "")
 
 

@@ -87,7 +87,7 @@ def search(tables, f: Facets, as_of: date) -> DataFrame:
             venues = venues.filter(F.col("district") == f.district)
         events = events.join(venues.select(F.col("id").alias("venue_id")), "venue_id", "left_semi")
     if given(f.genre):
-        events = events.join(tables.event_genre_tag.filter(F.col("genre_slug") == f.genre).select(F.col("event_id").alias("id")), "id", "left_semi")
+        events = events.join(tables.genre_links.filter(F.col("genre_slug") == f.genre).select(F.col("event_id").alias("id")), "id", "left_semi")
     if given(f.artist):
         one = tables.artist.filter(F.col("slug") == f.artist).select(F.col("id").alias("artist_id"))
         events = events.join(tables.event_artist.join(one, "artist_id").select(F.col("event_id").alias("id")), "id", "left_semi")

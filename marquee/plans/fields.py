@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from marquee.functions import classify, names
+from marquee.functions import classify, genres, names
 from marquee.plans.registry import query
 from marquee.sources import pages
 from marquee.sources.tables import AS_OF, Listings, over_model
@@ -86,9 +86,13 @@ def canonical_promoter(spark, sf_dir):
     return Listings(spark, sf_dir).promoter.select("id", names.promoter_udf(F.concat("name", F.lit(" Concerts GmbH (DE)"))).alias("name"))
 
 
-@query("normalize_genre")
+_SYNONYMS = "(VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in sorted(genres.SYNONYMS.items())) + ") k(word, tag)"
+
+
+@query("normalize_genre", over_model(f""", parts AS (SELECT DISTINCT id, regexp_replace(lower(trim(part)), '[^a-z0-9&]', '', 'g') AS word FROM (SELECT id, unnest(string_split_regex(genre, '[,/]')) AS part FROM event))
+    SELECT tag AS genre, count(*) AS n FROM (SELECT DISTINCT id, tag FROM parts JOIN {_SYNONYMS} USING (word)) GROUP BY 1"""))
 def normalize_genre(spark, sf_dir):
-    return Listings(spark, sf_dir).event.select("id", F.explode(names.genres_udf("genre")).alias("genre")).groupBy("genre").agg(F.count(F.lit(1)).alias("n"))
+    return Listings(spark, sf_dir).event.select("id", F.explode(genres.tags_udf("genre")).alias("genre")).groupBy("genre").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("two_page_enrich", "SELECT o_orderkey AS id, coalesce(CASE WHEN o_orderkey % 3 = 0 THEN 'detail' END, CASE WHEN o_orderkey % 2 = 0 THEN 'overview' END) AS title, CASE WHEN o_orderkey % 3 = 0 OR o_orderkey % 5 <> 0 THEN o_orderdate::DATE END AS event_date FROM orders WHERE o_orderkey % 3 = 0 OR o_orderkey % 5 <> 0")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from marquee.functions import billing
 from marquee.operators import quality
 from marquee.plans.registry import query
 from marquee.sources.tables import AS_OF, Listings, over_model
@@ -68,13 +69,13 @@ def quality_snapshot_rerun(spark, sf_dir):
 
 
 @query("suspect_artist_names", over_model("""SELECT source, count(*) AS n FROM (SELECT DISTINCT coalesce(event_source_id::VARCHAR, 'manual') AS source,
-    CASE WHEN a.id % 10 = 0 THEN ' T.B.A.' WHEN a.id % 10 = 1 THEN 'N.N.' ELSE a.name END AS name FROM event e JOIN event_artist x ON x.event_id = e.id JOIN artist a ON a.id = x.artist_id)
-    WHERE lower(trim(replace(name, '.', ''))) IN ('tba', 'tbd', 'tbc', 'nn', 'na', 'null', '-', '') GROUP BY source"""))
+    CASE WHEN a.id % 10 = 0 THEN ' T.B.A.' WHEN a.id % 10 = 1 THEN 'N.N.' WHEN a.id % 10 = 2 THEN 'DJ-Set' ELSE a.name END AS name FROM event e JOIN event_artist x ON x.event_id = e.id JOIN artist a ON a.id = x.artist_id)
+    WHERE lower(trim(replace(name, '.', ''))) IN ('tba', 'tbd', 'tbc', 'nn', 'na', 'null', '-', '') OR regexp_matches(lower(trim(name)), '^dj[- ]?sets?$') GROUP BY source"""))
 def suspect_artist_names(spark, sf_dir):
     t = Listings(spark, sf_dir)
-    name = F.when(F.col("artist_id") % 10 == 0, " T.B.A.").when(F.col("artist_id") % 10 == 1, "N.N.").otherwise(F.col("name"))
+    name = F.when(F.col("artist_id") % 10 == 0, " T.B.A.").when(F.col("artist_id") % 10 == 1, "N.N.").when(F.col("artist_id") % 10 == 2, "DJ-Set").otherwise(F.col("name"))
     names = t.event.select(F.col("id").alias("event_id"), F.coalesce(F.col("event_source_id").cast("string"), F.lit("manual")).alias("source")).join(t.event_artist, "event_id").join(t.artist.select(F.col("id").alias("artist_id"), "name"), "artist_id")
-    return quality.suspects(names.select("source", name.alias("name")), quality.placeholder(F.col("name")))
+    return quality.suspects(names.select("source", name.alias("name")), billing.is_no_act_udf("name"))
 
 
 _FIELDS = ("subtitle", "start_time", "price_presale", "price_box_office", "price_note", "genre")

@@ -104,7 +104,7 @@ def calendar_window(spark, sf_dir):
 @query("event_detail", over_model(f"{_LISTS} SELECT {_SUMMARY}, coalesce(promoters, '') AS promoters FROM event e {_JOINS} LEFT JOIN hosts h ON h.event_id = e.id WHERE e.slug = 'e-101'"))
 def event_detail(spark, sf_dir):
     tables = Listings(spark, sf_dir)
-    one = tables.event.filter(F.col("slug") == "e-101")
+    one = tables.event_of("e-101")
     return _flat(assemble.details(tables, one), "artists", "genres", "promoters").select(*BRIEF, "venue_name", "district", "artists", "genres", "promoters")
 
 

@@ -72,11 +72,20 @@ class Listings:
         return self.raw("part").select(F.col("p_type").alias("name"), F.lower("p_type").alias("slug")).distinct()
 
     @property
-    def event_genre_tag(self) -> DataFrame:
-        """(event_id, genre slug), from the first act of an event."""
+    def genre_links(self) -> DataFrame:
+        """(event_id, genre slug), from the first act of an event; links may repeat."""
         first = self.raw("lineitem").filter("l_linenumber = 1").select(F.col("l_orderkey").alias("event_id"), "l_partkey")
         tags = self.raw("part").select(F.col("p_partkey").alias("l_partkey"), F.lower("p_type").alias("genre_slug"))
-        return first.join(tags, "l_partkey").select("event_id", "genre_slug").distinct()
+        return first.join(tags, "l_partkey").select("event_id", "genre_slug")
+
+    @property
+    def event_genre_tag(self) -> DataFrame:
+        return self.genre_links.distinct()
+
+    def event_of(self, slug: str) -> DataFrame:
+        """The event of a slug; the id in it prunes row groups and, through joins, links."""
+        number = slug.removeprefix("e-")
+        return self.event.filter((F.col("id") == int(number)) & (F.col("slug") == slug)) if number.isdecimal() else self.event.limit(0)
 
     @property
     def event_source(self) -> DataFrame:

@@ -1,13 +1,15 @@
 """Windowed counts and duplicates over a stream of events, by Structured Streaming.
 
 These extend the listing operators, which know no streams. State is bounded by the watermark and
-the number of open windows; results are tables in the shared folder.
+the number of open windows; results are tables in the shared folder, where each batch has a folder
+of its own that a replay overwrites.
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,18 +22,28 @@ def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(f"{sf_dir}/event[s].parquet").withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", LATE)
 
 
+def writer(path: str, mode: str) -> Callable[[DataFrame, int], None]:
+    """What writes a batch to its folder; complete results replace one another."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/rows/batch={'last' if mode == 'complete' else number}")
+
+    return write
+
+
 def drained(stream: DataFrame, mode: str) -> DataFrame:
     """What the stream yields of all data available now; in complete mode the last state."""
     spark = stream.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", "") or f"file://{tempfile.gettempdir()}/streams"
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = f"file://{tempfile.gettempdir()}/streams"
     path = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
     schema = stream.schema
 
-    def write(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{path}/rows")
-
-    stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(schema).parquet(f"{path}/rows")
+    stream.writeStream.foreachBatch(writer(path, mode)).outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(schema).parquet(f"{path}/rows").select(*schema.names)
 
 
 def tumbling(stream: DataFrame, width: str) -> DataFrame:

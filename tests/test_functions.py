@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from marquee.functions import classify, names
+from marquee.functions import classify, genres, names
 from marquee.operators import quality, search, upsert
 from marquee.plans.importing import scraped
 from marquee.plans.searching import TODAY
@@ -25,10 +25,9 @@ def test_promoterless_names():
     assert names.is_no_promoter("Concerts GmbH") and names.is_no_promoter(" ") and not names.is_no_promoter("Loft GmbH")
 
 
-def test_genres_and_acts():
-    assert names.genres("Pop Punk, Indie, Karaoke") == ["Pop Punk", "Indie", "Karaoke"]
-    assert names.genres("Alternative / Indie und indie etc.") == ["Alternative", "Indie"]
-    assert names.acts("A (x, y) + B, C / D") == ["A (x, y)", "B", "C", "D"]
+def test_genres():
+    assert genres.tags("Pop Punk, Indie, Karaoke") == ["Punk", "Indie", "Karaoke"]
+    assert genres.tags("Alternative / Indie und indie etc.") == ["Alternative", "Indie"]
 
 
 def test_slug():
