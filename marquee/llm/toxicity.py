@@ -6,8 +6,9 @@ model explains all votes of the corpus by a hidden class: it estimates how often
 votes in either class, and from what the classes leave unexplained, which voters copy one
 another; those share their say. (Estimating rates anew under these shares lowered held-out recall
 in a trial, so rates stay.) A known label is an observed class: rows that have one anchor the two
-classes. (As one voter more of high accuracy they lost toxic rows where labels are few.) The posterior of the class labels a bounded sample of texts, labelled or not, on which a
-linear classifier over hashed words and word beginnings is trained; it scores all texts.
+classes. (As one voter more of high accuracy they lost toxic rows where labels are few.) The
+posterior of the class labels a bounded sample of texts, labelled or not, on which a linear
+classifier over hashed words and word beginnings is trained; it scores all texts.
 """
 
 from __future__ import annotations
