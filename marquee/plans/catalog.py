@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from marquee.plans import billings, fields, importing, quality, records, searching
+from marquee.plans import billings, elements, fields, importing, quality, records, searching
 from marquee.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "billings", "fields", "importing", "quality", "records", "searching"]
+__all__ = ["ORACLES", "QUERIES", "billings", "elements", "fields", "importing", "quality", "records", "searching"]

@@ -89,6 +89,17 @@ def json_ld(page: str | None, kind: str = "Event") -> list[dict]:
     return out
 
 
+def json_ld_rows(pages: DataFrame, kind: str = "Event", key: str = "page_id") -> DataFrame:
+    """(key, object): a row of JSON for every object of a type in the JSON-LD of pages (html)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = [(k, json.dumps(x, ensure_ascii=False)) for k, page in zip(b[key], b["html"], strict=True) for x in json_ld(page, kind)]
+            yield pd.DataFrame(found, columns=[key, "object"])
+
+    return pages.select(key, "html").mapInPandas(run, f"`{key}` {pages.schema[key].dataType.simpleString()}, object string")
+
+
 def enriched(overview: DataFrame, detail: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """Overview rows with columns from their detail page where it has them; rows whose date stays
     unresolved drop out."""
