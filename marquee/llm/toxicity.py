@@ -37,7 +37,7 @@ LEXICONS = {
 }
 #: Patterns over the lower-cased text, a voter each.
 PATTERNS = {
-    "address_en": r"\byou(?:'re| are)? (?:an?|all|such an?|nothing but) ?(?:idiot|moron|loser|clown|fool|pig|joke|disgrace)",
+    "address_en": r"you(?<!\wyou)(?:'re| are)? (?:an?|all|such an?|nothing but) ?(?:idiot|moron|loser|clown|fool|pig|joke|disgrace)",
     "imperative_en": r"\b(?:shut up|go to hell|get lost|drop dead|go die)\b",
     "hate_en": r"\bi hate (?:you|them|these|all)\b|\bhate (?:you|them) all\b",
     "masked": r"\b[a-z]+[*@#$]{2,}[a-z]*\b",
@@ -106,7 +106,7 @@ def votes(text: str | None, mined: np.ndarray) -> tuple[int, np.ndarray]:
     found = terms(text)
     bits = 0
     for i, words in enumerate(_SETS.values()):
-        if not words.isdisjoint(found):
+        if not found.keys().isdisjoint(words):
             bits |= 1 << i
     low = (text or "").lower()
     for i, (k, p) in enumerate(_PATTERNS.items(), len(_SETS)):
@@ -120,12 +120,13 @@ def votes(text: str | None, mined: np.ndarray) -> tuple[int, np.ndarray]:
 
 
 def voter(shared) -> Callable:
-    """Rows (id, text) to (id, votes)."""
+    """Rows (id, text) to (id, votes, f), f the features."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         mined = shared.value
         for batch in batches:
-            yield pd.DataFrame({"id": batch["id"].astype("Int64"), "votes": np.array([votes(t, mined)[0] for t in batch["text"]], np.int64)})
+            seen = [votes(t, mined) for t in batch["text"]]
+            yield pd.DataFrame({"id": batch["id"].astype("Int64"), "votes": np.array([v for v, _ in seen], np.int64), "f": [f.astype(np.int32) for _, f in seen]})
 
     return run
 
@@ -208,11 +209,10 @@ class LabelModel:
 
 
 def weigh_features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows (text, p, weight) to (place, toxic, clean): weights of texts by features."""
+    """Rows (p, weight, f) to (place, toxic, clean): weights of texts by features."""
     toxic, clean = np.zeros(DIMENSIONS), np.zeros(DIMENSIONS)
     for batch in batches:
-        for text, p, weight in zip(batch["text"], batch["p"], batch["weight"], strict=True):
-            f = features(terms(text))
+        for f, p, weight in zip(batch["f"], batch["p"], batch["weight"], strict=True):
             toxic[f] += p * weight
             clean[f] += (1 - p) * weight
     at = np.flatnonzero(toxic + clean)
@@ -220,11 +220,11 @@ def weigh_features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def used_features(shared) -> Callable:
-    """Rows (id, text, p, weight) to (id, p, weight, f), f the places in shared.value."""
+    """Rows (id, p, weight, f) with only those places in f that are in shared.value."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            f = [np.intersect1d(features(terms(t)), shared.value, assume_unique=True) for t in batch["text"]]
+            f = [np.intersect1d(x, shared.value, assume_unique=True) for x in batch["f"]]
             yield pd.DataFrame({"id": batch["id"], "p": batch["p"], "weight": batch["weight"], "f": f})
 
     return run
@@ -260,21 +260,26 @@ def train_linear(f: list[np.ndarray], p: np.ndarray, weight: np.ndarray, epochs:
     return w, float(b)
 
 
-def scores(texts, w: np.ndarray, b: float) -> np.ndarray:
-    z = np.array([w[features(terms(t))].sum() + b for t in texts], np.float64)
+def scores(found, w: np.ndarray, b: float) -> np.ndarray:
+    """Scores of texts with the features found."""
+    z = np.array([w[f].sum() + b for f in found], np.float64)
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
 def scorer(shared) -> Callable:
+    """Rows (id, f) to (id, score)."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"id": batch["id"].astype("Int64"), "score": scores(batch["text"], *shared.value)})
+            yield pd.DataFrame({"id": batch["id"].astype("Int64"), "score": scores(batch["f"], *shared.value)})
 
     return run
 
 
-def fit(rows: DataFrame, known: DataFrame) -> tuple[np.ndarray, float]:
-    """The classifier learned from rows (id, text) and known (id, label)."""
+def fit(rows: DataFrame, known: DataFrame) -> tuple[DataFrame, tuple[np.ndarray, float]]:
+    """The votes and features of rows (id, text), a row each (id, votes, f) in a written table, and
+    the classifier learned from them and known (id, label). Texts are read twice at most: the
+    sample from which voters are mined, and all once for votes and features."""
     spark = rows.sparkSession
     unit = F.xxhash64("id").bitwiseAND((1 << 53) - 1) / F.lit(float(1 << 53))
     known = cut(known, "known")
@@ -290,7 +295,8 @@ def fit(rows: DataFrame, known: DataFrame) -> tuple[np.ndarray, float]:
 
     shared = spark.sparkContext.broadcast(mined)
     m = len(BASE_VOTERS) + len(mined)
-    cast = cut(rows.mapInPandas(voter(shared), "id long, votes long").join(known, "id", "left"), "votes")
+    seen = cut(rows.mapInPandas(voter(shared), "id long, votes long, f array<int>"), "seen")
+    cast = cut(seen.select("id", "votes").join(known, "id", "left"), "votes")
     patterns = cut(cast.groupBy("votes", "label").agg(F.count(F.lit(1)).alias("n")), "patterns")
     prior = float(np.clip(counts[1] / max(1, counts[0]), 1e-3, 0.5)) if counts[0] else 0.05
     model = LabelModel(m, prior).fit(patterns)
@@ -302,14 +308,14 @@ def fit(rows: DataFrame, known: DataFrame) -> tuple[np.ndarray, float]:
     s1, s0 = (min(1.0, SAMPLE / 2 / max(1, n)) for n in (n1, n0))
     rate = F.when(F.col("p") >= 0.5, s1).otherwise(s0)
     chosen = judged.withColumn("weight", F.col("trust") * F.pow(F.lit(1.0) / rate, F.lit(0.25))).filter(unit < rate).dropDuplicates(["id"])
-    train = cut(rows.join(F.broadcast(chosen), "id").repartition(max(8, spark.sparkContext.defaultParallelism)), "train")
+    train = cut(seen.select("id", "f").join(F.broadcast(chosen), "id").select("id", "p", "weight", "f"), "train")
     # features that speak for toxicity: held by enough toxic texts, and commoner there
     weights = train.mapInPandas(weigh_features, "place int, toxic double, clean double").groupBy("place").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     one, zero = train.agg(F.coalesce(F.sum(F.col("p") * F.col("weight")), F.lit(0.0)), F.coalesce(F.sum((1 - F.col("p")) * F.col("weight")), F.lit(0.0))).first()
     telling = weights.filter((F.col("toxic") >= LEAST_TOXIC) & (F.col("toxic") / max(one, 1) >= LIFT * (F.col("clean") + 0.5) / max(zero, 1)))
     places = np.sort(telling.select("place").toPandas()["place"].to_numpy(np.int64))  # DIMENSIONS at most
     kept = train.mapInPandas(used_features(spark.sparkContext.broadcast(places)), "id long, p double, weight double, f array<int>").toPandas().sort_values("id", kind="stable")
-    return train_linear([np.asarray(x, np.int64) for x in kept["f"]], kept["p"].to_numpy(), kept["weight"].to_numpy())
+    return seen, train_linear([np.asarray(x, np.int64) for x in kept["f"]], kept["p"].to_numpy(), kept["weight"].to_numpy())
 
 
 def _held_out(id_column, held_out: tuple[int, int]):
@@ -317,10 +323,11 @@ def _held_out(id_column, held_out: tuple[int, int]):
 
 
 def trained(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, held_out: tuple[int, int]):
-    """The classifier for docs, broadcast."""
+    """The features of docs by row, and the classifier for them, broadcast (see fit)."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(label_col).cast("int").alias("label"))
-    return docs.sparkSession.sparkContext.broadcast(fit(rows, known.filter(~_held_out(F.col("id"), held_out))))
+    seen, model = fit(rows, known.filter(~_held_out(F.col("id"), held_out)))
+    return seen, docs.sparkSession.sparkContext.broadcast(model)
 
 
 def toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", held_out: tuple[int, int] = (5, 0)) -> DataFrame:
@@ -334,20 +341,19 @@ def toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     alike; an empty table gives an empty result. Only ids and texts of docs are read.
     """
     tuned(docs.sparkSession)
-    shared = trained(docs, labels, id_col, text_col, label_col, held_out)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    out = rows.mapInPandas(scorer(shared), "id long, score double")
+    seen, shared = trained(docs, labels, id_col, text_col, label_col, held_out)
+    out = seen.select("id", "f").mapInPandas(scorer(shared), "id long, score double")
     return out.select(F.col("id").alias("doc_id"), _held_out(F.col("id"), held_out).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", held_out: tuple[int, int] = (5, 0)) -> DataFrame:
     """docs without those predicted toxic, with the columns of docs."""
     tuned(docs.sparkSession)
-    shared = trained(docs, labels, id_col, text_col, label_col, held_out)
+    _, shared = trained(docs, labels, id_col, text_col, label_col, held_out)
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
-        return pd.Series(scores(texts, *shared.value))
+        return pd.Series(scores((features(terms(t)) for t in texts), *shared.value))
 
     return docs.filter(score(text_col) < 0.5)
 
