@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marquee.llm.common import cut, tuned
+from marquee.llm.common import attach, cut, fresh, tuned
 
 #: Word lists, a voter each.
 LEXICONS = {
@@ -120,13 +120,13 @@ def votes(text: str | None, mined: np.ndarray) -> tuple[int, np.ndarray]:
 
 
 def voter(shared) -> Callable:
-    """Rows (id, text) to (id, votes, f), f the features."""
+    """Rows (id, text, h1, h2) to (id, h1, h2, votes, f), f the features."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         mined = shared.value
         for batch in batches:
             seen = [votes(t, mined) for t in batch["text"]]
-            yield pd.DataFrame({"id": batch["id"].astype("Int64"), "votes": np.array([v for v, _ in seen], np.int64), "f": [f.astype(np.int32) for _, f in seen]})
+            yield pd.DataFrame({"id": batch["id"].astype("Int64"), "h1": batch["h1"], "h2": batch["h2"], "votes": np.array([v for v, _ in seen], np.int64), "f": [f.astype(np.int32) for _, f in seen]})
 
     return run
 
@@ -220,20 +220,36 @@ def weigh_features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def used_features(shared) -> Callable:
-    """Rows (id, p, weight, f) with only those places in f that are in shared.value."""
+    """Rows (id, p, weight, known, f) with only those places in f that are in shared.value."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             f = [np.intersect1d(x, shared.value, assume_unique=True) for x in batch["f"]]
-            yield pd.DataFrame({"id": batch["id"], "p": batch["p"], "weight": batch["weight"], "f": f})
+            yield batch[["id", "p", "weight", "known"]].assign(f=f)
 
     return run
 
 
-def train_linear(f: list[np.ndarray], p: np.ndarray, weight: np.ndarray, epochs: int = 30, rate: float = 0.5, decay: float = 1e-5) -> tuple[np.ndarray, float]:
-    """Weights and intercept of a logistic regression on soft labels p, by AdaGrad in blocks;
-    the intercept is then moved so that 0.5 is the score with the best F1 on these rows."""
-    w, gw, b, gb = np.zeros(DIMENSIONS), np.full(DIMENSIONS, 1e-8), 0.0, 1e-8
+def threshold(z: np.ndarray, p: np.ndarray, weight: np.ndarray, known: np.ndarray) -> float:
+    """The log odds to be scored 0.5: the cut with the best F1 among those that have a row known
+    to be toxic above and one known to be clean below; 0, which moves nothing, where there is no
+    such cut, as where all rows are clean, none has a label or no feature tells them apart."""
+    order = np.argsort(-z, kind="stable")
+    z, p, weight, known = z[order], p[order], weight[order], known[order]
+    hit, seen = np.cumsum(p * weight), np.cumsum(weight)
+    above, below = np.cumsum(known & (p >= 0.5)) > 0, np.cumsum((known & (p < 0.5))[::-1])[::-1] > 0
+    cuts = np.flatnonzero((z[:-1] > z[1:]) & above[:-1] & below[1:])
+    if not len(cuts):
+        return 0.0
+    k = int(cuts[(2 * hit[cuts] / (seen[cuts] + hit[-1])).argmax()])
+    return float(np.clip((z[k] + z[k + 1]) / 2, -3, 3))
+
+
+def train_linear(f: list[np.ndarray], p: np.ndarray, weight: np.ndarray, known: np.ndarray, epochs: int = 30, rate: float = 0.5, decay: float = 1e-5) -> tuple[np.ndarray, float]:
+    """Weights and intercept of a logistic regression on soft labels p, by AdaGrad in blocks from
+    the rows' own share of toxic ones; the intercept is then moved by threshold."""
+    share = float(np.clip(np.average(p, weights=weight) if len(f) else 0.01, 1e-4, 1 - 1e-4))
+    w, gw, b, gb = np.zeros(DIMENSIONS), np.full(DIMENSIONS, 1e-8), float(np.log(share / (1 - share))), 1e-8
     rng = np.random.default_rng(7)
     for _ in range(epochs):
         for part in np.array_split(rng.permutation(len(f)), max(1, len(f) // 64)):
@@ -250,14 +266,8 @@ def train_linear(f: list[np.ndarray], p: np.ndarray, weight: np.ndarray, epochs:
             w[places] -= rate * g / np.sqrt(gw[places])
             gb += e.mean() ** 2
             b -= rate * e.mean() / np.sqrt(gb)
-    z = np.array([w[x].sum() for x in f]) + b
-    if len(z) and weight @ p > 0:
-        ranked = np.argsort(-z, kind="stable")
-        hit, seen = np.cumsum((p * weight)[ranked]), np.cumsum(weight[ranked])
-        k = int((2 * hit / (seen + weight @ p)).argmax())
-        middle = z[ranked[k]] if k + 1 == len(z) else (z[ranked[k]] + z[ranked[k + 1]]) / 2
-        b -= float(np.clip(middle, -3, 3))
-    return w, float(b)
+    z = np.array([w[x].sum() for x in f], np.float64) + b
+    return w, b - threshold(z, p, weight, known)
 
 
 def scores(found, w: np.ndarray, b: float) -> np.ndarray:
@@ -267,18 +277,18 @@ def scores(found, w: np.ndarray, b: float) -> np.ndarray:
 
 
 def scorer(shared) -> Callable:
-    """Rows (id, f) to (id, score)."""
+    """Rows (id, h1, h2, f) to (id, h1, h2, score)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"id": batch["id"].astype("Int64"), "score": scores(batch["f"], *shared.value)})
+            yield batch[["h1", "h2"]].assign(id=batch["id"].astype("Int64"), score=scores(batch["f"], *shared.value))
 
     return run
 
 
 def fit(rows: DataFrame, known: DataFrame) -> tuple[DataFrame, tuple[np.ndarray, float]]:
-    """The votes and features of rows (id, text), a row each (id, votes, f) in a written table, and
-    the classifier learned from them and known (id, label). Texts are read twice at most: the
+    """The votes and features of rows (id, text), a row each (id, h1, h2, votes, f) in a written
+    table, h1 and h2 128 bits of the text's hash, and the classifier learned from them and known (id, label). Texts are read twice at most: the
     sample from which voters are mined, and all once for votes and features."""
     spark = rows.sparkSession
     unit = F.xxhash64("id").bitwiseAND((1 << 53) - 1) / F.lit(float(1 << 53))
@@ -295,7 +305,7 @@ def fit(rows: DataFrame, known: DataFrame) -> tuple[DataFrame, tuple[np.ndarray,
 
     shared = spark.sparkContext.broadcast(mined)
     m = len(BASE_VOTERS) + len(mined)
-    seen = cut(rows.mapInPandas(voter(shared), "id long, votes long, f array<int>"), "seen")
+    seen = cut(rows.select("id", "text", *text_hashes("text")).mapInPandas(voter(shared), "id long, h1 long, h2 long, votes long, f array<int>"), "seen")
     cast = cut(seen.select("id", "votes").join(known, "id", "left"), "votes")
     patterns = cut(cast.groupBy("votes", "label").agg(F.count(F.lit(1)).alias("n")), "patterns")
     prior = float(np.clip(counts[1] / max(1, counts[0]), 1e-3, 0.5)) if counts[0] else 0.05
@@ -303,19 +313,26 @@ def fit(rows: DataFrame, known: DataFrame) -> tuple[DataFrame, tuple[np.ndarray,
 
     # posterior labels train the classifier: a bounded sample, half of it likely toxic
     trust = F.when(F.col("label").isNotNull(), 1.0).otherwise(UNLABELLED)
-    judged = cast.select("id", model.posterior(F.col("votes"), F.col("label")).alias("p"), trust.alias("trust")).dropna()
+    judged = cast.select("id", model.posterior(F.col("votes"), F.col("label")).alias("p"), trust.alias("trust"), F.col("label").isNotNull().alias("known")).dropna()
     n1, n0 = judged.agg(F.coalesce(F.sum((F.col("p") >= 0.5).cast("long")), F.lit(0)), F.coalesce(F.sum((F.col("p") < 0.5).cast("long")), F.lit(0))).first()
     s1, s0 = (min(1.0, SAMPLE / 2 / max(1, n)) for n in (n1, n0))
     rate = F.when(F.col("p") >= 0.5, s1).otherwise(s0)
     chosen = judged.withColumn("weight", F.col("trust") * F.pow(F.lit(1.0) / rate, F.lit(0.25))).filter(unit < rate).dropDuplicates(["id"])
-    train = cut(seen.select("id", "f").join(F.broadcast(chosen), "id").select("id", "p", "weight", "f"), "train")
+    # one row of each id: however often the corpus repeats it, the sample keeps its bound
+    train = cut(seen.select("id", "f").join(F.broadcast(chosen), "id").select("id", "p", "weight", "known", "f").dropDuplicates(["id"]), "train")
     # features that speak for toxicity: held by enough toxic texts, and commoner there
     weights = train.mapInPandas(weigh_features, "place int, toxic double, clean double").groupBy("place").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     one, zero = train.agg(F.coalesce(F.sum(F.col("p") * F.col("weight")), F.lit(0.0)), F.coalesce(F.sum((1 - F.col("p")) * F.col("weight")), F.lit(0.0))).first()
     telling = weights.filter((F.col("toxic") >= LEAST_TOXIC) & (F.col("toxic") / max(one, 1) >= LIFT * (F.col("clean") + 0.5) / max(zero, 1)))
     places = np.sort(telling.select("place").toPandas()["place"].to_numpy(np.int64))  # DIMENSIONS at most
-    kept = train.mapInPandas(used_features(spark.sparkContext.broadcast(places)), "id long, p double, weight double, f array<int>").toPandas().sort_values("id", kind="stable")
-    return seen, train_linear([np.asarray(x, np.int64) for x in kept["f"]], kept["p"].to_numpy(), kept["weight"].to_numpy())
+    kept = train.mapInPandas(used_features(spark.sparkContext.broadcast(places)), "id long, p double, weight double, known boolean, f array<int>").toPandas().sort_values("id", kind="stable")
+    return seen, train_linear([np.asarray(x, np.int64) for x in kept["f"]], kept["p"].to_numpy(), kept["weight"].to_numpy(), kept["known"].to_numpy(bool))
+
+
+def text_hashes(text: str) -> list:
+    """128 bits of a text's hash as columns h1 and h2; null hashes as empty."""
+    body = F.coalesce(F.col(text), F.lit(""))
+    return [F.xxhash64(body).alias("h1"), F.xxhash64(F.lit(1), body).alias("h2")]
 
 
 def _held_out(id_column, held_out: tuple[int, int]):
@@ -337,25 +354,27 @@ def toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     held_out[1]; mined voters and the classifier use bounded samples of rows chosen by a hash
     of the id, the label model all votes. Null labels are ignored, of repeated ones the largest
     counts. Without any label the word lists and patterns alone decide. Null and empty texts
-    have no votes and no features and get the classifier's intercept. Repeated rows are scored
+    have no votes and no features and get the classifier's intercept. A table without toxic rows,
+    or without a feature that tells them, keeps the scores of its small share of toxic rows, well
+    under 0.5 (see threshold). Repeated rows are scored
     alike; an empty table gives an empty result. Only ids and texts of docs are read.
     """
     tuned(docs.sparkSession)
     seen, shared = trained(docs, labels, id_col, text_col, label_col, held_out)
-    out = seen.select("id", "f").mapInPandas(scorer(shared), "id long, score double")
+    out = seen.select("id", "h1", "h2", "f").mapInPandas(scorer(shared), "h1 long, h2 long, id long, score double")
     return out.select(F.col("id").alias("doc_id"), _held_out(F.col("id"), held_out).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", held_out: tuple[int, int] = (5, 0)) -> DataFrame:
     """docs without those predicted toxic, with the columns of docs."""
     tuned(docs.sparkSession)
-    _, shared = trained(docs, labels, id_col, text_col, label_col, held_out)
-
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        return pd.Series(scores((features(terms(t)) for t in texts), *shared.value))
-
-    return docs.filter(score(text_col) < 0.5)
+    seen, shared = trained(docs, labels, id_col, text_col, label_col, held_out)
+    scored = seen.select("id", "h1", "h2", "f").mapInPandas(scorer(shared), "h1 long, h2 long, id long, score double")
+    # a score depends on the text alone, so a text's hash names its verdict for every row
+    h1, h2 = fresh(docs, "x_h1"), fresh(docs, "x_h2")
+    gone = cut(scored.filter("score >= 0.5").select(F.col("h1").alias(h1), F.col("h2").alias(h2)).distinct(), "toxic")
+    keyed = docs.select("*", *[c.alias(n) for c, n in zip(text_hashes(text_col), (h1, h2), strict=True)])
+    return attach(keyed, gone, [h1, h2], "left_anti").select(*[keyed[f"`{c}`"] for c in docs.columns])
 
 
 def op8_toxicity(spark, sf_dir: str) -> DataFrame:

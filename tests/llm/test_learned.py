@@ -1,5 +1,6 @@
 """Classifiers by held-out accuracy, and the pipeline by what its stages must keep and drop."""
 
+import random
 from collections import Counter
 
 import numpy as np
@@ -109,3 +110,54 @@ def test_pipeline_stages(spark, sf):
             assert len(ids) == want
         before = after
     assert "taken" in before.columns and before.filter("taken <= 0").count() == 0
+
+
+def few_clean(spark, n, toxic=None):
+    """n clean texts of plain words; toxic: what labels say, None without labels."""
+    rng = random.Random(n)
+    plain = "the river and a table near old houses some people walk to work with bread or tea while rain falls on roofs".split()
+    docs = spark.createDataFrame([(i, " ".join(rng.choices(plain, k=rng.randrange(5, 60)))) for i in range(n)], "doc_id long, text string")
+    return docs, spark.createDataFrame([] if toxic is None else [(i, toxic) for i in range(0, n, 2)], "doc_id long, toxic int")
+
+
+@pytest.mark.parametrize(("n", "label"), [(20, 0), (20, None), (150, 0), (150, None)])
+def test_clean_tables_hold_nothing_toxic(spark, n, label):
+    docs, labels = few_clean(spark, n, label)
+    found = toxicity.toxic(docs, labels).toPandas()
+    assert len(found) == n and found["score"].max() < 0.5 and not found["predicted"].any()
+    assert toxicity.without_toxic(docs, labels).count() == n
+
+
+def test_no_label_of_sf_toxic(spark, sf_dir):
+    """The rows of the smallest tables that are labelled clean, with those labels: all stay."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter("toxic = 0")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").join(labels.select("doc_id"), "doc_id", "left_semi")
+    assert toxicity.toxic(docs, labels).filter("predicted = 1").count() == 0
+
+
+def test_threshold_against_every_cut():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        n = int(rng.integers(1, 12))
+        z, p, weight, known = rng.integers(-3, 4, n).astype(float), rng.random(n), rng.random(n) + 0.1, rng.random(n) < 0.6
+        best = {}
+        for cut in sorted({(a + b) / 2 for a in z for b in z if a > b and not any(b < c < a for c in z)}):
+            up = z > cut
+            if (known & (p >= 0.5) & up).any() and (known & (p < 0.5) & ~up).any():
+                best[cut] = 2 * (p * weight)[up].sum() / (weight[up].sum() + (p * weight).sum())
+        got = toxicity.threshold(z, p, weight, known)
+        assert got in best and np.isclose(best[got], max(best.values())) if best else got == 0
+
+
+def test_pipeline_keeps_odd_and_clean_rows(spark, sf_dir, tmp_path, odd):
+    """Nulls, repeats and clashing columns; all rows are clean, so the first stage keeps them all."""
+    columns = odd.select("doc_id", "text", "lang", "source", "n_chars", "kept", "KEY", "n")
+    columns.write.parquet(f"{tmp_path}/documents.parquet")
+    for t in ("labels", "benchmark"):
+        spark.read.parquet(f"{sf_dir}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    first = corpus_pipeline.toxicity(spark, docs, str(tmp_path))
+    assert first.columns == docs.columns and first.exceptAll(docs).count() == 0 and docs.exceptAll(first).count() == 0
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    texts = {r["text"] for r in out.collect()}
+    assert "One two" in texts and len(texts) >= 10
