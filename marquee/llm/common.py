@@ -84,6 +84,12 @@ def fold(column: Column) -> Column:
     return F.translate(column, UPPER, LOWER)
 
 
+def text_hashes(text: str) -> list[Column]:
+    """128 bits of a text's hash as columns h1 and h2; null hashes as empty."""
+    body = F.coalesce(F.col(text), F.lit(""))
+    return [F.xxhash64(body).alias("h1"), F.xxhash64(F.lit(1), body).alias("h2")]
+
+
 def words(text: str | None) -> list[bytes]:
     """The words of a text, A-Z lower-cased: bytes.lower and bytes.split know ASCII only, and
     split at exactly 0x20 and 0x09-0x0D."""

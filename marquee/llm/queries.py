@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from marquee.llm import decontamination, exact_dedup, language_id, lm, mixing, ngram_join, pii, quality, toxicity, warc
+from marquee.llm import conversations, decontamination, exact_dedup, language_id, lm, mixing, negatives, ngram_join, pii, quality, repeats, toxicity, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_language_id": language_id.op9_language_id,
     "op10_lm_scoring": lm.op10_lm_scoring,
+    "op11_suffix_dedup": repeats.op11_suffix_dedup,
+    "op12_conversations": conversations.op12_conversations,
+    "op13_hard_negatives": negatives.op13_hard_negatives,
 }
 
 ORACLES = {
@@ -22,4 +25,7 @@ ORACLES = {
     "op2_ngram_join": ngram_join.ORACLE_SQL,
     "op3_exact_dedup": exact_dedup.ORACLE_SQL,
     "op7_mixing": mixing.ORACLE_SQL,
+    "op11_suffix_dedup": repeats.ORACLE_SQL,
+    "op12_conversations": conversations.ORACLE_SQL,
+    "op13_hard_negatives": negatives.ORACLE_SQL,
 }

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marquee.llm.common import attach, cut, fresh, tuned
+from marquee.llm.common import attach, cut, fresh, text_hashes, tuned
 
 #: Word lists, a voter each.
 LEXICONS = {
@@ -329,12 +329,6 @@ def fit(rows: DataFrame, known: DataFrame) -> tuple[DataFrame, tuple[np.ndarray,
     return seen, train_linear([np.asarray(x, np.int64) for x in kept["f"]], kept["p"].to_numpy(), kept["weight"].to_numpy(), kept["known"].to_numpy(bool))
 
 
-def text_hashes(text: str) -> list:
-    """128 bits of a text's hash as columns h1 and h2; null hashes as empty."""
-    body = F.coalesce(F.col(text), F.lit(""))
-    return [F.xxhash64(body).alias("h1"), F.xxhash64(F.lit(1), body).alias("h2")]
-
-
 def _held_out(id_column, held_out: tuple[int, int]):
     return F.crc32(F.coalesce(id_column.cast("string"), F.lit("")).cast("binary")) % held_out[0] == held_out[1]
 
