@@ -1,44 +1,77 @@
 """Assembled results: events with their venue, line-up, promoters and genres.
 
-Associations are restricted to the events at hand by semi joins, which Catalyst moves below the
-aggregation of raw links, so a page of events reads and gathers a page of links.
+All kinds of links of the events at hand are gathered by one aggregation over their union. The events
+of a page are fetched first, a bounded number of rows: their ids then reach the scans of the link
+tables as literals, and the search behind the page runs once. Events without a bound, as in a
+calendar, restrict the union by one semi join, which Catalyst moves below the links' own joins.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Rows of a page at most.
+PAGE = 100
+
+
+def fetched(page: DataFrame, size: int = PAGE) -> tuple[DataFrame, list[int]]:
+    """The rows of a page of at most size rows, as a table that no longer depends on the search, and
+    their ids."""
+    rows = page.limit(size + 1).collect()
+    if len(rows) > size:
+        raise ValueError(f"a page has at most {size} rows")
+    return page.sparkSession.createDataFrame(rows, page.schema), [r["id"] for r in rows]
+
+
+def _of(links: DataFrame, kind: str, by: str) -> DataFrame:
+    return links.select("event_id", F.lit(kind).alias("kind"), F.struct(F.col(by).cast("string").alias("by"), "name").alias("link"))
+
+
+def links(tables, events: DataFrame, ids: Sequence[int] | None, kinds: Sequence[str]) -> DataFrame:
+    """(id, *kinds): the names linked to events, in order: artists by place on the bill, genres by slug,
+    promoters by name; ties by name. Links to what does not exist drop out, and an event without any
+    link has no row. ids, where given, are those of the events."""
+
+    def own(table: DataFrame) -> DataFrame:
+        return table if ids is None else table.filter(F.col("event_id").isin(list(ids)))
+
+    def artists() -> DataFrame:
+        known = tables.artist.select(F.col("id").alias("artist_id"), "name")
+        # places as text of one width, so that they sort as numbers do
+        return _of(own(tables.event_artist).join(known, "artist_id").withColumn("place", F.lpad(F.col("billing_order").cast("string"), 20, "0")), "artists", "place")
+
+    def genres() -> DataFrame:
+        return _of(own(tables.event_genre_tag).join(tables.genre_tag.select(F.col("slug").alias("genre_slug"), "name"), "genre_slug"), "genres", "genre_slug")
+
+    def promoters() -> DataFrame:
+        return _of(own(tables.event_promoter).join(tables.promoter.select(F.col("id").alias("promoter_id"), "name"), "promoter_id"), "promoters", "name")
 
-def _names(links: DataFrame, order: str) -> DataFrame:
-    """(id, names) of rows (event_id, <order>, name), in order; ties by name."""
-    gathered = links.groupBy(F.col("event_id").alias("id")).agg(F.sort_array(F.collect_list(F.struct(order, "name"))).alias("x"))
-    return gathered.select("id", F.transform("x", lambda e: e["name"]).alias("names"))
+    made = {"artists": artists, "genres": genres, "promoters": promoters}
+    first, *rest = (made[k]() for k in kinds)
+    for other in rest:
+        first = first.unionByName(other)
+    if ids is None:
+        first = first.join(events.select(F.col("id").alias("event_id")), "event_id", "left_semi")
+    gathered = first.groupBy(F.col("event_id").alias("id")).agg(*[F.sort_array(F.collect_list(F.when(F.col("kind") == k, F.col("link")))).alias(k) for k in kinds])
+    return gathered.select("id", *[F.transform(k, lambda x: x["name"]).alias(k) for k in kinds])
 
 
-def lineup(tables, events: DataFrame) -> DataFrame:
-    """(id, names): the artists of events by place on the bill. Unknown artists drop out."""
-    keys = events.select(F.col("id").alias("event_id"))
-    artists = tables.artist.select(F.col("id").alias("artist_id"), "name")
-    return _names(tables.event_artist.join(keys, "event_id", "left_semi").join(artists, "artist_id"), "billing_order")
+def _or_none(name: str) -> Column:
+    return F.coalesce(name, F.array().cast("array<string>")).alias(name)
 
 
-def summaries(tables, events: DataFrame) -> DataFrame:
-    """events with venue_name, district, artists and genres (arrays, empty if none). An event whose
-    venue does not exist is an error."""
+def summaries(tables, events: DataFrame, ids: Sequence[int] | None = None, kinds: Sequence[str] = ("artists", "genres")) -> DataFrame:
+    """events with venue_name, district and an array for each of kinds (empty if none). An event whose
+    venue does not exist is an error. ids, where given, are those of events (see fetched)."""
     venues = tables.venue.select(F.col("id").alias("venue_id"), F.col("name").alias("venue_name"), "district")
-    keys = events.select(F.col("id").alias("event_id"))
-    tags = tables.genre_tag.select(F.col("slug").alias("genre_slug"), "name")
-    genres = _names(tables.event_genre_tag.join(keys, "event_id", "left_semi").join(tags, "genre_slug"), "genre_slug")
-    empty = F.array().cast("array<string>")
     known = F.coalesce("venue_name", F.raise_error(F.concat(F.lit("no venue of event "), F.col("id").cast("string"))).cast("string"))
-    out = events.join(venues, "venue_id", "left").withColumn("venue_name", known).join(lineup(tables, events).withColumnRenamed("names", "artists"), "id", "left").join(genres.withColumnRenamed("names", "genres"), "id", "left")
-    return out.withColumn("artists", F.coalesce("artists", empty)).withColumn("genres", F.coalesce("genres", empty))
+    out = events.join(venues, "venue_id", "left").withColumn("venue_name", known).join(links(tables, events, ids, kinds), "id", "left")
+    return out.select(*[c for c in out.columns if c not in kinds], *map(_or_none, kinds))
 
 
-def details(tables, events: DataFrame) -> DataFrame:
+def details(tables, events: DataFrame, ids: Sequence[int] | None = None) -> DataFrame:
     """Summaries with promoters (by name) added."""
-    keys = events.select(F.col("id").alias("event_id"))
-    links = tables.event_promoter.join(keys, "event_id", "left_semi").join(tables.promoter.select(F.col("id").alias("promoter_id"), "name"), "promoter_id")
-    promoters = _names(links.withColumn("by", F.col("name")), "by").withColumnRenamed("names", "promoters")
-    return summaries(tables, events).join(promoters, "id", "left").withColumn("promoters", F.coalesce("promoters", F.array().cast("array<string>")))
+    return summaries(tables, events, ids, ("artists", "genres", "promoters"))

@@ -70,8 +70,8 @@ def _flat(df, *lists):
     return df
 
 
-def _summary(tables, events):
-    return _flat(assemble.summaries(tables, events), "artists", "genres").select(*BRIEF, "venue_name", "district", "artists", "genres")
+def _summary(tables, events, ids=None):
+    return _flat(assemble.summaries(tables, events, ids), "artists", "genres").select(*BRIEF, "venue_name", "district", "artists", "genres")
 
 
 @query("search_all_facets", over_model(f"""{_LISTS} SELECT {_SUMMARY} FROM (SELECT * FROM event WHERE event_date BETWEEN DATE '1996-01-01' AND DATE '2000-12-31' AND event_type = 'CONCERT'
@@ -81,7 +81,7 @@ def _summary(tables, events):
 def search_all_facets(spark, sf_dir):
     tables = Listings(spark, sf_dir)
     f = Facets(date_from=date(1996, 1, 1), date_to=date(2000, 12, 31), event_type="concert", district="BUILDING", genre="economy", min_price=100, max_price=400000, text="NIGHT", exclude_sold_out=True)
-    return _summary(tables, search.page(search.search(tables, f, TODAY), search.ordering()))
+    return _summary(tables, *assemble.fetched(search.page(search.search(tables, f, TODAY), search.ordering())))
 
 
 @query("search_page_meta", over_model(f"SELECT 2 AS page, 20 AS size, count(*) AS total_elements, ceil(count(*) / 20)::BIGINT AS total_pages FROM event WHERE {_UPCOMING}"))
@@ -104,8 +104,8 @@ def calendar_window(spark, sf_dir):
 @query("event_detail", over_model(f"{_LISTS} SELECT {_SUMMARY}, coalesce(promoters, '') AS promoters FROM event e {_JOINS} LEFT JOIN hosts h ON h.event_id = e.id WHERE e.slug = 'e-101'"))
 def event_detail(spark, sf_dir):
     tables = Listings(spark, sf_dir)
-    one = tables.event_of("e-101")
-    return _flat(assemble.details(tables, one), "artists", "genres", "promoters").select(*BRIEF, "venue_name", "district", "artists", "genres", "promoters")
+    one = assemble.fetched(tables.event_of("e-101"))
+    return _flat(assemble.details(tables, *one), "artists", "genres", "promoters").select(*BRIEF, "venue_name", "district", "artists", "genres", "promoters")
 
 
 @query("events_by_ids", over_model("SELECT e.id, e.title, k.pos FROM (VALUES (33, 0), (1, 1), (7, 2), (999999999, 3)) k(id, pos) JOIN event e ON e.id = k.id"))

@@ -8,16 +8,31 @@ from pyspark.sql import functions as F
 #: The day on which time-dependent queries stand.
 AS_OF = "1998-06-01"
 
+#: Columns of the tables, so that no file is opened to learn them.
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey long, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string",
+}
+
 
 class Listings:
     """Event listings below sf_dir. Nothing is read before an action; Catalyst prunes the columns
     that a query leaves out."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.dir = spark, sf_dir
+        self.spark, self.dir, self.tables = spark, sf_dir, {}
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        if name not in self.tables:
+            read = self.spark.read.schema(SCHEMAS[name]) if name in SCHEMAS else self.spark.read
+            self.tables[name] = read.parquet(f"{self.dir}/{name}.parquet")
+        return self.tables[name]
 
     @property
     def event(self) -> DataFrame:
