@@ -7,17 +7,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marquee.functions import classify
+from marquee.functions.names import slug_udf
+from marquee.operators import upsert
 
 # Characters that titles lose, notes before and behind them, and labels.
 ZERO_WIDTH = r"[\u200b-\u200d\ufeff]"
 BLANKS = r"[\s\u00a0\u202f]+"
 MOVED_BEFORE = r"(?i)^\s*[-–—]?\s*verlegt\s+ins?\s+.+?\s*[-–—]\s*"
 NOTES_BEHIND = (
-    r"(?i)\s+[-–—(]*\s*(?:nachholtermin|hochverlegung|verschoben|verlegt\s+(?:ins|nach))\b.*$",
-    r"(?i)\s+[-–—(]*\s*ausverkauft!?\s*\)?\s*$",
-    r"\s+[-–—]\s*$",
+    r"(?i)\s+[-–—(]*\s*(?:nachholtermin|hochverlegung|verschoben|verlegt\s+(?:ins|nach))\b.*$"
+    r"|\s+[-–—(]*\s*ausverkauft!?\s*\)?\s*$"
+    r"|\s+[-–—]\s*$"
 )
 BOX_OFFICE = r"(?i)abendkasse|\bak\b"
+STATES = ("SCHEDULED", "RELOCATED", "CANCELLED", "POSTPONED")
+TYPES = ("CONCERT", "FESTIVAL", "PARTY", "QUIZ", "CLUB_NIGHT", "SHOW", "SCREENING", "EXHIBITION", "READING", "OTHER")
 DISTRICTS = {
     "mitte": "Mitte", "friedrichshain-kreuzberg": "Friedrichshain-Kreuzberg", "pankow": "Pankow", "charlottenburg-wilmersdorf": "Charlottenburg-Wilmersdorf", "spandau": "Spandau",
     "steglitz-zehlendorf": "Steglitz-Zehlendorf", "tempelhof-schoeneberg": "Tempelhof-Schöneberg", "neukoelln": "Neukölln", "treptow-koepenick": "Treptow-Köpenick",
@@ -36,13 +40,10 @@ def without_move(title: Column) -> Column:
 
 def clean_title(title: Column) -> Column:
     """A title with single blanks and no invisible characters, without notes behind it (new dates,
-    moves, sold out, stray dashes); never blank for it. The first kind of note that stands
-    there goes."""
+    moves, sold out, stray dashes); never blank for it. Notes go in one pass: what one leaves behind
+    stays, as the dash of "Luna - (verschoben aus 2026)"."""
     plain = F.regexp_replace(F.btrim(F.regexp_replace(title, ZERO_WIDTH, "")), BLANKS, " ")
-    short = plain
-    for pattern in NOTES_BEHIND:
-        short = F.regexp_replace(short, F.lit(pattern), F.lit(""))
-    return _or(short, plain)
+    return _or(F.regexp_replace(plain, F.lit(NOTES_BEHIND), F.lit("")), plain)
 
 
 def concert_type(title: Column) -> Column:
@@ -142,27 +143,76 @@ def failure_reason(status: Column, error: Column) -> Column:
     )
 
 
-def event_rows(scraped: DataFrame) -> DataFrame:
-    """Scraped records (source_id, title, label, genre, day, doors, start, presale, box_office, note)
-    as event rows: state and type from the raw title, then the clean title and its slug, times in
-    order, amounts with two digits, and whether entry is free."""
-    title = clean_title(without_move(F.col("title")))
-    doors, start = in_order(time_of(F.col("doors")), time_of(F.col("start")))
-    presale, box = (F.col(c).cast("decimal(10,2)") for c in ("presale", "box_office"))
-    kind = classify.resolved_type(refined_type(classify.type_of_label(F.col("label")), F.col("title")), F.col("title"), F.coalesce("genre", F.lit("")))
-    return scraped.select(
+def named(value: Column, known: tuple[str, ...], otherwise: str) -> Column:
+    """One of known, whatever its case and the blanks around it; otherwise for all else."""
+    name = F.upper(F.btrim(value))
+    return F.when(name.isin(*known), name).otherwise(otherwise)
+
+
+#: Columns that an event row takes over from its record as they are.
+PLAIN = ("subtitle", "description", "image_url", "source_url", "ticket_url", "genre", "price_note")
+
+
+def event_rows(scraped: DataFrame, existing: DataFrame | None = None) -> DataFrame:
+    """Staged records (marquee.sources.registry.STAGED, with venue_id, venue_slug and event_source_id) as whole
+    event rows. The slug is made of day, venue, title and, where several records of a venue's day share
+    these, the start (see upsert.discriminated). Doors that come later than the start change places
+    with it; unknown states are SCHEDULED, unknown types OTHER before title and genre have their say;
+    amounts have two digits, in euros. A record says itself that entry is free, or its prices, note
+    and title do. existing (id, source_id, created_at): rows of a known source_id keep these; others
+    have null for id and created_at."""
+    doors, start = in_order(F.col("doors_time"), F.col("start_time"))
+    presale, box = (F.col(c).cast("decimal(10,2)") for c in ("price_presale", "price_box_office"))
+    kind = classify.resolved_type(named(F.col("event_type"), TYPES, "OTHER"), F.col("title"), F.coalesce("genre", F.lit("")))
+    free = F.coalesce("free", F.lit(False)) | classify.is_free(presale, box, F.coalesce("price_note", F.lit("")), F.col("title"))
+    rows = scraped.select(
         "source_id",
-        title.alias("title"),
-        F.concat_ws("-", F.nullif(classify.slug(title), F.lit("")), F.col("day").cast("string")).alias("slug"),
+        "venue_id",
+        "event_source_id",
+        "title",
+        slug_udf(F.concat_ws("-", F.col("event_date").cast("string"), "venue_slug", "title")).alias("slug"),
         kind.alias("event_type"),
-        classify.status_of(F.col("title")).alias("status"),
-        F.col("day").alias("event_date"),
+        named(F.col("status"), STATES, "SCHEDULED").alias("status"),
+        "event_date",
         doors.alias("doors_time"),
         start.alias("start_time"),
+        *PLAIN,
         presale.alias("price_presale"),
         box.alias("price_box_office"),
-        classify.is_free(presale, box, F.coalesce("note", F.lit("")), F.col("title")).alias("free"),
+        F.lit("EUR").alias("price_currency"),
+        F.coalesce("sold_out", F.lit(False)).alias("sold_out"),
+        free.alias("free"),
+    )
+    rows = upsert.discriminated(rows)
+    if existing is None:
+        return rows.select(F.lit(None).cast("long").alias("id"), F.lit(None).cast("timestamp").alias("created_at"), *rows.columns)
+    known = existing.select("source_id", "id", "created_at")
+    return rows.join(known, "source_id", "left").select("id", "created_at", *rows.columns)
+
+
+#: Columns of an event that an editor's request holds as they are.
+ASKED = ("venue_id", "title", *PLAIN, "source_id", "event_date", "doors_time", "start_time", "price_currency", "sold_out", "free", "facebook_event_url")
+
+
+def requested(requests: DataFrame, existing: DataFrame | None = None) -> DataFrame:
+    """Event rows of an editor's requests (ASKED, with event_type, status, price_presale, price_box_office and
+    venue_slug, and id where an event is replaced): slug of day, venue and title, amounts with two
+    digits. Of existing (id, event_source_id, created_at) a replaced event keeps its source and its
+    creation; new ones have null for both. A request for an unknown id is an error."""
+    made = requests.select(
+        "id",
+        *ASKED,
+        "event_type",
+        "status",
+        slug_udf(F.concat_ws("-", F.col("event_date").cast("string"), "venue_slug", "title")).alias("slug"),
+        *[F.col(c).cast("decimal(10,2)").alias(c) for c in ("price_presale", "price_box_office")],
     )
+    if existing is None:
+        return made.select("*", F.lit(None).cast("long").alias("event_source_id"), F.lit(None).cast("timestamp").alias("created_at"))
+    known = existing.select("id", "event_source_id", "created_at", F.lit(True).alias("x_known"))
+    both = made.join(known, "id", "left")
+    sure = F.when(F.col("id").isNull() | F.col("x_known"), F.col("id")).otherwise(F.raise_error(F.concat(F.lit("no event "), F.col("id").cast("string"))).cast("long"))
+    return both.withColumn("id", sure).drop("x_known")
 
 
 def patched(rows: DataFrame, changes: DataFrame, key: str, columns: list[str]) -> DataFrame:
@@ -178,19 +228,3 @@ def carried(rows: DataFrame, page: str, at: list[str], heading: Column, value: C
     above = Window.partitionBy(page).orderBy(*at).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     marked = rows.withColumn("x_heading", heading).withColumn(name, F.last(F.when(heading, value), ignorenulls=True).over(above))
     return marked.filter(~F.col("x_heading")).drop("x_heading")
-
-
-#: The script that holds a page's embedded JSON, and what one event of it has.
-WARMUP = r"(?is)<script[^>]*\bid=[\"']wix-warmup-data[\"'][^>]*>(.*?)</script>"
-WARMUP_EVENT = "struct<id: string, title: string, status: int>"
-
-
-def warmup_events(pages: DataFrame, event: str = WARMUP_EVENT) -> DataFrame:
-    """Events (fields of event, with the state as text) of the JSON embedded in pages (html): of the
-    first widget with a list of events. Pages without one have none; status 3 is cancelled."""
-    body = F.regexp_extract("html", WARMUP, 1)
-    widgets = F.map_values(F.from_json(F.get_json_object(body, "$.data"), "map<string, string>"))
-    lists = F.transform(widgets, lambda w: F.from_json(F.get_json_object(w, "$.events.events"), f"array<{event}>"))
-    first = F.get(F.filter(lists, lambda x: x.isNotNull()), F.lit(0))
-    rows = pages.select(F.explode(first).alias("e")).select("e.*")
-    return rows.withColumn("status", F.when(F.col("status") == 3, "CANCELLED").otherwise("SCHEDULED"))

@@ -12,6 +12,7 @@ from marquee.sources.tables import Listings, over_model
 TITLES = (
     "-verlegt in den Frannz Club – CULTURE WARS", "Verlegt ins Bi Nuu – BRKN", "Iggi Kelly Nachholtermin vom 28.04.26-", "Luna Simao (verschoben aus 2026)", "Mitsing-Event (ausverkauft)",
     "Adventurous\u00a0 Juan  (DJ-Set)", "HOME\u200bCOMING", "The Adicts -", "Pub Quiz", "Summer Festival (abgesagt)", "Aftershow Party", "Konzert - Eintritt frei", "Lesung: Nacht", " - ",
+    "Luna - (verschoben aus 2026)", "Foo - (ausverkauft)", "Ärzte – Øya, Straße", "Ein ausverkauftes Haus",
 )
 _ARRAY = "[" + ", ".join("'{}'".format(t.replace("'", "''")) for t in TITLES) + "]"
 _CHARS = "[\\x{200B}-\\x{200D}\\x{FEFF}]", "[\\s\\x{00A0}\\x{202F}]+"
@@ -21,10 +22,7 @@ _MOVED = f"coalesce(nullif(trim(regexp_replace(title, '{records.MOVED_BEFORE}',
 
 def _clean(x: str) -> str:
     plain = _PLAIN.replace("{0}", x)
-    short = plain
-    for p in records.NOTES_BEHIND:
-        short = f"regexp_replace({short}, '{p}', '')"
-    return f"coalesce(nullif(trim({short}), ''), {plain})"
+    return f"coalesce(nullif(trim(regexp_replace({plain}, '{records.NOTES_BEHIND}', '', 'g')), ''), {plain})"
 
 
 _TYPE = """CASE WHEN lower(title) LIKE '%quiz%' THEN 'QUIZ' WHEN regexp_matches(lower(title), 'wrestling|burlesque|circus') THEN 'SHOW'
@@ -220,33 +218,67 @@ _NEW = f"""{_RAW}, s AS (SELECT *, {_MOVED} AS unmoved, {_LABEL} AS label, CASE
     k AS (SELECT *, {_clean('unmoved')} AS clean, {_TYPE} AS told FROM s),
     m AS (SELECT *, CASE label WHEN 'Konzert' THEN 'CONCERT' WHEN 'Party' THEN 'PARTY' WHEN 'Sonstiges' THEN 'OTHER' END AS mapped FROM k),
     n AS (SELECT *, CASE WHEN mapped IS NULL THEN coalesce(told, 'CONCERT') WHEN mapped = 'OTHER' THEN coalesce(told, 'OTHER') ELSE mapped END AS refined FROM m),
-    made AS (SELECT 's:' || id::VARCHAR AS source_id, clean AS title, concat_ws('-', nullif(trim(regexp_replace(lower(clean), '[^a-z0-9]+', '-', 'g'), '-'), ''), day::VARCHAR) AS slug, CASE WHEN refined IN ('CONCERT', 'OTHER') AND regexp_matches(lower(title), '\\bfestivals?\\b') THEN 'FESTIVAL' ELSE refined END AS event_type,
-    CASE WHEN title ILIKE '%abgesagt%' THEN 'CANCELLED' WHEN title ILIKE '%verschoben%' THEN 'POSTPONED' WHEN title ILIKE '%verlegt%' THEN 'RELOCATED' ELSE 'SCHEDULED' END AS status, day AS event_date,
-    CASE WHEN doors IS NOT NULL AND start IS NOT NULL THEN least(doors, start) ELSE doors END || ':00' AS doors_time, CASE WHEN doors IS NOT NULL AND start IS NOT NULL THEN greatest(doors, start) ELSE start END || ':00' AS start_time,
-    presale AS price_presale, CASE WHEN id % 3 = 0 THEN presale + 5 END::DECIMAL(10,2) AS price_box_office, presale = 0 OR contains(lower(title), 'eintritt frei') AS free FROM n)"""
+    p AS (SELECT *, CASE WHEN doors IS NOT NULL AND start IS NOT NULL THEN least(doors, start) ELSE doors END || ':00' AS d, CASE WHEN doors IS NOT NULL AND start IS NOT NULL THEN greatest(doors, start) ELSE start END || ':00' AS st,
+    trim(regexp_replace(lower(strip_accents(replace(replace(replace(day::VARCHAR || '-haus-' || id % 3 || '-' || clean, 'ß', 'ss'), 'ø', 'o'), 'Ø', 'O'))), '[^a-z0-9]+', '-', 'g'), '-') AS base FROM n),
+    made AS (SELECT CASE WHEN id % 4 = 0 THEN id END AS id, CASE WHEN id % 4 = 0 THEN TIMESTAMP '1997-01-01' END AS created_at, 's:' || id::VARCHAR AS source_id, id % 3 AS venue_id, 7::BIGINT AS event_source_id, clean AS title,
+    base || CASE WHEN count(*) OVER (PARTITION BY base) > 1 AND st IS NOT NULL THEN '-' || replace(substr(st, 1, 5), ':', '') ELSE '' END AS slug,
+    CASE WHEN refined IN ('CONCERT', 'OTHER') AND regexp_matches(lower(clean), '\\b(festivaltickets?|festivals?)\\b') THEN 'FESTIVAL' ELSE refined END AS event_type,
+    CASE WHEN title ILIKE '%abgesagt%' THEN 'CANCELLED' WHEN title ILIKE '%verschoben%' THEN 'POSTPONED' WHEN title ILIKE '%verlegt%' THEN 'RELOCATED' ELSE 'SCHEDULED' END AS status, day AS event_date, d AS doors_time, st AS start_time,
+    NULL::VARCHAR AS subtitle, NULL::VARCHAR AS description, NULL::VARCHAR AS image_url, 'https://x.example/' || id AS source_url, NULL::VARCHAR AS ticket_url, NULL::VARCHAR AS genre, CASE WHEN id % 10 = 3 THEN 'Spende' END AS price_note,
+    presale AS price_presale, CASE WHEN id % 3 = 0 THEN presale + 5 END::DECIMAL(10,2) AS price_box_office, 'EUR' AS price_currency, id % 6 = 1 AS sold_out, id % 9 = 2 OR presale = 0 OR contains(lower(clean), 'eintritt frei') AS free FROM p)"""
 
 
 def _scraped(spark, sf_dir):
-    id_ = F.col("id")
+    """Staged records, their titles read as a scraper reads them."""
+    id_, t = F.col("id"), F.col("title")
     labels_ = F.array(*map(F.lit, ("Konzert", "Party", None, "Sonstiges")))
     presale = (id_ % 30).cast("decimal(10,2)")
+    none = F.lit(None).cast("string")
+    kind = records.refined_type(records.classify.type_of_label(F.get(labels_, (id_ % 4).cast("int"))), t)
+    doors = F.when(id_ % 8 != 0, F.concat((id_ % 9 + 15).cast("string"), F.lit(":15")))
     return _raw(spark, sf_dir).select(
         F.concat(F.lit("s:"), id_.cast("string")).alias("source_id"),
-        "title",
-        F.get(labels_, (id_ % 4).cast("int")).alias("label"),
-        F.lit(None).cast("string").alias("genre"),
-        "day",
-        F.when(id_ % 8 != 0, F.concat((id_ % 9 + 15).cast("string"), F.lit(":15"))).alias("doors"),
-        F.when(id_ % 7 != 0, F.concat((id_ % 6 + 18).cast("string"), F.lit(":30"))).alias("start"),
-        presale.alias("presale"),
-        F.when(id_ % 3 == 0, presale + 5).alias("box_office"),
-        F.lit(None).cast("string").alias("note"),
+        (id_ % 3).alias("venue_id"),
+        F.concat(F.lit("haus-"), (id_ % 3).cast("string")).alias("venue_slug"),
+        F.lit(7).cast("long").alias("event_source_id"),
+        records.clean_title(records.without_move(t)).alias("title"),
+        F.lower(kind).alias("event_type"),
+        records.classify.status_of(t).alias("status"),
+        F.col("day").alias("event_date"),
+        records.time_of(doors).alias("doors_time"),
+        records.time_of(F.when(id_ % 7 != 0, F.concat((id_ % 6 + 18).cast("string"), F.lit(":30")))).alias("start_time"),
+        *[none.alias(c) for c in ("subtitle", "description", "image_url", "ticket_url", "genre")],
+        F.concat(F.lit("https://x.example/"), id_.cast("string")).alias("source_url"),
+        F.when(id_ % 10 == 3, "Spende").alias("price_note"),
+        presale.alias("price_presale"),
+        F.when(id_ % 3 == 0, presale + 5).alias("price_box_office"),
+        (id_ % 6 == 1).alias("sold_out"),
+        (id_ % 9 == 2).alias("free"),
     )
 
 
 @query("record_to_event", over_model(f"{_NEW} SELECT * FROM made"))
 def record_to_event(spark, sf_dir):
-    return records.event_rows(_scraped(spark, sf_dir))
+    """Whole event rows of staged records; every fourth is known already."""
+    scraped = _scraped(spark, sf_dir)
+    known = scraped.select("source_id", F.substring_index("source_id", ":", -1).cast("long").alias("id")).filter("id % 4 = 0")
+    return records.event_rows(scraped, known.withColumn("created_at", F.lit("1997-01-01 00:00:00").cast("timestamp_ntz")))
+
+
+_EMPTY = ("subtitle", "description", "image_url", "source_url", "ticket_url", "genre", "price_note", "doors_time", "facebook_event_url")
+
+
+@query("requested_events", over_model(f"""SELECT CASE WHEN id % 2 = 0 THEN id END AS id, venue_id, 'Neu: ' || title AS title, {', '.join(f'NULL::VARCHAR AS {c}' for c in _EMPTY)}, 'manual:' || id AS source_id, event_date, start_time, 'CHF' AS price_currency, sold_out, free, event_type, status,
+    trim(regexp_replace(lower(event_date::VARCHAR || '-haus-' || venue_id % 4 || '-neu-' || title), '[^a-z0-9]+', '-', 'g'), '-') AS slug, price_presale, (id % 50 + 0.5)::DECIMAL(10,2) AS price_box_office, CASE WHEN id % 2 = 0 THEN event_source_id END AS event_source_id, CASE WHEN id % 2 = 0 THEN event_date::TIMESTAMP END AS created_at FROM event"""))
+def requested_events(spark, sf_dir):
+    """An editor's requests: every other one replaces an event, which keeps its source and creation."""
+    events, id_ = Listings(spark, sf_dir).event, F.col("id")
+    none = [F.lit(None).cast("string").alias(c) for c in _EMPTY]
+    given = events.select(
+        F.when(id_ % 2 == 0, id_).alias("id"), "venue_id", F.concat(F.lit("haus-"), (F.col("venue_id") % 4).cast("string")).alias("venue_slug"), F.concat(F.lit("Neu: "), "title").alias("title"), *none,
+        F.concat(F.lit("manual:"), id_.cast("string")).alias("source_id"), "event_date", "start_time", F.lit("CHF").alias("price_currency"), "sold_out", "free", "event_type", "status", "price_presale", (id_ % 50 + 0.5).alias("price_box_office"),
+    )
+    return records.requested(given, events.select("id", "event_source_id", F.col("event_date").cast("timestamp_ntz").alias("created_at")))
 
 
 @query("patch_events", over_model("SELECT e.id, coalesce(c.title, e.title) AS title, coalesce(c.start_time, e.start_time) AS start_time, e.source_id FROM event e LEFT JOIN (SELECT id, CASE WHEN id % 2 = 0 THEN 'New ' || title END AS title, CASE WHEN id % 4 = 0 THEN '17:00:00' END AS start_time FROM event WHERE id % 3 = 0) c USING (id)"))
@@ -268,14 +300,3 @@ def admin_events(spark, sf_dir):
     both = t.event.select("id", "title").join(artists, "id", "left").join(hosts, "id", "left")
     joined = F.array_join(F.transform("x", lambda a: a["t"]), ","), F.array_join(F.transform("y", lambda p: p.cast("string")), ",")
     return both.select("id", "title", *[F.coalesce(j, F.lit("")).alias(n) for j, n in zip(joined, ("artists", "promoters"), strict=True)])
-
-
-@query("warmup_events", """SELECT 'w' || event_id::VARCHAR AS id, CASE event_id % 4 WHEN 3 THEN 'CANCELLED' ELSE 'SCHEDULED' END AS status, event_type AS title FROM events WHERE event_id % 2 = 0""")
-def warmup_events(spark, sf_dir):
-    """Events of the JSON that pages embed: of its widgets the first that has a list of events."""
-    k = F.col("event_id")
-    item = F.to_json(F.struct(F.concat(F.lit("w"), k.cast("string")).alias("id"), F.col("event_type").alias("title"), (k % 4).alias("status")))
-    json = F.concat(F.lit('{"data":{"a":{"other":1},"b":{"events":{"events":['), item, F.lit(']}},"c":{"events":{"events":[]}}}}'))
-    html = F.when(k % 2 == 0, F.concat(F.lit('<html><script type="application/json" id="wix-warmup-data">'), json, F.lit("</script></html>"))).otherwise("<html></html>")
-    pages = Listings(spark, sf_dir).raw("events").select(html.alias("html"))
-    return records.warmup_events(pages).select("id", "status", "title")

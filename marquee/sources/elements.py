@@ -1,40 +1,94 @@
 """Elements of web pages by selector, as tables: list pages become rows, detail pages fields.
 
-A selector is a chain of parts, each below the one before: a tag, .class, #id, [attribute] or
-[attribute=value], joined without blanks ("div.card a[href]"). Pages are read in Arrow batches; what
-is done with the fields is left to Columns.
+Selectors are those of marquee.sources.selectors. Pages are read in Arrow batches; what is done with
+the fields is left to Columns.
 """
 
 from __future__ import annotations
 
 import json
 import re
+from bisect import bisect_left
+from collections import defaultdict
 from collections.abc import Iterator
+from functools import cached_property
 from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from marquee.functions.payloads import WARMUP_SCRIPT as WARMUP_SCRIPT
+from marquee.sources.literals import member_list
+from marquee.sources.selectors import compiled
+
 # Elements without content, and the class of elements that a page builder hides.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 HIDDEN = "w-condition-invisible"
+# Elements whose start ends an open one, as HTML lets end tags be left out; and the
+# elements that an open one is looked for in.
+BLOCKS = "address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul"
+ENDS = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option", "tbody": "tr td th tbody thead", "tfoot": "tr td th tbody thead"} | dict.fromkeys(BLOCKS.split(), "p")
+SCOPES = {"li": "ul ol", "dt": "dl", "dd": "dl", "tr": "table", "td": "table tr", "th": "table tr", "option": "select", "tbody": "table", "tfoot": "table"}
+_ENDS = {k: frozenset(v.split()) for k, v in ENDS.items()}
+_SCOPES = {k: frozenset(v.split()) for k, v in SCOPES.items()}
 
-_PART = re.compile(r"([#.]?)([\w-]+)|\[([\w:-]+)(?:=[\"']?([^\]\"']*)[\"']?)?\]")
 _CHARSET = re.compile(rb"charset\s*=\s*[\"']?\s*([A-Za-z0-9_.:-]+)", re.IGNORECASE)
 
 
+class Index:
+    """The elements of a page in its order, and by id, class and tag."""
+
+    def __init__(self, root: Element):
+        self.all: list[Element] = []
+        self.named: dict[tuple[str, str], list[Element]] = defaultdict(list)
+        todo: list[tuple[Element, bool]] = [(root, False)]
+        while todo:
+            e, done = todo.pop()
+            if done:
+                e.last = len(self.all) - 1
+                continue
+            e.order, e.index = len(self.all), self
+            self.all.append(e)
+            self.named["tag", e.tag].append(e)
+            if "id" in e.attrs:
+                self.named["id", e.attrs["id"]].append(e)
+            for c in e.classes:
+                self.named["class", c].append(e)
+            todo.append((e, True))
+            todo += [(k, False) for k in reversed(e.kids)]
+
+
 class Element:
-    """A tag with attributes; children are elements and texts."""
+    """A tag with attributes; children are elements and texts, kids the elements among them."""
 
     def __init__(self, tag: str, attrs: dict[str, str], above: Element | None = None):
-        self.tag, self.attrs, self.above, self.children = tag, attrs, above, []
-
-    def below(self) -> Iterator[Element]:
-        todo = [c for c in reversed(self.children) if isinstance(c, Element)]
-        while todo:
-            e = todo.pop()
-            yield e
-            todo += [c for c in reversed(e.children) if isinstance(c, Element)]
+        self.tag, self.attrs, self.above = tag, attrs, above
+        self.children: list[Element | str] = []
+        self.kids: list[Element] = []
+        self.index: Index | None = None
+        self.order = self.last = 0
+
+    @cached_property
+    def classes(self) -> frozenset[str]:
+        return frozenset(self.attrs.get("class", "").lower().split())
+
+    def add(self, child: Element | str) -> None:
+        self.children.append(child)
+        if isinstance(child, Element):
+            self.kids.append(child)
+
+    def candidates(self, name: tuple[str, str] | None) -> list[Element]:
+        """This element and those below it, of an id, class or tag; the page itself is none."""
+        if self.index is None:
+            top = self
+            while top.above is not None:
+                top = top.above
+            Index(top)
+        first = self.order + (not self.tag)
+        if name is None:
+            return self.index.all[first : self.last + 1]
+        found = self.index.named.get(name, [])
+        return found[bisect_left(found, first, key=lambda e: e.order) : bisect_left(found, self.last + 1, key=lambda e: e.order)]
 
     def text(self) -> str:
         """All text inside, with single blanks; a break is a blank."""
@@ -61,30 +115,12 @@ class Element:
                 out[-1] += c.text()
         return [" ".join(x.split()) for x in out if x.strip()]
 
-    def fits(self, part: list[tuple[str, str, str, str]]) -> bool:
-        for kind, name, key, value in part:
-            if key:
-                if key not in self.attrs or (value and self.attrs[key] != value):
-                    return False
-            elif kind == ".":
-                if name not in self.attrs.get("class", "").split():
-                    return False
-            elif (self.attrs.get("id") if kind == "#" else self.tag) != name:
-                return False
-        return True
-
-    def select(self, selector: str) -> Iterator[Element]:
-        """Elements below this one that the selector names, in the page's order."""
-        parts = [_PART.findall(p) for p in selector.split()]
-        for e in self.below():
-            if not e.fits(parts[-1]):
-                continue
-            left, up = len(parts) - 1, e.above
-            while left and up is not None and up is not self.above:
-                left -= up.fits(parts[left - 1])
-                up = up.above
-            if not left:
-                yield e
+    def select(self, selector: str) -> list[Element]:
+        """This element and those below it that the selector names, in the page's order."""
+        return compiled(selector).select(self)
+
+    def first(self, selector: str) -> Element | None:
+        return compiled(selector).first(self)
 
 
 class _Builder(HTMLParser):
@@ -92,14 +128,29 @@ class _Builder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = self.at = Element("", {})
 
+    def _close(self, tag: str) -> None:
+        """Ends what the start of a tag ends, if it is open within the tag's scope."""
+        ends, scope = _ENDS.get(tag), _SCOPES.get(tag, frozenset(("button",)))
+        e = self.at
+        while ends and e.above is not None and e.tag not in scope:
+            if e.tag in ends:
+                self.at = e.above
+                # of cells and rows the outermost that is open ends
+                if tag not in ("tr", "tbody", "tfoot"):
+                    return
+            e = e.above
+
     def handle_starttag(self, tag, attrs):
+        self._close(tag)
+        if tag == "tr" and self.at.tag == "table":  # rows lie in a body, written or not
+            self.handle_starttag("tbody", [])
         e = Element(tag, {k: v or "" for k, v in attrs}, self.at)
-        self.at.children.append(e)
+        self.at.add(e)
         if tag not in VOID:
             self.at = e
 
     def handle_startendtag(self, tag, attrs):
-        self.at.children.append(Element(tag, {k: v or "" for k, v in attrs}, self.at))
+        self.handle_starttag(tag, attrs)  # the slash says nothing but in void elements
 
     def handle_endtag(self, tag):
         e = self.at
@@ -109,7 +160,7 @@ class _Builder(HTMLParser):
             self.at = e.above
 
     def handle_data(self, data):
-        self.at.children.append(data)
+        self.at.add(data)
 
 
 def parse(page: str | None) -> Element:
@@ -138,8 +189,8 @@ def value(of: Element, selector: str, what: str) -> str | None:
     is not hidden and holds the words: "true" or "false"."""
     if what.startswith("shown:"):
         words = what[6:].lower()
-        return str(any(HIDDEN not in e.attrs.get("class", "").split() and words in e.text().lower() for e in of.select(selector))).lower()
-    e = next(of.select(selector), None) if selector else of
+        return str(any(HIDDEN not in e.classes and words in e.text().lower() for e in of.select(selector))).lower()
+    e = of.first(selector) if selector else of
     if e is None:
         return None
     if what in ("href", "src"):
@@ -169,40 +220,26 @@ def picked(pages: DataFrame, each: str, fields: dict[str, tuple[str, str]], key:
     return pages.selectExpr(f"`{key}` AS k", f"`{html}` AS h").mapInPandas(run, columns)
 
 
-_BARE = re.compile(r'([{,]\s*)([A-Za-z_$][\w$]*)(\s*:)|"(?:[^"\\]|\\.)*"')
-
-
-def object_around(script: str | None, name: str, bracket: str = "[") -> str | None:
-    """The object literal in a script that has the member `name` with a list or object (bracket) as
-    its value, as JSON with names in quotes. None without one, or if it does not end."""
-    found = re.search(rf"\b{re.escape(name)}\"?\s*:\s*{re.escape(bracket)}", script or "")
-    start = script.rfind("{", 0, found.start()) if found else -1
-    if start < 0:
-        return None
-    depth = 0
-    for m in re.finditer(r'"(?:[^"\\]|\\.)*"|[{}]', script[start:]):
-        depth += {"{": 1, "}": -1}.get(m[0], 0)
-        if not depth:
-            return _BARE.sub(lambda x: f'{x[1]}"{x[2]}"{x[3]}' if x[2] else x[0], script[start : start + m.end()])
-    return None
-
-
 def members(pages: DataFrame, name: str, key: str = "page_id", html: str = "html") -> DataFrame:
-    """(key, pos, member): the list `name` of the object literal in a page's scripts, a row of JSON for
-    each of its members. Pages without one, or with one that is no JSON, have no rows."""
+    """(key, pos, member, error): the list `name` of the first object literal in a page's scripts that has
+    it, a row of JSON for each of its members. Pages without one have no rows; one whose literal
+    cannot be read has a row of its own, with the error, at place 0."""
     kind = pages.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for k, page in zip(b["k"], b["h"], strict=True):
-                scripts = ("".join(c for c in e.children if isinstance(c, str)) for e in parse(page).select("script"))
-                literal = next(filter(None, (object_around(s, name) for s in scripts)), None)
-                try:
-                    found = json.loads(literal)[name] if literal else []
-                except (ValueError, KeyError):
-                    found = []
-                out += [(k, pos, json.dumps(x, ensure_ascii=False)) for pos, x in enumerate(found, 1)]
-            yield pd.DataFrame(out, columns=[key, "pos", "member"])
-
-    return pages.selectExpr(f"`{key}` AS k", f"`{html}` AS h").mapInPandas(run, f"`{key}` {kind}, pos int, member string")
+                out += [(k, pos, x, error) for pos, x, error in page_members(page, name)]
+            yield pd.DataFrame(out, columns=[key, "pos", "member", "error"])
+
+    return pages.selectExpr(f"`{key}` AS k", f"`{html}` AS h").mapInPandas(run, f"`{key}` {kind}, pos int, member string, error string")
+
+
+def page_members(page: str | None, name: str) -> list[tuple[int, str | None, str | None]]:
+    """(place, JSON, error) for the members of a page's list, as members has them."""
+    try:
+        found = next((x for e in parse(page).select("script") if (x := member_list("".join(c for c in e.children if isinstance(c, str)), name)) is not None), [])
+    except ValueError as e:
+        return [(0, None, str(e))]
+    return [(pos, json.dumps(x, ensure_ascii=False), None) for pos, x in enumerate(found, 1)]

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import html
 import json
 import re
 from collections.abc import Iterator
@@ -70,11 +69,13 @@ _JSON_LD = re.compile(r"<script[^>]*application/ld\+json[^>]*>(.*?)</script>", r
 
 
 def json_ld(page: str | None, kind: str = "Event") -> list[dict]:
-    """Objects of a type in a page's JSON-LD, lists and graphs included; broken blocks are passed over."""
+    """Objects of a type in a page's JSON-LD, lists and graphs included; broken blocks are passed over. A
+    script's text stands for itself, so character references in its strings stay as they are; a graph
+    that is no list counts as its one member, if it is an object."""
     out = []
     for block in _JSON_LD.findall(page or ""):
         try:
-            todo = [json.loads(html.unescape(block))]
+            todo = [json.loads(block)]
         except ValueError:
             continue
         while todo:
@@ -82,7 +83,8 @@ def json_ld(page: str | None, kind: str = "Event") -> list[dict]:
             if isinstance(x, list):
                 todo = x + todo
             elif isinstance(x, dict):
-                todo = x.get("@graph", []) + todo
+                graph = x.get("@graph")
+                todo = (graph if isinstance(graph, list) else [graph]) + todo
                 types = x.get("@type")
                 if any(str(t).endswith(kind) for t in (types if isinstance(types, list) else [types])):
                     out.append(x)
