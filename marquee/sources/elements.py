@@ -170,14 +170,20 @@ def parse(page: str | None) -> Element:
     return b.root
 
 
+# Byte order marks.
+MARKS = ((b"\xef\xbb\xbf", "utf-8-sig"), (b"\x00\x00\xfe\xff", "utf-32"), (b"\xff\xfe\x00\x00", "utf-32"), (b"\xfe\xff", "utf-16"), (b"\xff\xfe", "utf-16"))
+
+
 def decoded(body: bytes | None, header: str | None = None) -> str | None:
-    """A page's text: in the charset of its header, else the one that its first 1,024 bytes name,
-    else UTF-8. Unknown charsets count as UTF-8, broken bytes as the replacement character."""
+    """A page's text: by its byte order mark, else in the charset of its header, else the one that its
+    first 1,024 bytes name, else UTF-8. Unknown charsets count as UTF-8, broken bytes as the
+    replacement character."""
     if body is None:
         return None
+    marked = next((charset for mark, charset in MARKS if body.startswith(mark)), None)
     named = _CHARSET.search((header or "").encode()) or _CHARSET.search(body[:1024])
     try:
-        return body.decode(named[1].decode() if named else "utf-8", "replace")
+        return body.decode(marked or (named[1].decode() if named else "utf-8"), "replace")
     except LookupError:
         return body.decode("utf-8", "replace")
 
