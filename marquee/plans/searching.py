@@ -108,6 +108,52 @@ def event_detail(spark, sf_dir):
     return _flat(assemble.details(tables, *one), "artists", "genres", "promoters").select(*BRIEF, "venue_name", "district", "artists", "genres", "promoters")
 
 
+def _json(*columns):
+    """Nested columns as JSON, nulls included, for comparison as text."""
+    return [F.to_json(c, {"ignoreNullFields": "false"}).alias(c) for c in columns]
+
+
+_NULL = "NULL::VARCHAR"
+_EVENT_SQL = f"e.id, e.slug, e.title, e.subtitle, e.event_type, e.status, e.event_date, {_NULL} AS doors_time, e.start_time, {_NULL} AS image_url, e.price_presale, e.price_box_office, 'EUR' AS price_currency, e.price_note, e.sold_out, e.free"
+_VENUE_SQL = "to_json({'id': v.id, 'slug': v.slug, 'name': v.name, 'city': v.city, 'address': NULL, 'district': v.district, 'image_url': NULL})::VARCHAR AS venue"
+_TAGS_SQL = "coalesce((SELECT to_json(list(g.name ORDER BY g.slug, g.name)) FROM event_genre_tag x JOIN genre_tag g ON g.slug = x.genre_slug WHERE x.event_id = e.id)::VARCHAR, '[]') AS genre_tags"
+_ROLE_SQL = "CASE WHEN x.billing_order = 1 THEN 'HEADLINER' ELSE 'SUPPORT' END"
+_DAYS = f"e.event_date BETWEEN DATE '{AS_OF}' AND DATE '1998-06-20'"
+
+
+def _near(tables):
+    return search.search(tables, Facets(date_from=TODAY, date_to=date(1998, 6, 20)), TODAY)
+
+
+@query("event_summaries_nested", over_model(f"""SELECT {_EVENT_SQL}, {_VENUE_SQL}, coalesce((SELECT to_json(list(a.name ORDER BY x.billing_order, a.id)) FROM event_artist x JOIN artist a ON a.id = x.artist_id WHERE x.event_id = e.id)::VARCHAR, '[]') AS artist_names, {_TAGS_SQL}
+    FROM event e JOIN venue v ON v.id = e.venue_id WHERE {_DAYS}"""))
+def event_summaries_nested(spark, sf_dir):
+    """All nineteen fields of listed events, the venue nested."""
+    tables = Listings(spark, sf_dir)
+    found = assemble.event_summaries(tables, _near(tables))
+    return found.select(*list(assemble.EVENT), *_json("venue", "artist_names", "genre_tags"))
+
+
+@query("event_details_nested", over_model(f"""SELECT {_EVENT_SQL}, {', '.join(f'{_NULL} AS {c}' for c in ('description', 'source_url', 'ticket_url', 'facebook_event_url'))}, e.genre, {_VENUE_SQL},
+    coalesce((SELECT to_json(list({{'artist': {{'id': a.id, 'slug': a.slug, 'name': a.name, 'image_url': NULL}}, 'role': {_ROLE_SQL}, 'billing_order': x.billing_order, 'stage': NULL}} ORDER BY x.billing_order, a.id)) FROM event_artist x JOIN artist a ON a.id = x.artist_id WHERE x.event_id = e.id)::VARCHAR, '[]') AS lineup,
+    coalesce((SELECT to_json(list({{'id': p.id, 'slug': p.slug, 'name': p.name, 'website_url': NULL, 'image_url': NULL}} ORDER BY p.name, p.id)) FROM event_promoter x JOIN promoter p ON p.id = x.promoter_id WHERE x.event_id = e.id)::VARCHAR, '[]') AS promoters, {_TAGS_SQL}
+    FROM event e JOIN venue v ON v.id = e.venue_id WHERE {_DAYS}"""))
+def event_details_nested(spark, sf_dir):
+    """Events' pages: line-ups, promoters and venues as nested values."""
+    tables = Listings(spark, sf_dir)
+    found = assemble.event_details(tables, _near(tables))
+    return found.select(*assemble.EVENT, *assemble.DETAIL, *_json("venue", "lineup", "promoters", "genre_tags"))
+
+
+@query("admin_events_nested", over_model(f"""SELECT e.id, e.venue_id, e.source_id, e.genre, coalesce((SELECT to_json(list({{'artist_id': x.artist_id, 'role': {_ROLE_SQL}, 'billing_order': x.billing_order, 'stage': NULL}} ORDER BY x.billing_order, x.artist_id)) FROM event_artist x WHERE x.event_id = e.id)::VARCHAR, '[]') AS artists,
+    coalesce((SELECT to_json(list(x.promoter_id ORDER BY x.promoter_id)) FROM event_promoter x WHERE x.event_id = e.id)::VARCHAR, '[]') AS promoter_ids, {_TAGS_SQL} FROM event e WHERE {_DAYS}"""))
+def admin_events_nested(spark, sf_dir):
+    """Events as editors see them: ids and roles of artists, ids of promoters, names of genres."""
+    tables = Listings(spark, sf_dir)
+    found = assemble.admin_events(tables, _near(tables))
+    return found.select("id", "venue_id", "source_id", "genre", *_json("artists", "promoter_ids", "genre_tags"))
+
+
 @query("events_by_ids", over_model("SELECT e.id, e.title, k.pos FROM (VALUES (33, 0), (1, 1), (7, 2), (999999999, 3)) k(id, pos) JOIN event e ON e.id = k.id"))
 def events_by_ids(spark, sf_dir):
     keys = spark.createDataFrame([(33, 0), (1, 1), (7, 2), (999999999, 3)], "id long, pos int")
