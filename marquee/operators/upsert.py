@@ -44,12 +44,31 @@ def discriminated(rows: DataFrame, slug: str = "slug") -> DataFrame:
     return rows.withColumn(slug, F.when(shared & F.col("start_time").isNotNull(), F.concat(F.col(slug), suffix)).otherwise(F.col(slug)))
 
 
+def side_by_side(existing: DataFrame, scraped: DataFrame, key: Sequence[str]) -> DataFrame:
+    """(o, n): for each key (nulls are values) the existing row and the scraped one as structs, null where there is
+    none. One aggregation over both; a key stands at most once on either side."""
+    sides = [df.select(*[F.col(c).alias(f"k_{c}") for c in key], F.struct(*df.columns).alias(here), F.lit(None).cast(other.schema).alias(there)) for df, here, there, other in ((existing, "o", "n", scraped), (scraped, "n", "o", existing))]
+    return sides[0].unionByName(sides[1]).groupBy(*[f"k_{c}" for c in key]).agg(F.first("o", ignorenulls=True).alias("o"), F.first("n", ignorenulls=True).alias("n"))
+
+
+def _with_reach(both: DataFrame, scraped: DataFrame, source: str) -> DataFrame:
+    """side_by_side with the last day that its source's scrape lists."""
+    reach = scraped.groupBy(F.col(source).alias("x_source")).agg(F.max("event_date").alias("x_last"))
+    return both.join(reach, F.col(f"o.{source}") == F.col("x_source"), "left")
+
+
+def _gone(as_of: str) -> Column:
+    """An existing row that the scrape no longer lists, from tomorrow to its source's last day."""
+    day = F.col("o.event_date")
+    return F.col("n").isNull() & F.coalesce((day > F.lit(as_of).cast("date")) & (day <= F.col("x_last")), F.lit(False))
+
+
 def stale(existing: DataFrame, scraped: DataFrame, as_of: str, source: str = "event_source_id") -> DataFrame:
     """Existing rows that the scrape no longer lists, from tomorrow to its source's last date.
     Today and the past are never retracted, and a source without a scrape retracts nothing."""
-    reach = scraped.groupBy(source).agg(F.max("event_date").alias("x_last"))
-    near = existing.join(reach, source).filter((F.col("event_date") > F.lit(as_of).cast("date")) & (F.col("event_date") <= F.col("x_last"))).drop("x_last")
-    return near.join(scraped.select(source, "source_id").distinct(), [source, "source_id"], "left_anti").select(*existing.columns)
+    narrow = scraped.select(source, "source_id", "event_date").dropDuplicates([source, "source_id"])
+    both = side_by_side(existing, narrow, [source, "source_id"]).filter("o IS NOT NULL")
+    return _with_reach(both, scraped, source).filter(_gone(as_of)).select("o.*")
 
 
 def changes(scraped: DataFrame, existing: DataFrame, columns: Sequence[str], key: str = "source_id") -> DataFrame:
@@ -73,10 +92,12 @@ def upserted(existing: DataFrame, scraped: DataFrame, columns: Sequence[str], as
     """The table after an import: past listings dropped, the rest deduplicated, stale rows
     deleted, changed rows replaced and new ones added. Applying it twice changes nothing more."""
     fresh = deduplicated(upcoming(scraped, as_of)).select(*existing.columns)
-    gone = stale(existing, fresh, as_of).select("source_id")
-    written = changes(fresh, existing, columns).filter("op <> 'SKIP'").drop("op")
-    kept = existing.join(gone, "source_id", "left_anti").join(written.select("source_id"), "source_id", "left_anti")
-    return kept.unionByName(written)
+    both = _with_reach(side_by_side(existing, fresh, ["source_id"]), fresh, "event_source_id")
+    same = F.lit(True)
+    for c in columns:
+        same &= F.col(f"n.{c}").eqNullSafe(F.col(f"o.{c}"))
+    stays = F.col("n").isNull() | (F.col("o").isNotNull() & same)
+    return both.filter(~_gone(as_of)).select(F.when(stays, F.col("o")).otherwise(F.col("n")).alias("r")).select("r.*")
 
 
 def association_diff(desired: DataFrame, existing: DataFrame, key: Sequence[str], attributes: Sequence[str] = ()) -> DataFrame:

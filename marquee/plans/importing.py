@@ -60,7 +60,7 @@ def stale_rows(spark, sf_dir):
     return upsert.stale(t.event, fresh(t), AS_OF).select("id", "source_id")
 
 
-_COMPARED = ["title", "event_date", "start_time", "price_presale", "sold_out"]
+_COMPARED = ["title", "subtitle", "event_type", "status", "event_date", "start_time", "genre", "price_presale", "price_box_office", "price_note", "sold_out", "free"]
 _OPS = f""", ops AS (SELECT f.source_id, CASE WHEN e.id IS NULL THEN 'INSERT' WHEN {' AND '.join(f'f.{c} IS NOT DISTINCT FROM e.{c}' for c in _COMPARED)} THEN 'SKIP' ELSE 'UPDATE' END AS op
     FROM fresh f LEFT JOIN (SELECT * FROM event WHERE id % 15 <> 2) e ON e.source_id = f.source_id)"""
 
