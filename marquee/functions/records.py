@@ -127,6 +127,13 @@ def weekend(today: Column) -> tuple[Column, Column]:
     return F.when(day < 5, F.date_add(today, 5 - day)).otherwise(today), F.date_add(today, 7 - day)
 
 
+def days_of(instant: Column, zone: str = "Europe/Berlin") -> tuple[Column, Column]:
+    """Today and tomorrow on a zone's calendar at an instant in UTC (a timestamp without a zone); tomorrow is the
+    next day there, also where a clock changes."""
+    today = F.to_date(F.convert_timezone(F.lit("UTC"), F.lit(zone), instant))
+    return today, F.date_add(today, 1)
+
+
 def failure_reason(status: Column, error: Column) -> Column:
     """Why a page could not be read, from an HTTP status or the sort of error."""
     return (

@@ -63,6 +63,21 @@ def venue_documents(venues: DataFrame, site: str, language: str = "en") -> DataF
     return venues.select("id", F.when(F.col("name").isNotNull(), F.to_json(document)).alias("document"))
 
 
+def breadcrumb_documents(pages: DataFrame, site: str, language: str = "en") -> DataFrame:
+    """(id, document) of pages (id, trail: an array of name and path, from the site's top to the page itself). The page
+    itself has no link; an empty trail has an empty list, a null one no document."""
+    count = F.size("trail")
+    item = lambda x, i: F.struct(F.lit("ListItem").alias("@type"), (i + 1).alias("position"), x["name"].alias("name"), F.when(i + 1 < count, F.concat(F.lit(f"{site}/{language}"), x["path"])).alias("item"))
+    document = F.struct(F.lit(SCHEMA).alias("@context"), F.lit("BreadcrumbList").alias("@type"), F.transform("trail", item).alias("itemListElement"))
+    return pages.select("id", F.when(F.col("trail").isNotNull(), F.to_json(document)).alias("document"))
+
+
+def website_documents(languages: DataFrame, name: str, site: str) -> DataFrame:
+    """(language, document): the site itself in each language."""
+    document = F.struct(F.lit(SCHEMA).alias("@context"), F.lit("WebSite").alias("@type"), F.lit(name).alias("name"), F.concat(F.lit(f"{site}/"), "language").alias("url"), F.col("language").alias("inLanguage"))
+    return languages.select("language", F.to_json(document).alias("document"))
+
+
 def _escaped(text: Column) -> Column:
     for mark, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
         text = F.replace(text, F.lit(mark), F.lit(name))

@@ -140,3 +140,32 @@ def findings(stats: DataFrame, key: list[str], least_events: int = LEAST_EVENTS,
 def latest(stats: DataFrame, key: list[str], n: int, at: str = "observed_at") -> DataFrame:
     order = Window.partitionBy(*key).orderBy(F.col(at).desc())
     return stats.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= n)
+
+
+def tracked() -> dict[str, Column]:
+    """Whether a staged record carries each of the fields that an import watches, by their names: texts that are
+    not blank, other values that are there, lists with members. priceAny is any of the three prices."""
+
+    def text(c: str) -> Column:
+        return F.coalesce(~F.col(c).rlike(r"^\s*$"), F.lit(False))
+
+    def some(c: str) -> Column:
+        return F.coalesce(F.size(c) > 0, F.lit(False))
+
+    there = {c: F.col(c).isNotNull() for c in ("doors_time", "start_time", "price_presale", "price_box_office")}
+    return {
+        "subtitle": text("subtitle"),
+        "description": text("description"),
+        "eventType": text("event_type"),
+        "doorsTime": there["doors_time"],
+        "startTime": there["start_time"],
+        "imageUrl": text("image_url"),
+        "ticketUrl": text("ticket_url"),
+        "genre": text("genre"),
+        "pricePresale": there["price_presale"],
+        "priceBoxOffice": there["price_box_office"],
+        "priceNote": text("price_note"),
+        "priceAny": there["price_presale"] | there["price_box_office"] | text("price_note"),
+        "artists": some("artists"),
+        "promoters": some("promoters"),
+    }

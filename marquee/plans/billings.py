@@ -68,6 +68,25 @@ def jsonld_venue(spark, sf_dir):
     return documents.venue_documents(Listings(spark, sf_dir).venue, SITE)
 
 
+@query("jsonld_breadcrumbs", over_model(f"""SELECT e.id, '{{"@context":"https://schema.org","@type":"BreadcrumbList","itemListElement":[' || CASE WHEN e.id % 5 = 0 THEN '' ELSE '{{"@type":"ListItem","position":1,"name":"Events","item":"{SITE}/de/events"}},{{"@type":"ListItem","position":2,"name":"' || v.name || '","item":"{SITE}/de/venues/' || v.slug || '"}},{{"@type":"ListItem","position":3,"name":"' || e.title || '"}}' END || ']}}' AS document
+    FROM event e JOIN venue v ON v.id = e.venue_id"""))
+def jsonld_breadcrumbs(spark, sf_dir):
+    """The trail of each event's page; the last step has no link."""
+    t = Listings(spark, sf_dir)
+    venues = t.venue.select(F.col("id").alias("venue_id"), F.col("name").alias("venue"), F.col("slug").alias("venue_slug"))
+    step = lambda name, path: F.struct(name.alias("name"), path.alias("path"))
+    trail = F.array(step(F.lit("Events"), F.lit("/events")), step(F.col("venue"), F.concat(F.lit("/venues/"), "venue_slug")), step(F.col("title"), F.concat(F.lit("/events/"), "slug")))
+    pages = t.event.join(venues, "venue_id").select("id", F.when(F.col("id") % 5 != 0, trail).otherwise(F.slice(trail, 1, 0)).alias("trail"))
+    return documents.breadcrumb_documents(pages, SITE, "de")
+
+
+@query("jsonld_website", f"""SELECT l AS language, '{{"@context":"https://schema.org","@type":"WebSite","name":"Marquee","url":"{SITE}/' || l || '","inLanguage":"' || l || '"}}' AS document FROM (SELECT DISTINCT CASE WHEN n_nationkey % 2 = 0 THEN 'de' ELSE 'en' END AS l FROM nation)""")
+def jsonld_website(spark, sf_dir):
+    """The site itself, in the languages of its sources."""
+    languages = Listings(spark, sf_dir).event_source.select(F.when(F.col("id") % 2 == 0, "de").otherwise("en").alias("language")).distinct()
+    return documents.website_documents(languages, "Marquee", SITE)
+
+
 @query("sitemap", over_model(f"""SELECT '{SITE}/' || l || path AS loc, '<url><loc>{SITE}/' || l || path || '</loc><xhtml:link href="{SITE}/en' || path || '" hreflang="en" rel="alternate"/><xhtml:link href="{SITE}/de' || path || '" hreflang="de" rel="alternate"/></url>' AS entry
     FROM (SELECT '/venues/' || slug AS path FROM venue), (SELECT unnest(['en', 'de']) AS l)"""))
 def sitemap(spark, sf_dir):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from marquee.functions import billing
-from marquee.operators import quality
+from marquee.operators import assemble, quality
 from marquee.plans.registry import query
 from marquee.sources.tables import AS_OF, Listings, over_model
 
@@ -89,6 +89,25 @@ def field_coverage_long(spark, sf_dir):
     return quality.coverage(events, {c: F.col(c).isNotNull() for c in _FIELDS}, "source")
 
 
+_TRACKED = {
+    "subtitle": "subtitle IS NOT NULL", "description": "id % 3 = 0", "eventType": "id % 10 <> 1", "doorsTime": "id % 8 <> 0", "startTime": "start_time IS NOT NULL", "imageUrl": "false", "ticketUrl": "id % 2 = 0", "genre": "genre IS NOT NULL AND genre <> ''",
+    "pricePresale": "price_presale IS NOT NULL", "priceBoxOffice": "price_box_office IS NOT NULL", "priceNote": "price_note IS NOT NULL", "priceAny": "price_presale IS NOT NULL OR price_box_office IS NOT NULL OR price_note IS NOT NULL",
+    "artists": "id IN (SELECT event_id FROM event_artist)", "promoters": "id IN (SELECT event_id FROM event_promoter)",
+}
+
+
+@query("field_coverage_tracked", over_model(f", c AS (SELECT event_source_id AS source, count(*) AS total, {', '.join(f'count(*) FILTER ({w}) AS {n}' for n, w in _TRACKED.items())} FROM event GROUP BY 1) UNPIVOT c ON {', '.join(_TRACKED)} INTO NAME field VALUE with_value"))
+def field_coverage_tracked(spark, sf_dir):
+    """Coverage of all fields that an import watches, lists of artists and promoters among them."""
+    t, id_ = Listings(spark, sf_dir), F.col("id")
+    names = assemble.links(t, t.event, None, ("artists", "promoters"))
+    blank = F.when(id_ % 2 == 0, " \n")
+    staged = t.event.join(names, "id", "left").withColumns(
+        {"description": F.when(id_ % 3 == 0, "Text").otherwise(blank), "event_type": F.when(id_ % 10 != 1, F.col("event_type")).otherwise(""), "doors_time": F.when(id_ % 8 != 0, "18:00"), "image_url": blank, "ticket_url": F.when(id_ % 2 == 0, "https://t.example")}
+    )
+    return quality.coverage(staged.withColumn("source", F.col("event_source_id")), quality.tracked(), "source")
+
+
 _BASE = """, r AS (SELECT *, events_with_value / events_total AS ratio FROM run_stats), b AS (SELECT source, observed_at, events_total, ratio,
     CASE WHEN count(*) OVER w >= 3 THEN quantile_cont(ratio, 0.5) OVER w END AS baseline, lag(ratio) OVER (PARTITION BY source ORDER BY observed_at) AS previous FROM r
     WINDOW w AS (PARTITION BY source ORDER BY observed_at ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING))"""

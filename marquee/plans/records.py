@@ -94,6 +94,14 @@ def local_times(spark, sf_dir):
     return events.select("event_id", local.cast("date").alias("day"), F.date_format(local, "HH:mm").alias("time"))
 
 
+@query("berlin_days", """SELECT event_id, d AS today, d + INTERVAL 1 DAY AS tomorrow FROM (SELECT event_id, timezone('Europe/Berlin', timezone('UTC', ts::TIMESTAMP + to_days((event_id % 400)::INT)))::DATE AS d FROM events)""".replace("d + INTERVAL 1 DAY", "(d + INTERVAL 1 DAY)::DATE"))
+def berlin_days(spark, sf_dir):
+    """Today and tomorrow in Berlin at instants over a whole year, changes of the clock included."""
+    at = F.timestamp_add("DAY", (F.col("event_id") % 400).cast("int"), F.col("ts"))
+    today, tomorrow = records.days_of(at)
+    return Listings(spark, sf_dir).raw("events").select("event_id", today.alias("today"), tomorrow.alias("tomorrow"))
+
+
 @query("presale_and_box_office", over_model(r""", p AS (SELECT o_orderkey AS id, [struct_pack(label := CASE o_orderkey % 3 WHEN 0 THEN 'Abendkasse' WHEN 1 THEN 'VVK' ELSE 'AK inkl.' END, text := (o_orderkey % 40)::VARCHAR || ',50 €'),
     struct_pack(label := CASE o_orderkey % 2 WHEN 0 THEN 'VVK' ELSE NULL END, text := CASE o_orderkey % 5 WHEN 0 THEN 'tba' ELSE (o_orderkey % 30)::VARCHAR || '€' END), struct_pack(label := 'AK', text := '99.90 €')] AS ps FROM orders),
     q AS (SELECT id, i, regexp_matches(lower(coalesce(x.label, '')), 'abendkasse|\bak\b') AS box, replace(nullif(regexp_extract(x.text, '(\d+(?:[.,]\d{1,2})?)\s*€', 1), ''), ',', '.')::DECIMAL(10,2) AS amount FROM (SELECT id, unnest(ps) AS x, generate_subscripts(ps, 1) AS i FROM p))
