@@ -1,12 +1,14 @@
-"""Queries of import sources' states, by a stream and by a table of the same runs."""
+"""Queries of import sources: their states, by a stream and by a table of the same runs, and their gauges."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from marquee.operators.versions import Table
+from marquee.plans.crawls import _folder
 from marquee.plans.registry import query
 from marquee.sources.tables import Listings
-from marquee.streaming import runs, windows
+from marquee.streaming import gauges, runs, windows
 
 _STUCK = runs.STUCK
 _SQL = f"""WITH RECURSIVE r AS (SELECT 'source-' || (user_id % 10) AS source, epoch_us(ts::TIMESTAMP) AS at_us, CASE WHEN event_type IN ('view', 'purchase') THEN 'claim' WHEN event_type = 'click' THEN 'success' WHEN event_type = 'error' THEN 'failed'
@@ -45,3 +47,20 @@ def source_runs_replayed(spark, sf_dir):
     rows = runs.runs_of(Listings(spark, sf_dir).raw("events"))
     last = rows.agg(F.max("at_us")).first()[0]
     return runs.replayed(rows, None if last is None else last - 3_600_000_000)
+
+
+def _sources(spark, sf_dir):
+    t = Listings(spark, sf_dir)
+    regions = t.raw("region").select(F.col("r_regionkey").alias("n_regionkey"), F.col("r_name").alias("region"))
+    return t.raw("nation").filter("n_nationkey < 20").join(regions, "n_regionkey").select(F.col("n_nationkey").alias("source_id"), F.col("n_name").alias("source"), "region")
+
+
+@query("source_gauges", """SELECT coalesce(r_name, 'unknown') AS region, coalesce(n_name, 'unknown') AS source, count(*) AS events, count(*) FILTER (value > 50) AS valuable, max(epoch_us(ts::TIMESTAMP)) AS last
+    FROM events LEFT JOIN nation ON n_nationkey = user_id % 25 AND n_nationkey < 20 LEFT JOIN region ON r_regionkey = n_regionkey GROUP BY 1, 2""")
+def source_gauges(spark, sf_dir):
+    """Gauges that a stream keeps in a versioned table."""
+    path = _folder(spark)
+    table = Table(spark, f"{path}/gauges", gauges.SCHEMA, "region", ["source"])
+    events = windows.events_stream(spark, sf_dir).select((F.col("user_id") % 25).cast("int").alias("source_id"), "value", "ts")
+    gauges.keep(events, _sources(spark, sf_dir), table, "gauges", f"{path}/state").awaitTermination()
+    return table.read()

@@ -1,11 +1,13 @@
 """Import sources' states: the stream against a replay of the same runs, over batches and restarts."""
 
+import datetime
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from marquee.streaming import runs
+from marquee.operators.versions import Table
+from marquee.streaming import gauges, runs
 
 MINUTE = 60_000_000
 
@@ -88,3 +90,23 @@ def test_stream_over_restarts(spark, tmp_path):
     # the watermark counts milliseconds
     until = (rows[-1][1] // 1_000 - 600_000) * 1_000
     assert told(spark.read.parquet(out)) == plain(rows, until)
+
+
+def test_gauges_after_each_batch(spark, tmp_path):
+    """Several micro-batches over restarts, and a batch that is merged again."""
+    rng = random.Random(5)
+    path = f"file://{tmp_path}"
+    table = Table(spark, f"{path}/table", gauges.SCHEMA, "region", ["source"])
+    sources = spark.createDataFrame([(i, f"s{i}", ("north", "south")[i % 2]) for i in range(6)], "source_id int, source string, region string")
+    schema, rows = "source_id int, value double, ts timestamp", []
+    for n in range(3):
+        new = [(rng.choice([None, *range(8)]), rng.choice([None, rng.random() * 100]), datetime.datetime(2026, 1, 1 + n, rng.randrange(24))) for _ in range(40 if n else 3)]
+        rows += new
+        spark.createDataFrame(new, schema).coalesce(1).write.mode("append").parquet(f"{path}/in")
+        stream = spark.readStream.schema(schema).parquet(f"{path}/in")
+        gauges.keep(stream, sources, table, "g", f"{path}/state").awaitTermination()
+        want = gauges.gauges(spark.createDataFrame(rows, schema), sources)
+        assert told(table.read()) == told(want.select(*table.columns))
+    before = table.version()
+    gauges.merger(table, "g")(table.read().withColumn("events", F.lit(0).cast("long")), 0)
+    assert table.version() == before and told(table.read()) == told(want.select(*table.columns))
