@@ -34,6 +34,19 @@ def headliners(spark, sf_dir):
     return rows.select("id", F.explode(billing.lineup_udf("title", "subtitle", F.lit("CONCERT"))["name"]).alias("name"))
 
 
+@query("headliners_of_parts", """WITH b AS (SELECT o_orderkey AS id, a.p_name AS a, b.p_name AS b, c.p_name AS c FROM orders JOIN part a ON a.p_partkey = o_orderkey % 50 + 1 JOIN part b ON b.p_partkey = o_orderkey % 60 + 51 JOIN part c ON c.p_partkey = o_orderkey % 70 + 111)
+    SELECT id, unnest(CASE id % 4 WHEN 0 THEN [a, b] WHEN 1 THEN [a, c] WHEN 2 THEN [a, b, c] ELSE [a] END) AS name FROM b""")
+def headliners_of_parts(spark, sf_dir):
+    """Line-ups from titles and subtitles that are put together of names: joint bills, support lines, tour notes."""
+    t, k = Listings(spark, sf_dir), F.col("o_orderkey")
+    part = lambda n: t.raw("part").select(F.col("p_partkey").alias(f"k{n}"), F.col("p_name").alias(n))
+    rows = t.raw("orders").join(part("a"), k % 50 + 1 == F.col("ka")).join(part("b"), k % 60 + 51 == F.col("kb")).join(part("c"), k % 70 + 111 == F.col("kc"))
+    title = F.when(k % 4 == 0, F.concat("a", F.lit(" + "), "b")).when(k % 4 == 2, F.concat("a", F.lit(" + "), "b")).when(k % 4 == 1, F.col("a")).otherwise(F.concat("a", F.lit(" - THE LONG TOUR")))
+    subtitle = F.when(k % 4 == 1, F.concat(F.lit("Support: "), "c")).when(k % 4 == 2, F.concat(F.lit("Tour | Support: "), "c"))
+    made = rows.select(k.alias("id"), title.alias("title"), subtitle.alias("subtitle"))
+    return made.select("id", F.explode(billing.lineup_udf("title", "subtitle", F.lit("CONCERT"))["name"]).alias("name"))
+
+
 @query("split_acts", "SELECT id, unnest([name, 'DJ ' || name, name || ' & the Band']) AS act FROM (SELECT p_partkey AS id, p_name AS name FROM part)")
 def split_acts(spark, sf_dir):
     name = F.col("p_name")
