@@ -2,8 +2,8 @@
 
 A row's slot is the 64-bit hash of its text. The directory maps the leading bits of a slot to a
 bucket: it starts with one bucket and doubles whenever a bucket that holds too many slots is as
-deep as the directory itself; a shallower bucket merely splits. Buckets are numbered in key order and
-dealt to owner tasks by ranges, so an owner has a range of keys. It walks its sorted keys and keeps
+deep as the directory itself; a shallower bucket merely splits. Each bucket is a range of keys, and
+owner tasks are dealt buckets by their numbers, one each. The owner walks its sorted keys and keeps
 a chain of different texts for each key, comparing bytes, so that texts whose hashes collide stay
 apart. Its entries are written to shared files, one folder per bucket.
 
@@ -112,7 +112,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     merged = members.groupBy(F.col(key).alias("key"), F.col(sha).alias("sha"), F.col(text).alias("text"), (F.spark_partition_id() % SALTS).alias("salt")).agg(F.max(id_col).cast("long").alias("top"), F.count(F.lit(1)).alias("n"))
     slot_head = F.shiftrightunsigned("key", 64 - depth) if depth else F.lit(0).cast("long")
     owned = attach(merged.withColumn("slot_head", slot_head), directory, ["slot_head"], "inner", len(entries)).select("bucket", "key", "sha", "text", "top", "n")
-    index = owned.repartitionByRange(len(numbers), "bucket").sortWithinPartitions("bucket", "key").mapInPandas(chains, "bucket int, key long, place int, sha string, top long, n long")
+    index = owned.repartitionById(len(numbers), F.col("bucket")).sortWithinPartitions("bucket", "key").mapInPandas(chains, "bucket int, key long, place int, sha string, top long, n long")
     path = shared_dir(spark, "buckets")
     index.write.partitionBy("bucket").parquet(path)
     found = spark.read.schema("key long, place int, sha string, top long, n long, bucket int").parquet(path)
