@@ -113,6 +113,13 @@ def association_diff(desired: DataFrame, existing: DataFrame, key: Sequence[str]
     return both.withColumn("op", op).filter("op IS NOT NULL").select(*key, "op", *[F.coalesce(f"d.{a}", f"e.{a}").alias(a) for a in attributes])
 
 
+def replaced(links: DataFrame, new: DataFrame, saved: DataFrame, key: Sequence[str]) -> DataFrame:
+    """links where those of the saved owners (key) have given way to the new ones; new links of owners that are not
+    saved are left out, and a saved owner may keep none."""
+    owners = saved.select(*key).distinct()
+    return links.join(owners, list(key), "left_anti").unionByName(new.join(owners, list(key), "left_semi"))
+
+
 def missing(requested: DataFrame, existing: DataFrame, key: str) -> DataFrame:
     """Requested keys that do not exist."""
     return requested.select(key).distinct().join(existing.select(key), key, "left_anti")
