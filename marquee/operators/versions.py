@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from marquee.operators.upsert import side_by_side
+
 #: Batches that a manifest remembers.
 REMEMBERED = 1_000
 
@@ -103,13 +105,6 @@ class Table:
                 parts.pop(p, None)
         self._publish({"parts": parts, "batches": [*manifest["batches"], batch][-REMEMBERED:]}, version)
 
-    def _side_by_side(self, old: DataFrame, names: list[str], n: DataFrame) -> DataFrame:
-        """A row for each key, nulls being values: as it is (o) and as it is given (n), null where it is not."""
-        sides = []
-        for df, here, there, other in ((old, "o", "n", n), (n, "n", "o", old)):
-            sides.append(df.select(*[F.col(c).alias(f"k_{c}") for c in names], F.struct(*df.columns).alias(here), F.lit(None).cast(other.schema).alias(there)))
-        return sides[0].unionByName(sides[1]).groupBy(*[f"k_{c}" for c in names]).agg(*[F.first(x, ignorenulls=True).alias(x) for x in ("o", "n")])
-
     def save(self, rows: DataFrame, batch: str) -> dict[str, int]:
         """Inserts or replaces rows by key, as one version; returns how many were inserted, updated and skipped
         (equal in all columns; nulls are values). A batch that is written already is passed over: no
@@ -124,7 +119,7 @@ class Table:
         touched = sorted(r[0] for r in new.select(self.partition).distinct().collect())  # few by contract
         old = self.read(version, touched)
         names = [self.partition, *[k for k in self.key if k != self.partition]]
-        both = self._side_by_side(old, names, n=new)
+        both = side_by_side(old, new, names)
         fresh, known = F.col("n").isNotNull(), F.col("o").isNotNull()
         same = reduce(lambda a, c: a & F.col(f"n.`{c}`").eqNullSafe(F.col(f"o.`{c}`")), self.columns, F.lit(True))
         told, seen = counted(both, inserted=fresh & ~known, updated=fresh & known & ~same, skipped=fresh & known & same)
@@ -142,7 +137,7 @@ class Table:
         part = F.coalesce(F.col(self.partition), F.lit(""))
         gone = keys.select(*[part.alias(c) if c == self.partition else F.col(c) for c in names])
         touched = sorted(r[0] for r in gone.select(self.partition).distinct().collect())
-        marked = self._side_by_side(self.read(version, touched), names, n=gone).filter("o IS NOT NULL")
+        marked = side_by_side(self.read(version, touched), gone, names).filter("o IS NOT NULL")
         kept, seen = split(marked, F.col("n").isNull())
         self._write(kept.select("o.*"), touched, manifest, batch, version + 1)
         return {"deleted": seen.get["dropped"], "kept": seen.get["kept"]}

@@ -2,26 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from marquee.plans.registry import query
 from marquee.sources import elements, responses
+from marquee.sources.shared import shared_folder
 from marquee.sources.tables import Listings
 
 
-def _folder(spark) -> str:
-    """A new folder that driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        base = f"file://{tempfile.gettempdir()}/crawls"
-    return f"{base.rstrip('/')}/crawl-{uuid.uuid4().hex}"
-
-
 def _crawl(orders, number):
     """A crawl of a page per order. In the second, some are not modified, some fail and some have new tags."""
     k = F.col("o_orderkey")
@@ -39,7 +27,7 @@ def _crawl(orders, number):
 
 
 def _archived(spark, sf_dir):
-    path, orders = _folder(spark), Listings(spark, sf_dir).raw("orders")
+    path, orders = shared_folder(spark, "crawls"), Listings(spark, sf_dir).raw("orders")
     for number in (1, 2):
         responses.archive(_crawl(orders, number), path, number)
     return responses.read(spark, path)

@@ -134,3 +134,27 @@ def variant_fields(spark, sf_dir):
     rows = Listings(spark, sf_dir).raw("events").select("event_id", F.try_parse_json(record).alias("r"))
     r = F.col("r")
     return rows.select("event_id", payloads.presence(r, "$.n").alias("presence"), payloads.text_at(r, "$.n").alias("name"), F.array_join(payloads.texts_at(r, "$.n"), "|").alias("names"), r.isNull().alias("lost"))
+
+
+_STARTS = "timezone(CASE event_id % 3 WHEN 0 THEN 'Europe/London' WHEN 1 THEN 'America/New_York' ELSE 'Europe/Berlin' END, timezone('UTC', date_trunc('second', ts::TIMESTAMP)))"
+
+
+@query("warmup_events", f"""SELECT 'w' || event_id AS id, CASE event_id % 4 WHEN 3 THEN 'CANCELLED' ELSE 'SCHEDULED' END AS status, event_type AS title, CASE WHEN event_id % 5 <> 4 THEN local::DATE END AS day, CASE WHEN event_id % 5 <> 4 THEN strftime(local, '%H:%M:%S') END AS time,
+    event_id % 3 = 1 AS sold_out, CASE event_id % 3 WHEN 0 THEN 'value' WHEN 1 THEN 'null' ELSE 'missing' END AS slug FROM (SELECT *, {_STARTS} AS local FROM events WHERE event_id % 7 < 5)""")
+def warmup_events(spark, sf_dir):
+    """Events of the JSON that a page builder embeds: of its events application's widgets the first, in the page's order,
+    that has a list; schedules on the clock of their zones. Pages without the application, or with broken JSON, have
+    none."""
+    k, at = F.col("event_id"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
+    zone = F.when(k % 3 == 0, '"Europe/London"').when(k % 3 == 1, '"America/New_York"').otherwise("null")
+    slug = F.when(k % 3 == 0, '"slug": "s", ').when(k % 3 == 1, '"slug": null, ').otherwise("")
+    start = F.when(k % 5 == 4, '"scheduleTbd": true').otherwise(_text('"startDate": "', at, '.000Z"'))
+    item = _text('{"id": "w', k, '", "title": " ', F.col("event_type"), ' ", ', slug, '"status": ', k % 4, ', "scheduling": {"config": {', start, ', "timeZoneId": ', zone, '}}, "registration": {"type": ', F.when(k % 3 == 1, "2").otherwise("3"), ', "ticketing": {"soldOut": true}}}')
+    app = F.when(k % 7 == 5, "another").otherwise(payloads.EVENTS_APP)
+    state = _text('{"platform": {"events": [1]}, "appsWarmupData": {"', app, '": {"z": {"other": 1}, "widget": {"events": {"events": [', item, ']}}, "a": {"events": {"events": [{"id": "no"}]}}}}', F.when(k % 7 == 6, "").otherwise("}"))
+    made = Listings(spark, sf_dir).raw("events").select(k.alias("page_id"), _text('<html><script>var a;</script><script type="application/json" id="wix-warmup-data">', state, "</script></html>").alias("html"))
+    states = elements.picked(made, payloads.WARMUP_SCRIPT, {"state": ("", "data")})
+    e = F.col("e")
+    rows = states.select(F.explode(payloads.embedded_events(F.col("state"))).alias("e"))
+    day, time = payloads.schedule(e)
+    return rows.select(payloads.text_at(e, "$.id").alias("id"), payloads.embedded_status(e).alias("status"), payloads.text_at(e, "$.title").alias("title"), day.alias("day"), time.alias("time"), payloads.embedded_sold_out(e).alias("sold_out"), payloads.presence(e, "$.slug").alias("slug"))

@@ -78,17 +78,22 @@ def url_slug(spark, sf_dir):
     return Listings(spark, sf_dir).raw("pages").select("page_id", classify.url_slug(F.col("url")).alias("slug"))
 
 
-@query("html_extract")
+_TAG = "(?s)<script.*?</script>|<style.*?</style>|<title>.*?</title>|<!--.*?-->|<![^>]*>"
+_TEXT = "nullif(replace(replace(replace(replace(trim(regexp_replace(regexp_replace(regexp_extract({0}, '(?s)<{1}>(.*?)</{1}>', 1), '<[^>]*>', '', 'g'), '\\s+', ' ', 'g')), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&'), '')"
+
+
+@query("html_extract", f"""SELECT page_id, {_TEXT.format('html', 'title')} AS title, {_TEXT.format('html', 'h1')} AS heading, len(list_filter(regexp_extract_all(html, '<a\\s[^>]*?href="([^"]*)"', 1), lambda x: trim(x) <> ''))::INT AS n_links,
+    len(list_filter(string_split(regexp_replace(regexp_replace(regexp_replace(html, '{_TAG}', '', 'g'), '</?(br|p|div|li|tr|h[1-6]|section|article)(\\s[^>]*)?/?>', chr(10), 'g'), '<[^>]*>', '', 'g'), chr(10)), lambda x: regexp_matches(x, '[^\\s]')))::INT AS n_lines FROM pages""")
 def html_extract(spark, sf_dir):
     return pages.extracted(Listings(spark, sf_dir).raw("pages"))
 
 
-@query("canonical_artist")
+@query("canonical_artist", "SELECT p_partkey AS id, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') AS name FROM part")
 def canonical_artist(spark, sf_dir):
     return Listings(spark, sf_dir).artist.select("id", names.artist_udf(F.upper("name")).alias("name"))
 
 
-@query("canonical_promoter")
+@query("canonical_promoter", "SELECT s_suppkey AS id, s_name AS name FROM supplier")
 def canonical_promoter(spark, sf_dir):
     return Listings(spark, sf_dir).promoter.select("id", names.promoter_udf(F.concat("name", F.lit(" Concerts GmbH (DE)"))).alias("name"))
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from marquee.operators.versions import Table
-from marquee.plans.crawls import _folder
 from marquee.plans.registry import query
+from marquee.sources.shared import shared_folder
 from marquee.sources.tables import Listings
 from marquee.streaming import gauges, runs, windows
 
@@ -59,7 +59,7 @@ def _sources(spark, sf_dir):
     FROM events LEFT JOIN nation ON n_nationkey = user_id % 25 AND n_nationkey < 20 LEFT JOIN region ON r_regionkey = n_regionkey GROUP BY 1, 2""")
 def source_gauges(spark, sf_dir):
     """Gauges that a stream keeps in a versioned table."""
-    path = _folder(spark)
+    path = shared_folder(spark, "gauges")
     table = Table(spark, f"{path}/gauges", gauges.SCHEMA, "region", ["source"])
     events = windows.events_stream(spark, sf_dir).select((F.col("user_id") % 25).cast("int").alias("source_id"), "value", "ts")
     gauges.keep(events, _sources(spark, sf_dir), table, "gauges", f"{path}/state").awaitTermination()

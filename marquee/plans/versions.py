@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from marquee.operators import versions
-from marquee.plans.crawls import _folder
 from marquee.plans.registry import query
+from marquee.sources.shared import shared_folder
 from marquee.sources.tables import Listings, over_model
 
 _KEPT = ["id", "event_type", "source_id", "title", "event_date", "price_presale"]
@@ -17,7 +17,7 @@ def _imported(spark, sf_dir):
     and the counters of each step."""
     events = Listings(spark, sf_dir).event.select(*_KEPT)
     id_ = F.col("id")
-    table = versions.Table(spark, _folder(spark), events.schema, "event_type", ["source_id"])
+    table = versions.Table(spark, shared_folder(spark, "tables"), events.schema, "event_type", ["source_id"])
     counts = {"first": table.save(events.filter(id_ % 4 != 0), "first")}
     later = events.filter((id_ % 2 == 0) & (F.col("event_type") != "PARTY")).withColumn("title", F.when(id_ % 6 == 2, F.upper("title")).otherwise(F.col("title")))
     counts["second"] = table.save(later, "second")
@@ -49,7 +49,7 @@ def write_counters(spark, sf_dir):
 def split_counters(spark, sf_dir):
     """One side of a split as it is written, and how large both sides were."""
     kept, seen = versions.split(Listings(spark, sf_dir).event, F.col("price_presale") > 1000)
-    path = _folder(spark)
+    path = shared_folder(spark, "tables")
     kept.select("id", "title").write.parquet(path)
     return spark.read.schema("id long, title string").parquet(path).withColumns({n: F.lit(seen.get[n]) for n in ("kept", "dropped")})
 
@@ -59,6 +59,6 @@ def snapshot_tsv(spark, sf_dir):
     """Events per source, those without any too, as lines of a TSV file."""
     t = Listings(spark, sf_dir)
     per = t.event_source.select(F.col("id").alias("event_source_id"), "slug").join(t.event.select("event_source_id", "id", "subtitle"), "event_source_id", "left").groupBy("slug").agg(F.count("id").alias("n"), F.min("subtitle").alias("first"))
-    path = _folder(spark)
+    path = shared_folder(spark, "tables")
     versions.export_tsv(per.orderBy("slug"), path)
     return spark.read.text(path).select(F.col("value").alias("line"))

@@ -17,7 +17,6 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from marquee.functions.payloads import WARMUP_SCRIPT as WARMUP_SCRIPT
 from marquee.sources.literals import member_list
 from marquee.sources.selectors import compiled
 
@@ -190,7 +189,8 @@ def decoded(body: bytes | None, header: str | None = None) -> str | None:
 
 def value(of: Element, selector: str, what: str) -> str | None:
     """Of the first element that the selector names (an empty one: of itself) its "text", an
-    attribute ("@name"), an absolute address ("href", "src"), or its lines, joined by newlines.
+    attribute ("@name"), an absolute address ("href", "src"), its lines, joined by newlines, or its own
+    characters as they stand, as a script's ("data").
     Nothing, blanks and relative addresses are null. "shown:words" is whether any of the elements
     is not hidden and holds the words: "true" or "false"."""
     if what.startswith("shown:"):
@@ -202,6 +202,8 @@ def value(of: Element, selector: str, what: str) -> str | None:
     if what in ("href", "src"):
         found = e.attrs.get(what, "")
         return found if found.startswith("http") else None
+    if what == "data":
+        return "".join(c for c in e.children if isinstance(c, str))
     found = e.text() if what == "text" else "\n".join(e.lines()) if what == "lines" else e.attrs.get(what[1:], "")
     return found if found.strip() else None
 

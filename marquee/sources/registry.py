@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marquee.functions.payloads import embedded_events, text_at
+from marquee.functions.payloads import WARMUP_SCRIPT, embedded_events, text_at
 from marquee.sources import elements, pages
 
 #: Columns of a staged event.
@@ -78,7 +78,7 @@ def _of_script(page: str, source: Source) -> list:
 
 def _of_warmup(page: str, source: Source) -> list:
     """The embedded state as it stands: its events are found by Columns."""
-    e = elements.parse(page).first(elements.WARMUP_SCRIPT)
+    e = elements.parse(page).first(WARMUP_SCRIPT)
     if e is None:
         raise ValueError("no embedded state")
     return ["".join(c for c in e.children if isinstance(c, str))]
@@ -129,7 +129,6 @@ class Registry:
                         out.append((name, address, 0, None, str(e)))
                 yield pd.DataFrame(out, columns=["source", "url", "pos", "record", "error"])
 
-        # a value of the wrong kind must not fail the job: JSON's non-finite numbers are no VARIANT
         found = of.select(F.col(source).alias("s"), F.col(url).alias("u"), F.col(page).alias("p")).mapInPandas(run, "source string, url string, pos int, record string, error string")
         warm = [s.name for s in self.sources.values() if s.kind == "warmup"]
         if not warm:

@@ -7,13 +7,13 @@ of its own that a replay overwrites.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marquee.sources.shared import shared_folder
+
 LATE = "1 hour"
 
 
@@ -34,12 +34,7 @@ def writer(path: str, mode: str) -> Callable[[DataFrame, int], None]:
 def drained(stream: DataFrame, mode: str) -> DataFrame:
     """What the stream yields of all data available now; in complete mode the last state."""
     spark = stream.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        base = f"file://{tempfile.gettempdir()}/streams"
-    path = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    path = shared_folder(spark, "stream")
     schema = stream.schema
 
     stream.writeStream.foreachBatch(writer(path, mode)).outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
