@@ -28,6 +28,13 @@ def agg02_quality_report(spark, sf_dir):
     return quality.report(Listings(spark, sf_dir))
 
 
+@query("quality_report_sorted", over_model(f"{_REPORT} SELECT source, row_number() OVER (ORDER BY source) AS place FROM report"))
+def quality_report_sorted(spark, sf_dir):
+    """The report in the order of its labels, a row per source, with each row's place in it."""
+    rows = quality.report(Listings(spark, sf_dir)).select("source").orderBy("source").collect()  # as many rows as sources
+    return spark.createDataFrame([(r["source"], i) for i, r in enumerate(rows, 1)], "source string, place long")
+
+
 _SUMS = ", ".join(f"sum({k})::BIGINT AS {k}" for k in _ISSUES)
 
 
