@@ -40,7 +40,7 @@ CROWDED, LAST = 48, 1 << 19
 #: Rounds of comparing crowded columns with a centre; rows of a column that a task compares at once.
 ROUNDS, BLOCK = 2, 250
 #: N-grams that a task counts before it hands counts on, and for each task that adds counts up.
-BUFFER, SHARD_GRAMS = 2_000_000, 4_000_000
+BUFFER, SHARD_GRAMS = 2_000_000, 1_000_000
 
 
 def bound(n, num: int, den: int):
