@@ -106,8 +106,9 @@ class Grams:
         self.size, self.contexts, self.width = int(self.begins[-1]), max(contexts, 1), max(width, 1)
 
     def low(self, shard: int) -> int:
-        """The first context of a shard."""
-        return -(-shard * self.contexts // len(self.files))
+        """The first context of a shard. A group's key is a NumPy int of 32 bits, in which the product
+        would overflow."""
+        return -(-int(shard) * self.contexts // len(self.files))
 
     def shard(self, context: np.ndarray) -> np.ndarray:
         return context * len(self.files) // self.contexts

@@ -354,6 +354,13 @@ def test_every_repeated_ngram_is_listed(spark, monkeypatch):
             assert abs(r.score - score(t)) < 0.02 * len(t)
 
 
+def test_shards_of_many_contexts():
+    """A group's key is a NumPy int of 32 bits; shards times contexts are more."""
+    grams = lm.Grams([(None, 0)] * 250, 60_000_000, 1_000_000)
+    assert [grams.low(np.int32(i)) for i in range(251)] == [240_000 * i for i in range(251)]
+    assert lm.Grams([(None, 0)] * 250, 5_000_000_000, 1_000_000).low(np.int32(249)) == 4_980_000_000
+
+
 @pytest.mark.parametrize("count", [3, 400])
 def test_level_finds_few_and_many(count):
     rng = np.random.default_rng(7)
