@@ -3,6 +3,7 @@
 import datetime
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -92,6 +93,20 @@ def test_stream_over_restarts(spark, tmp_path):
     assert told(spark.read.parquet(out)) == plain(rows, until)
 
 
+def test_rows_of_a_source_are_sorted_in_parts(monkeypatch):
+    """The same order from files as from memory, and never more than a part of the rows at a time."""
+    rng = random.Random(9)
+    rows = [(rng.randrange(50), rng.choice([1, 2]), rng.choice(runs.KINDS), rng.choice([None, i]), rng.choice([None, f"e{i}"])) for i in range(997)]
+    frames = [pd.DataFrame(rows[i : i + 10], columns=["at_us", "seq", "kind", "n_events", "error"]) for i in range(0, 997, 10)]
+    want = [(at, kind, n, error) for at, _, kind, n, error in sorted(rows, key=lambda r: r[:2])]
+    assert list(runs.in_order(iter(frames))) == want and list(runs.in_order([])) == []
+    most, concat = [], pd.concat
+    monkeypatch.setattr(runs, "SORTED", 100)
+    monkeypatch.setattr(runs, "CHUNK", 7)
+    monkeypatch.setattr(runs.pd, "concat", lambda x: most.append(sum(map(len, x := list(x)))) or concat(x))
+    assert list(runs.in_order(iter(frames))) == want and max(most) == 100
+
+
 def test_gauges_after_each_batch(spark, tmp_path):
     """Several micro-batches over restarts, and a batch that is merged again."""
     rng = random.Random(5)
