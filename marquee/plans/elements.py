@@ -15,15 +15,22 @@ from marquee.sources.tables import Listings
 def _cards(spark, sf_dir):
     """A page per order, a card per line of it in the order of their numbers."""
     lines = Listings(spark, sf_dir).raw("lineitem")
-    n = F.col("l_linenumber")
-    card = F.concat(
-        F.lit('<div class="card x"><h2> Show  <b>'), F.col("l_partkey").cast("string"), F.lit("</b> &amp; more</h2><a class=t href="),
-        F.when(n % 2 == 0, F.concat(F.lit('"https://tickets.example/'), F.col("l_suppkey").cast("string"), F.lit('"'))).otherwise(F.lit('"/local"')), F.lit(">buy</a><p class=sub>Support: A"),
-        F.col("l_suppkey").cast("string"), F.lit("<br> <br/>ABGESAGT "), F.col("l_returnflag"), F.lit('</p><span class="flag'), F.when(n % 3 == 0, "").otherwise(" w-condition-invisible"), F.lit('">Sold-Out</span></div>'),
-    )
-    sorted_ = F.sort_array(F.collect_list(F.struct(n.alias("n"), "l_partkey", "l_suppkey", "l_returnflag", card.alias("card"))))
-    body = F.array_join(F.transform(sorted_, lambda x: x["card"]), "\n")
-    return lines.groupBy(F.col("l_orderkey").alias("page_id")).agg(F.concat(F.lit('<html><div class=card-list><h2>List</h2>'), body, F.lit("</div></html>")).alias("html"))
+
+    def card(line):
+        n, part, supplier = line["n"], line["l_partkey"].cast("string"), line["l_suppkey"].cast("string")
+        return F.concat(
+            F.lit('<div class="card x"><h2> Show  <b>'), part, F.lit("</b> &amp; more</h2><a class=t href="),
+            F.when(n % 2 == 0, F.concat(F.lit('"https://tickets.example/'), supplier, F.lit('"'))).otherwise(F.lit('"/local"')), F.lit(">buy</a><p class=sub>Support: A"),
+            supplier, F.lit("<br> <br/>ABGESAGT "), line["l_returnflag"], F.lit('</p><span class="flag'), F.when(n % 3 == 0, "").otherwise(" w-condition-invisible"), F.lit('">Sold-Out</span></div>'),
+        )
+
+    # cards are written where their page is: only what they are made of moves
+    sorted_ = F.sort_array(F.collect_list(F.struct(F.col("l_linenumber").alias("n"), "l_partkey", "l_suppkey", "l_returnflag")))
+    # by number, so that adaptive execution does not put small partitions together: what follows takes time, not space
+    n_tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    found = lines.repartition(n_tasks, "l_orderkey").groupBy(F.col("l_orderkey").alias("page_id")).agg(sorted_.alias("lines"))
+    body = F.array_join(F.transform("lines", card), "\n")
+    return found.select("page_id", F.concat(F.lit('<html><div class=card-list><h2>List</h2>'), body, F.lit("</div></html>")).alias("html"))
 
 
 @query("cards_of_pages", """SELECT l_orderkey AS page_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_returnflag)::INT AS pos, 'Show ' || l_partkey || ' & more' AS title,

@@ -6,6 +6,7 @@ import re
 
 import pytest
 
+from marquee.plans import catalog
 from marquee.sources import elements, literals, pages, selectors
 
 PAGE = """<html><body><div id=main class="a b"><p class=x> One <b>two</b>
@@ -248,3 +249,31 @@ def test_long_pages_take_linear_time():
     page = "<table>" + "".join(f"<tr class=r{i % 7}><td>{i}<td><a href=/e/{i}>x</a>" for i in range(20_000)) + "</table>"
     rows = elements.parse(page).select("tr.r3:has(a[href*=/e/]) > td:first-child")
     assert len(rows) == 2857 and rows[0].text() == "3"
+
+
+def test_plain_pages_are_cut_as_the_parser_reads_them():
+    """Random runs of tags and texts, odd ones among them; what is not plain is left to the parser."""
+
+    def tree(e):
+        return e.tag, e.attrs, [c if isinstance(c, str) else tree(c) for c in e.children], len(e.kids)
+
+    def parsed(page):
+        b = elements._Builder()
+        b.feed(page)
+        b.close()
+        return tree(b.root)
+
+    bits = "<div>|</div>|<p class=a>|</p>|<li>|<ul>|<tr>|<table>|<td>|</table>|<br/>|a|&amp;|&amp|&|<a href=/x/>|<a href=\"u\" HREF='v'>|</a>|<A B>|<|>|<x-y z=1>|</x-y >|<i a = 1>|<!-- c -->|<?p>|<script>|<title>|</p x>|<a href='?a=1&b'>|\n|é|<p\tid=q\n>|<a x=1/y>|<td=1>".split("|")
+    rng, plain = random.Random(3), 0
+    for _ in range(3_000):
+        page = "".join(rng.choice(bits) for _ in range(rng.randrange(1, 9)))
+        found = elements._plain(page)
+        plain += found is not None
+        assert found is None or tree(found) == parsed(page), page
+    assert 500 < plain < 2_500
+
+
+def test_cards_are_written_where_their_page_is(spark, sf_dir):
+    """Only their parts are collected and move."""
+    plan = catalog.QUERIES["cards_of_pages"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Support" in plan and "Support" not in re.search(r"collect_list\((.*?), 0, 0\)", plan)[1]
