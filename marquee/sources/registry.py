@@ -133,12 +133,21 @@ class Registry:
         warm = [s.name for s in self.sources.values() if s.kind == "warmup"]
         if not warm:
             return self._parsed(found)
-        states = found.filter(F.col("source").isin(warm) & F.col("error").isNull()).select("source", "url", embedded_events(F.col("record")).alias("events"))
-        events = states.filter("events IS NOT NULL").select("source", "url", F.posexplode("events").alias("p", "record"))
-        events = events.select("source", "url", (F.col("p") + 1).alias("pos"), "record", F.lit(None).cast("string").alias("error"))
-        none = states.filter("events IS NULL").select("source", "url", F.lit(0).alias("pos"), F.try_parse_json(F.lit(None).cast("string")).alias("record"), F.lit("no list of events in the embedded state").alias("error"))
-        rest = self._parsed(found.filter(~(F.coalesce("source", F.lit("")).isin(warm) & F.col("error").isNull())))
-        return rest.unionByName(events).unionByName(none)
+        # one plan for both, so that pages are read once
+        record, none = F.try_parse_json("record"), F.try_parse_json(F.lit(None).cast("string"))
+        state = F.coalesce(F.col("source").isin(warm) & F.col("error").isNull(), F.lit(False))
+        read = found.select("source", "url", "pos", state.alias("state"), F.when(state, embedded_events(F.col("record"))).alias("events"), F.when(~state, record).alias("parsed"), (~state & F.col("record").isNotNull()).alias("given"), "error")
+
+        def row(pos: Column, value: Column, error: Column) -> Column:
+            return F.struct(pos.cast("int").alias("pos"), value.alias("record"), error.cast("string").alias("error"))
+
+        lost = F.when(F.col("given") & F.col("parsed").isNull(), "no JSON")
+        rows = (
+            F.when(~F.col("state"), F.array(row(F.col("pos"), F.col("parsed"), F.coalesce("error", lost))))
+            .when(F.col("events").isNull(), F.array(row(F.lit(0), none, F.lit("no list of events in the embedded state"))))
+            .otherwise(F.transform("events", lambda e, i: row(i + 1, e, F.lit(None))))
+        )
+        return read.select("source", "url", F.explode(rows).alias("r")).select("source", "url", "r.pos", "r.record", "r.error")
 
     @staticmethod
     def _parsed(found: DataFrame) -> DataFrame:

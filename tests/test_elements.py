@@ -277,3 +277,8 @@ def test_cards_are_written_where_their_page_is(spark, sf_dir):
     """Only their parts are collected and move."""
     plan = catalog.QUERIES["cards_of_pages"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert "Support" in plan and "Support" not in re.search(r"collect_list\((.*?), 0, 0\)", plan)[1]
+
+
+def test_pages_of_all_sources_are_read_once(spark, sf_dir):
+    plan = catalog.QUERIES["staged_of_sources"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInPandas") == 1
