@@ -7,6 +7,7 @@ from collections import defaultdict
 from itertools import product
 
 import numpy as np
+import pandas as pd
 import pytest
 from comparing import differences
 from pyspark.sql import functions as F
@@ -88,6 +89,40 @@ def test_repeats(spark, shard, crowd, chunk):
         assert bytes(row["kept"]) == bytes(np.frombuffer(b, np.uint8)[~gone]), i
 
 
+def test_only_segments_that_may_share_a_window_are_sorted(monkeypatch):
+    """Segments of one key that share a line shorter than a window stay out of the shard; none that shares a
+    window does, wherever the segments are cut, and what occurs twice counts also without another one."""
+    rng, length = random.Random(5), 40
+    word = lambda n: bytes(rng.choice(b"ab") for _ in range(n))
+    bodies, ats = [], []
+    for _ in range(3_000):
+        around = [rng.choice([b"a" * 40, b"ab" * 20, word(40)]) for _ in range(2)]
+        at, end = rng.randrange(33), rng.randrange(48, 81)
+        whole = around[0] + b"the gram" + around[1]
+        first = 40 - at
+        if end + 8 - first >= length and first + length >= 48:
+            bodies.append(whole[first : end + 8])
+            ats.append(at)
+    found = repeats.partnered(ats, bodies, length)
+    windows = defaultdict(set)
+    for i, (at, b) in enumerate(zip(ats, bodies, strict=True)):
+        for p in range(len(b) - length + 1):
+            windows[at - p, b[p : p + length]].add(i)
+    shares = {i for x in windows.values() if len(x) > 1 for i in x}
+    assert shares and shares <= {i for i, x in enumerate(found) if x}
+
+    sorted_bytes = []
+    judge = repeats.repeated_windows
+    monkeypatch.setattr(repeats, "repeated_windows", lambda b, n: sorted_bytes.append(sum(map(len, b))) or judge(b, n))
+    line, window = word(14) + b"the gram" + word(8), word(16) + b"the gram" + word(16)
+    rows = [(7, i, 0, 1 + (i == 13), 22, b"%02d" % i * 4 + line + b"%02d" % i * 10) for i in range(10, 60)]
+    rows += [(8, 60, 0, 1, 16, window + b"60"), (8, 61, 0, 1, 18, b"61" + window)]
+    frame = pd.DataFrame(rows, columns=["key", "d1", "d2", "n", "at", "body"])
+    got = {d1: runs for f in repeats.sort_shards(length, 1 << 20)([frame]) for d1, runs in zip(f["d1"], f["runs"], strict=True)}
+    assert got == {13: [{"a": 0, "b": len(rows[3][5]) - length + 1}], 60: [{"a": 0, "b": 1}], 61: [{"a": 2, "b": 3}]}
+    assert sum(sorted_bytes) == len(rows[-2][5]) + len(rows[-1][5])
+
+
 def test_repeats_of_odd_rows(spark, odd, odd_rows, none):
     found = repeats.repeats(odd.withColumn("spans", F.lit(1)), length=60, gram=16)
     assert set(found.columns) == {*odd.columns, "n_bytes", "spans", "kept"}
